@@ -81,3 +81,28 @@ def day_type(ts: Column) -> Column:
 def ratio(a: Column, b: Column) -> Column:
     """a / b, null where b is zero."""
     return a / F.nullif(b, F.lit(0).cast("double"))
+
+
+def _epoch() -> Column:
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+
+
+def interval_seconds(since: Column) -> Column:
+    """Length of a day-time interval in seconds, exact to the microsecond."""
+    return since.cast("interval second").cast("decimal(20,6)")
+
+
+def epoch_micros(ts: Column) -> Column:
+    """Microseconds since 1970 of a zone-less time, whatever the session zone."""
+    return (interval_seconds(ts - _epoch()) * 1_000_000).cast("bigint")
+
+
+def as_event_time(ts: Column) -> Column:
+    """Zone-less time as the zoned timestamp watermarks ask for, read as UTC."""
+    return F.timestamp_micros(epoch_micros(ts))
+
+
+def from_event_time(ts: Column) -> Column:
+    """Inverse of ``as_event_time``."""
+    seconds = F.unix_micros(ts).cast("decimal(24,6)") / 1_000_000
+    return _epoch() + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds.cast("decimal(18,6)"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from probegrid.functions.order_stats import hash_bucket, row_numbers, value_bucket
-from probegrid.functions.scalars import ratio
+from probegrid.functions.scalars import epoch_micros, interval_seconds, ratio
 from probegrid.schema import OUTAGE_MINUTES
 from probegrid.sources.tables import require_rows
 
@@ -149,7 +149,7 @@ def current_job_state(changes: DataFrame) -> DataFrame:
 
 def job_run_summary(logs: DataFrame) -> DataFrame:
     """Runs, outcomes, duration and success ratio per job and start date."""
-    seconds = _seconds(F.col("end_time") - F.col("start_time")).cast("double")
+    seconds = interval_seconds(F.col("end_time") - F.col("start_time")).cast("double")
     return logs.groupBy("job_name", F.to_date("start_time").alias("date")).agg(
         F.count("*").alias("runs"),
         F.count_if(F.col("status") == "SUCCESS").alias("succeeded"),
@@ -172,7 +172,7 @@ def heartbeat_outages(beats: DataFrame, minutes: int = OUTAGE_MINUTES) -> DataFr
     and what is compared in order is one row per bucket and not one per beat.
     """
     width = minutes * 60 * 1_000_000
-    micros = _micros(F.col("ts"))
+    micros = epoch_micros(F.col("ts"))
     buckets = (
         beats.where("ts is not null")
         .groupBy("job_name", F.floor(micros / width).alias("bucket"))
@@ -186,16 +186,5 @@ def heartbeat_outages(beats: DataFrame, minutes: int = OUTAGE_MINUTES) -> DataFr
         "last_beat",
         (F.col("last_beat") + threshold).alias("alert_at"),
         "recovered_at",
-        _seconds(F.col("recovered_at") - F.col("last_beat")).cast("double").alias("silent_seconds"),
+        interval_seconds(F.col("recovered_at") - F.col("last_beat")).cast("double").alias("silent_seconds"),
     )
-
-
-def _seconds(since: Column) -> Column:
-    """Length of a day-time interval in seconds, exact to the microsecond."""
-    return since.cast("interval second").cast("decimal(20,6)")
-
-
-def _micros(ts: Column) -> Column:
-    """Microseconds since 1970 of a zone-less time, whatever the session zone."""
-    since = ts - F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    return (_seconds(since) * 1_000_000).cast("bigint")

@@ -22,6 +22,8 @@ from probegrid.schema import POINT_ALIASES
 from probegrid.session import stored
 from probegrid.sources import payloads
 from probegrid.sources.tables import default_point_config, read_table
+from probegrid.streaming import feeds
+from probegrid.streaming.runner import run_to_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -438,12 +440,50 @@ BATCH: dict[str, Query] = {
 }
 
 
-def batch_queries() -> dict[str, Query]:
-    def finish(query: Query) -> Query:
-        return lambda spark, d: rounded(query(spark, d))
+# --- streams ---------------------------------------------------------------------------------
+
+def stream_ingest(spark, d):
+    flows = feeds.point_ingest(spark, fx.landed_point_payloads(spark, d)).flows
+    return run_to_table(flows, "stream-ingest")
+
+
+def _valid_point_stream(spark, d):
+    return quality.clean_points(fx.point_raw_of(fx.events_stream(spark, d))).valid
+
+
+def stream_dedup(spark, d):
+    wanted = _valid_point_stream(spark, d).select("point_id", "interval_15min", "timestamp", "ingest_seq")
+    return run_to_table(feeds.dedup_stream(wanted), "stream-dedup").drop("slot_time")
+
+
+def stream_block_time(spark, d):
+    valid = quality.clean_segments(fx.segment_raw_of(fx.events_stream(spark, d))).valid
+    return run_to_table(feeds.segment_windows(valid), "stream-block-time")
 
-    return {name: finish(query) for name, query in BATCH.items()}
+
+def stream_availability(spark, d):
+    wanted = _valid_point_stream(spark, d).select("point_id", "timestamp", "ingest_seq")
+    return run_to_table(feeds.availability_stream(wanted), "stream-availability")
+
+
+def stream_heartbeat(spark, d):
+    sessions = feeds.heartbeat_sessions(fx.heartbeats_of(fx.events_stream(spark, d)))
+    outages = feeds.outages_of(run_to_table(sessions, "stream-heartbeat"))
+    silent = scalars.interval_seconds(F.col("recovered_at") - F.col("last_beat")).cast("double")
+    return outages.withColumn("silent_seconds", silent)
+
+
+STREAMS: dict[str, Query] = {
+    "stream_ingest": stream_ingest,
+    "stream_dedup": stream_dedup,
+    "stream_block_time": stream_block_time,
+    "stream_availability": stream_availability,
+    "stream_heartbeat": stream_heartbeat,
+}
 
 
 def all_queries() -> dict[str, Query]:
-    return batch_queries()
+    def finish(query: Query) -> Query:
+        return lambda spark, d: rounded(query(spark, d))
+
+    return {name: finish(query) for name, query in {**BATCH, **STREAMS}.items()}

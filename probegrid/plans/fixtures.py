@@ -12,13 +12,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from probegrid.schema import ENVELOPE_TIME
+from probegrid.session import work_folder
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def point_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").selectExpr(
+    return point_raw_of(table(spark, sf_dir, "events"))
+
+
+def point_raw_of(events: DataFrame) -> DataFrame:
+    return events.selectExpr(
         "'P' || lpad(cast(user_id % 42 + 1 as string), 2, '0') point_id",
         "case when event_id % 97 = 0 then 'not-a-time' else date_format(ts, 'yyyy-MM-dd HH:mm:ss') end `timestamp`",
         """case when event_id % 61 = 0 then null when event_id % 53 = 0 then 0.0D
@@ -36,7 +43,11 @@ def point_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def segment_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").selectExpr(
+    return segment_raw_of(table(spark, sf_dir, "events"))
+
+
+def segment_raw_of(events: DataFrame) -> DataFrame:
+    return events.selectExpr(
         "cast(1 + event_id % 3 as string) block_id",
         "case when event_id % 89 = 0 then null else ts end `timestamp`",
         """case when event_id % 43 = 0 then 0.0D when event_id % 73 = 0 then null
@@ -153,7 +164,11 @@ def job_log_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def heartbeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").where("event_type <> 'error'").selectExpr("event_type job_name", "ts")
+    return heartbeats_of(table(spark, sf_dir, "events"))
+
+
+def heartbeats_of(events: DataFrame) -> DataFrame:
+    return events.where("event_type <> 'error'").selectExpr("event_type job_name", "ts")
 
 
 def api_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -244,3 +259,27 @@ def point_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
         .distinct()
         .selectExpr("'P' || lpad(cast(n as string), 2, '0') point_id", "1.0D + (n % 8) / 4.0D weight")
     )
+
+
+def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a file stream, closed by one row far in the future.
+
+    The closing row moves the watermark past all real data, so that append
+    mode gives out every window. Its own window never closes. The events are
+    streamed from where they are; only the one row is written.
+    """
+    schema = table(spark, sf_dir, "events").schema
+    folder = work_folder(spark, "closing-row")
+    spark.range(1).selectExpr(
+        "1L event_id", "timestamp_ntz'2100-01-01 00:00:00' ts", "0L user_id", "'view' event_type", "0.0D value", "'{}' props"
+    ).coalesce(1).write.mode("overwrite").parquet(folder)
+    # A glob, because a stream source given as a plain path must be a folder.
+    events = spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet")
+    return events.unionByName(spark.readStream.schema(schema).parquet(folder))
+
+
+def landed_point_payloads(spark: SparkSession, sf_dir: str) -> str:
+    """Folder with the point documents as a collector would drop them: JSON lines."""
+    folder = f"{work_folder(spark, 'landing')}/point"
+    point_payload(spark, sf_dir).write.option("timestampNTZFormat", ENVELOPE_TIME).json(folder)
+    return folder

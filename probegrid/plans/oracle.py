@@ -239,7 +239,6 @@ seats as (select uuid as key_number, platform, row_number() over (order by uuid)
 select {columns} from dealt join seats on turn % (select count(*) from seats) = seat where {points_filter}"""
 
 
-FLAGS = "valid_time, valid_core_fields"
 STREAM_SEGMENT = "with " + SEGMENT_BLOCK + f" select block_id, interval_30min, {_rs('here_mean_speed', 'here_mean_jam_factor', 'here_mean_confidence')}, here_record_count from segment_30"
 DEDUP = "with " + CLEANED + ' select point_id, interval_15min, "timestamp", ingest_seq from cleaned'
 OUTAGES = """
@@ -555,4 +554,9 @@ hourly as (select "date", hour(interval_15min)::int as hour, avg(ci_percent) as
 limits as (select "date", quantile_cont(c, 0.85) as t, max(c) as top from hourly group by 1)
 select "date", min(hour) filter (where c = top) as peak_hour, round(max(c) + 1.2345e-8, 6) + 0.0 as peak_mean_ci, count(*) filter (where c >= t) as hours_at_peak
 from hourly join limits using ("date") group by 1""",
+    "stream_ingest": POINT_FLOWS,
+    "stream_dedup": DEDUP,
+    "stream_block_time": STREAM_SEGMENT,
+    "stream_availability": AVAILABILITY,
+    "stream_heartbeat": OUTAGES,
 }
