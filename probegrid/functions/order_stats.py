@@ -1,11 +1,13 @@
-"""Exact ranks, percentiles and row numbers that never gather a group.
+"""Exact ranks, percentiles and row numbers that never gather a large group.
 
-``percentile`` and ``rank`` need all rows of a group in one task, which fails
-for a pooled unit or a group that holds a large share of the data. Here equal
-values are counted first (so a frequent value is one row), the values are cut
-into ordered buckets by a fixed monotone function, and each bucket is sorted
-on its own. Only the bucket totals, a few thousand rows per group whatever
-the data size, are summed in order.
+``percentile`` and ``rank`` need all rows of a group in one task. That is the
+cheapest plan for the usual group of a few hundred rows, and fails for a
+pooled unit or a group that holds a large share of the data. So groups are
+split by size. Those up to ``HOT_ROWS`` rows use the built-ins. In the rest
+equal values are counted first (a frequent value is one row), the values are
+cut into ordered buckets by a fixed monotone function, and each bucket is
+sorted on its own; only the bucket totals, a few thousand rows per group
+whatever the data size, are summed in order. Both ways give the same numbers.
 
 The bucket of a value depends on the value alone. A task that is run again
 after an executor loss therefore places every row as before.
@@ -18,6 +20,7 @@ from pyspark.sql import functions as F
 
 RESOLUTION = 256
 HASH_BUCKET_BITS = 12
+HOT_ROWS = 200_000
 
 
 def value_bucket(x: Column, resolution: int = RESOLUTION) -> Column:
@@ -65,73 +68,145 @@ def _place(counts: DataFrame, offsets: DataFrame, units: list[str]) -> DataFrame
     )
 
 
+def split_by_size(df: DataFrame, units: list[str], hot_rows: int) -> tuple[DataFrame | None, DataFrame | None]:
+    """Rows of groups up to ``hot_rows`` rows, and rows of larger groups.
+
+    At most one group in ``hot_rows`` rows can be larger, which bounds the
+    broadcast list (five million ids for a trillion rows). Where it is empty,
+    AQE removes the second branch before it reads anything.
+    """
+    if hot_rows <= 0:
+        return None, df
+    sizes = df.groupBy(*units).agg(F.count("*").alias("n"))
+    hot = F.broadcast(sizes.where(F.col("n") > hot_rows).select(*units))
+    return df.join(hot, units, "left_anti"), df.join(hot, units, "left_semi")
+
+
+def _joined(parts: list[DataFrame]) -> DataFrame:
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def complete(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows with all ``columns`` present."""
+    return df.where(" and ".join(f"`{c}` is not null" for c in columns))
+
+
 def value_positions(df: DataFrame, units: list[str], value: str) -> DataFrame:
     """One row per unit and distinct value: n_equal, n_below, unit_n.
 
-    The average rank of a value is ``n_below + (n_equal + 1) / 2``. Rows whose
-    unit columns are null are left out, as in a group-by that drops null keys.
+    The bucketed way, for groups of any size. The average rank of a value is
+    ``n_below + (n_equal + 1) / 2``.
     """
     counts = _value_counts(df, units, value)
     return _place(counts, _offsets(counts, units), units)
 
 
+def ranked_pairs(df: DataFrame, units: list[str], x: str, y: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Complete pairs with x_below, x_equal, y_below, y_equal and n of their unit.
+
+    ``x_below`` counts the unit's rows with a smaller x, ``x_equal`` those
+    with the same. ``df`` is read several times: pass a stored table.
+    """
+    pairs = complete(
+        df.select(*units, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")), [*units, "x", "y"]
+    )
+    small, large = split_by_size(pairs, units, hot_rows)
+    parts = []
+    if small is not None:
+        unit = Window.partitionBy(*units)
+        counted = small.withColumn("n", F.count("*").over(unit))
+        for side in ("x", "y"):
+            counted = counted.withColumn(f"{side}_below", (F.rank().over(unit.orderBy(side)) - 1).cast("bigint"))
+            counted = counted.withColumn(f"{side}_equal", F.count("*").over(Window.partitionBy(*units, side)))
+        parts.append(counted)
+    if large is not None:
+        # Joined on (unit, value): AQE splits a value that very many rows share.
+        ranked = large
+        for side in ("x", "y"):
+            positions = value_positions(large, units, side).select(
+                *units,
+                F.col("value").alias(side),
+                F.col("n_below").alias(f"{side}_below"),
+                F.col("n_equal").alias(f"{side}_equal"),
+                *([F.col("unit_n").alias("n")] if side == "x" else []),
+            )
+            ranked = ranked.join(positions, [*units, side])
+        parts.append(ranked)
+    return _joined(parts)
+
+
 def average_rank(n_below: Column, n_equal: Column) -> Column:
     return n_below + (n_equal + 1) / 2
 
 
 def interpolate(low: Column, high: Column, share: Column) -> Column:
-    """Linear interpolation that returns a end point exactly when both meet."""
+    """Linear interpolation; exact where both ends are the same value."""
     step = high - low
     return F.when(share >= 0.5, high - step * (1 - share)).otherwise(low + step * share)
 
 
-def percentiles(df: DataFrame, units: list[str], values: list[str], wanted: dict[str, float]) -> DataFrame:
-    """Exact linear-interpolation percentiles of several measures.
+def percentiles(
+    df: DataFrame, units: list[str], values: list[str], wanted: dict[str, float], hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """Exact linear-interpolation percentiles of several measures per unit.
 
-    ``wanted`` names the quantiles. The result has one row per unit and
-    measure: the unit columns, ``measure`` (a name from ``values``),
-    ``unit_n`` and one column per entry of ``wanted``. All measures share one
-    pass; a bucket no quantile falls in is dropped before anything is sorted.
+    ``wanted`` names the quantiles. The result has the unit columns, and for
+    every measure m its count ``m_n`` and a column ``m_<name>`` per quantile.
     """
+    base = complete(df.select(*units, *[F.col(v).cast("double").alias(v) for v in values]), units)
+    small, large = split_by_size(base, units, hot_rows)
+    parts = []
+    if small is not None:
+        parts.append(_builtin_percentiles(small, units, values, wanted))
+    if large is not None:
+        parts.append(_bucketed_percentiles(large, units, values, wanted))
+    return _joined(parts)
+
+
+def _builtin_percentiles(df: DataFrame, units: list[str], values: list[str], wanted: dict[str, float]) -> DataFrame:
+    levels = F.array(*[F.lit(float(q)) for q in wanted.values()])
+    found = df.groupBy(*units).agg(*[
+        agg for v in values for agg in (F.count(v).alias(f"{v}_n"), F.percentile(v, levels).alias(f"{v}_all"))
+    ])
+    return found.select(*units, *[
+        col for v in values
+        for col in (f"{v}_n", *[F.col(f"{v}_all")[i].alias(f"{v}_{name}") for i, name in enumerate(wanted)])
+    ])
+
+
+def _bucketed_percentiles(df: DataFrame, units: list[str], values: list[str], wanted: dict[str, float]) -> DataFrame:
+    """All measures share one pass; a bucket no quantile falls in is dropped
+    before anything is sorted."""
     keys = [*units, "measure"]
     long = df.select(
         *units,
-        F.inline(F.array(*[
-            F.struct(F.lit(v).alias("measure"), F.col(v).cast("double").alias("value")) for v in values
-        ])),
+        F.inline(F.array(*[F.struct(F.lit(v).alias("measure"), F.col(v).alias("value")) for v in values])),
     )
     counts = _value_counts(long, keys, "value")
-    spots = []
-    for q in wanted.values():
-        exact = (F.col("unit_n") - 1) * F.lit(float(q))
-        spots.append((F.floor(exact), F.ceil(exact)))
-    start, end = F.col("bucket_start"), F.col("bucket_start") + F.col("bucket_n")
-    offsets = _offsets(counts, keys)
-    needed = F.lit(False)
-    for low, high in spots:
-        needed = needed | ((start <= low) & (low < end)) | ((start <= high) & (high < end))
-    placed = _place(counts, offsets.where(needed), keys)
-    first, last = F.col("n_below"), F.col("n_below") + F.col("n_equal")
-    picks = []
-    for name, (low, high) in zip(wanted, spots):
-        picks.append(F.max(F.when((first <= low) & (low < last), F.col("value"))).alias(f"{name}_low"))
-        picks.append(F.max(F.when((first <= high) & (high < last), F.col("value"))).alias(f"{name}_high"))
-    picked = placed.groupBy(*keys).agg(F.max("unit_n").alias("unit_n"), *picks)
-    out = []
-    for name, q in wanted.items():
-        exact = (F.col("unit_n") - 1) * F.lit(float(q))
-        out.append(
-            interpolate(F.col(f"{name}_low"), F.col(f"{name}_high"), exact - F.floor(exact)).alias(name)
-        )
-    return picked.select(*keys, "unit_n", *out)
-
-
-def spread(df: DataFrame, units: list[str], column: str, names: dict[str, str]) -> DataFrame:
-    """Turn one row per measure into one row per unit; ``names`` maps measure to new name."""
-    return df.groupBy(*units).agg(*[
-        F.max(F.when(F.col("measure") == measure, F.col(column))).alias(new)
-        for measure, new in names.items()
-    ])
+    spots = {name: f"(unit_n - 1) * {float(q)}D" for name, q in wanted.items()}
+    ends = [f"{end}({spot})" for spot in spots.values() for end in ("floor", "ceil")]
+    needed = " or ".join(f"(bucket_start <= {p} and {p} < bucket_start + bucket_n)" for p in ends)
+    placed = _place(counts, _offsets(counts, keys).where(needed), keys)
+
+    def at(measure: str, position: str) -> str:
+        return f"max(case when measure = '{measure}' and n_below <= {position} and {position} < n_below + n_equal then value end)"
+
+    aggs = []
+    for v in values:
+        aggs.append(F.expr(f"max(case when measure = '{v}' then unit_n end)").alias(f"{v}_n"))
+        for name, spot in spots.items():
+            aggs.append(F.expr(at(v, f"floor({spot})")).alias(f"{v}_{name}_low"))
+            aggs.append(F.expr(at(v, f"ceil({spot})")).alias(f"{v}_{name}_high"))
+    found = placed.groupBy(*units).agg(*aggs)
+    cols = []
+    for v in values:
+        cols.append(F.coalesce(f"{v}_n", F.lit(0)).alias(f"{v}_n"))
+        for name, q in wanted.items():
+            spot = (F.col(f"{v}_n") - 1) * F.lit(float(q))
+            cols.append(
+                interpolate(F.col(f"{v}_{name}_low"), F.col(f"{v}_{name}_high"), spot - F.floor(spot)).alias(f"{v}_{name}")
+            )
+    return found.select(*units, *cols)
 
 
 def row_numbers(df: DataFrame, order: list[str], bucket: Column, name: str = "row_number") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from probegrid.functions.order_stats import average_rank, interpolate, value_positions
+from probegrid.functions.order_stats import HOT_ROWS, average_rank, interpolate, ranked_pairs
 from probegrid.operators.dedup import distinct_complete
 from probegrid.schema import LAG_MINUTES, PEAK_QUANTILE, THRESHOLD_QUANTILES
 
@@ -19,30 +19,13 @@ def _correlation(a: Column, b: Column) -> Column:
     return F.covar_samp(a, b) / F.nullif(F.stddev_samp(a) * F.stddev_samp(b), F.lit(0.0))
 
 
-def _ranked(df: DataFrame, units: list[str], x: str, y: str) -> DataFrame:
-    """Complete pairs with the position of both values in their unit.
-
-    Joined on (unit, value): AQE splits a value that very many rows share.
-    ``df`` is read three times, so it should be a stored table.
-    """
-    pairs = df.select(
-        *units, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")
-    ).where("x is not null and y is not null")
-    ranked = pairs
-    for side in ("x", "y"):
-        positions = value_positions(pairs, units, side).select(
-            *units,
-            F.col("value").alias(side),
-            F.col("n_below").alias(f"{side}_below"),
-            F.col("n_equal").alias(f"{side}_equal"),
-            *([F.col("unit_n").alias("n")] if side == "x" else []),
-        )
-        ranked = ranked.join(positions, [*units, side])
-    return ranked
-
-
 def consistency_stats(
-    df: DataFrame, units: list[str], x: str = X, y: str = Y, quantiles: tuple[float, ...] = (PEAK_QUANTILE,)
+    df: DataFrame,
+    units: list[str],
+    x: str = X,
+    y: str = Y,
+    quantiles: tuple[float, ...] = (PEAK_QUANTILE,),
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Per unit and quantile: n, moments, medians, Pearson, Spearman, peak overlap.
 
@@ -52,7 +35,7 @@ def consistency_stats(
     and the right count is taken once the quantile itself is known.
     """
     q_list = F.array(*[F.lit(float(q)) for q in quantiles])
-    rows = _ranked(df, units, x, y).select(
+    rows = ranked_pairs(df, units, x, y, hot_rows).select(
         *units, "x", "y", "n",
         F.explode(q_list).alias("quantile"),
         "x_below", "y_below",

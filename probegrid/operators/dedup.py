@@ -26,7 +26,7 @@ def duplicates_of(valid: DataFrame, kept: DataFrame, record_key: list[str] = REC
     Anti-joined on the whole record key and not numbered per slot: the key is
     unique, so copies of one slot spread over all tasks.
     """
-    return valid.join(kept.select(*record_key), record_key, "left_anti")
+    return valid.join(kept.select(*record_key), record_key, "left_anti").select(*valid.columns)
 
 
 def distinct_complete(df: DataFrame, columns: list[str]) -> DataFrame:

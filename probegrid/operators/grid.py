@@ -105,8 +105,8 @@ def block_30min_weighted(cleaned: DataFrame, config: DataFrame, weights: DataFra
 def segment_block_time(valid: DataFrame) -> DataFrame:
     """Segment records per block and 30 minutes, without dedup.
 
-    Means and counts combine before the shuffle. The medians go through
-    ordered buckets, so one very busy block and slot is split over tasks.
+    Means and counts combine before the shuffle; the medians split a very
+    busy block and slot over tasks.
     """
     core = valid.groupBy(*BLOCK_SLOT).agg(
         F.avg("speed").alias("here_mean_speed"),
@@ -116,16 +116,12 @@ def segment_block_time(valid: DataFrame) -> DataFrame:
         F.avg("confidence").alias("here_mean_confidence"),
     )
     medians = percentiles(valid, BLOCK_SLOT, ["speed", "jam_factor"], {"median": 0.5})
-    medians = medians.groupBy(*BLOCK_SLOT).agg(
-        F.max(F.when(F.col("measure") == "speed", F.col("median"))).alias("here_median_speed"),
-        F.max(F.when(F.col("measure") == "jam_factor", F.col("median"))).alias("here_median_jam_factor"),
-    )
     return core.join(medians, BLOCK_SLOT).select(
         *BLOCK_SLOT,
         "here_mean_speed",
-        "here_median_speed",
+        F.col("speed_median").alias("here_median_speed"),
         "here_mean_jam_factor",
-        "here_median_jam_factor",
+        F.col("jam_factor_median").alias("here_median_jam_factor"),
         "here_segment_count",
         "here_record_count",
         "here_mean_confidence",

@@ -63,21 +63,33 @@ def _within(df: DataFrame, date_from, date_to) -> DataFrame:
     return df
 
 
-def _typed(df: DataFrame, numeric: list[str], text: list[str], slot: str, minutes: int, date_from, date_to) -> DataFrame:
+def _typed(df: DataFrame, numeric: list[str], ids: list[str], core: list[str], slot: str, minutes: int, date_from, date_to) -> DataFrame:
+    """Parse columns to their types, then add slot and date.
+
+    Core columns that arrive as text come out of a one-row ``inline``. Filters
+    on them then stay above the parsing; pushed below it they would repeat
+    every parse expression several times per row. Typed columns stay plain,
+    so their filters and their pruning reach the scan.
+    """
     types = {f.name: f.dataType for f in df.schema}
-    cols = []
+    plain, text = [], []
     for c in df.columns:
         col = F.col(f"`{c}`")
         if c == "timestamp" and not isinstance(types[c], T.TimestampNTZType):
             col = parse_timestamp(col, types[c])
         elif c in numeric and not isinstance(types[c], T.NullType):
             col = parse_number(col, types[c])
-        elif c in text:
+        elif c in ids:
             col = id_text(col, types[c])
-        cols.append(col.alias(c))
-    parsed = _within(df.select(cols), date_from, date_to)
-    slotted = parsed.withColumn(slot, floor_minutes(F.col("timestamp"), minutes))
-    return slotted.withColumn("date", F.to_date(slot))
+        is_text = c in core and isinstance(types[c], T.StringType)
+        (text if is_text else plain).append(col.alias(c))
+    if text:
+        parsed = df.select(*plain, F.inline(F.array(F.struct(*text)))).select(*[f"`{c}`" for c in df.columns])
+    else:
+        parsed = df.select(*plain)
+    ts = F.col("timestamp")
+    start = floor_minutes(ts, minutes)
+    return _within(parsed, date_from, date_to).select("*", start.alias(slot), F.to_date(ts).alias("date"))
 
 
 def standardize_points(raw: DataFrame, date_from=None, date_to=None) -> DataFrame:
@@ -92,7 +104,7 @@ def standardize_points(raw: DataFrame, date_from=None, date_to=None) -> DataFram
         df = df.withColumn("road_closure", F.lit(False))
     if "confidence" not in df.columns:
         df = df.withColumn("confidence", F.lit(None).cast("double"))
-    df = _typed(_with_sequence(df), POINT_NUMERIC, ["point_id"], "interval_15min", 15, date_from, date_to)
+    df = _typed(_with_sequence(df), POINT_NUMERIC, ["point_id"], POINT_CORE, "interval_15min", 15, date_from, date_to)
     return df.withColumn("road_closure_bool", is_closed(F.col("road_closure")))
 
 
@@ -104,4 +116,4 @@ def standardize_segments(raw: DataFrame, date_from=None, date_to=None) -> DataFr
         df = df.withColumn("segment_id", F.monotonically_increasing_id().cast("string"))
     if "confidence" not in df.columns:
         df = df.withColumn("confidence", F.lit(None).cast("double"))
-    return _typed(df, SEGMENT_NUMERIC, ["block_id", "segment_id"], "interval_30min", 30, date_from, date_to)
+    return _typed(df, SEGMENT_NUMERIC, ["block_id", "segment_id"], SEGMENT_CORE, "interval_30min", 30, date_from, date_to)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from probegrid.functions.order_stats import percentiles
+from probegrid.functions.order_stats import HOT_ROWS, percentiles
 from probegrid.functions.scalars import floor_minutes, ratio
 from probegrid.operators.grid import assign_blocks
 from probegrid.schema import PEAK_QUANTILE
@@ -23,8 +23,10 @@ def weekly_distribution(cleaned: DataFrame) -> DataFrame:
     keys = ["weekday", "hour"]
     keyed = cleaned.select(F.weekday(slot).alias("weekday"), F.hour(slot).alias("hour"), CI)
     means = keyed.groupBy(*keys).agg(F.avg(CI).alias("mean_ci_percent"), F.count("*").alias("record_count"))
-    medians = percentiles(keyed, keys, [CI], {"median_ci_percent": 0.5}).drop("measure", "unit_n")
-    return means.join(medians, keys)
+    medians = percentiles(keyed, keys, [CI], {"median": 0.5})
+    return means.join(medians, keys).select(
+        *keys, "mean_ci_percent", "record_count", F.col(f"{CI}_median").alias("median_ci_percent")
+    )
 
 
 def weekly_heatmap(cleaned: DataFrame) -> DataFrame:
@@ -53,10 +55,11 @@ def daily_fluctuation(cleaned: DataFrame) -> DataFrame:
     return cleaned.groupBy("date").agg(*_moments())
 
 
-def boxplot_stats(df: DataFrame, units: list[str], measure: str = CI) -> DataFrame:
+def boxplot_stats(df: DataFrame, units: list[str], measure: str = CI, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Quartiles, 1.5 IQR fences, whiskers and outlier count per group."""
     wanted = {"minimum": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "maximum": 1.0}
-    five = percentiles(df, units, [measure], wanted).drop("measure").withColumnRenamed("unit_n", "n")
+    found = percentiles(df, units, [measure], wanted, hot_rows)
+    five = found.select(*units, *[F.col(f"{measure}_{c}").alias(c) for c in ("n", *wanted)])
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     five = five.withColumn("lower_fence", F.col("q1") - reach).withColumn("upper_fence", F.col("q3") + reach)
     x = F.col(measure)
@@ -104,7 +107,7 @@ def impact_comparison(cleaned: DataFrame, calendar: DataFrame) -> DataFrame:
 def hotspots(cleaned: DataFrame, k: int = 10, q: float = PEAK_QUANTILE) -> DataFrame:
     """The ``k`` points most often at or above the pooled quantile of congestion."""
     pooled = cleaned.select(F.lit(1).alias("all"), CI)
-    threshold = percentiles(pooled, ["all"], [CI], {"threshold": q}).select("threshold")
+    threshold = percentiles(pooled, ["all"], [CI], {"threshold": q}).select(f"{CI}_threshold")
     high = F.col(CI) >= threshold.scalar()
     shares = cleaned.groupBy("point_id").agg(
         F.count("*").alias("record_count"), F.count_if(high).alias("high_count")

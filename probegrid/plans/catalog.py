@@ -190,14 +190,19 @@ def pearson_by_block(spark, d):
 
 
 def spearman_by_block(spark, d):
-    return consistency.consistency_stats(_cells(spark, d), ["block_id"], "srr", "ci_percent").select("block_id", "matched_n", "spearman_rho")
+    """Ranked in ordered buckets whatever the size, as a pooled unit would be."""
+    s = consistency.consistency_stats(_cells(spark, d), ["block_id"], "srr", "ci_percent", hot_rows=0)
+    return s.select("block_id", "matched_n", "spearman_rho")
 
 
 def peak_thresholds(spark, d):
-    from probegrid.functions.order_stats import percentiles
-
     m = matched_pairs(spark, d).withColumn("unit", F.lit("pooled"))
-    return percentiles(m, ["unit"], [consistency.X, consistency.Y], {"q80": 0.8, "q85": 0.85, "q90": 0.9, "q95": 0.95})
+    levels = {"q80": 0.8, "q85": 0.85, "q90": 0.9, "q95": 0.95}
+    found = percentiles(m, ["unit"], [consistency.X, consistency.Y], levels, hot_rows=0)
+    return found.select("unit", F.inline(F.array(*[
+        F.struct(F.lit(v).alias("measure"), F.col(f"{v}_n").alias("unit_n"), *[F.col(f"{v}_{q}").alias(q) for q in levels])
+        for v in (consistency.X, consistency.Y)
+    ])))
 
 
 def peak_overlap(spark, d):
@@ -333,7 +338,7 @@ def weekly_heatmap(spark, d):
 
 def boxplot_stats(spark, d):
     cleaned = points(spark, d).cleaned.withColumn("day_type", scalars.day_type(F.col("interval_15min")))
-    return patterns.boxplot_stats(cleaned, ["day_type"])
+    return patterns.boxplot_stats(cleaned, ["day_type"], hot_rows=0)
 
 
 def impact_comparison(spark, d):

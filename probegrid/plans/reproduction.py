@@ -24,7 +24,7 @@ class _Sink:
         if self.out:
             path = f"{self.out}/{name}"
             write_table(df, path, ["date"] if name in BY_DATE else None)
-            df = self.spark.read.schema(df.schema).parquet(path)
+            df = self.spark.read.schema(df.schema).parquet(path).select(*df.columns)
             if self.csv:
                 write_csv(df, f"{self.out}/csv/{name}")
         self.tables[name] = df

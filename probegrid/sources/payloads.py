@@ -45,8 +45,10 @@ def _double(c: Column) -> Column:
 
 
 def _parsed(df: DataFrame, payload: str, schema: str) -> DataFrame:
+    """Add the parsed document, through a one-row ``explode``: filters on it
+    stay above, where pushed below they would parse the text again."""
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
-    return df.withColumn("doc", F.from_json(F.col(payload), schema, options))
+    return df.select("*", F.explode(F.array(F.from_json(F.col(payload), schema, options))).alias("doc"))
 
 
 def _split(df: DataFrame, reason: Column) -> tuple[DataFrame, DataFrame]:
