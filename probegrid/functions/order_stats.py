@@ -19,7 +19,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RESOLUTION = 256
-HASH_BUCKET_BITS = 12
 HOT_ROWS = 200_000
 
 
@@ -91,6 +90,12 @@ def complete(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.where(" and ".join(f"`{c}` is not null" for c in columns))
 
 
+def pooled(df: DataFrame, name: str = "unit") -> DataFrame:
+    """All rows as one unit. Exploded and not a literal: the optimizer would
+    drop a literal from join keys and leave joins without an equality."""
+    return df.withColumn(name, F.explode(F.array(F.lit("pooled"))))
+
+
 def value_positions(df: DataFrame, units: list[str], value: str) -> DataFrame:
     """One row per unit and distinct value: n_equal, n_below, unit_n.
 
@@ -230,6 +235,6 @@ def row_numbers(df: DataFrame, order: list[str], bucket: Column, name: str = "ro
     )
 
 
-def hash_bucket(h: Column) -> Column:
-    """Leading bits of a 64-bit hash: ordered like the hash, 4,096 buckets."""
-    return F.shiftright(h, 64 - HASH_BUCKET_BITS).cast("int")
+def hash_bucket(hex_hash: Column) -> Column:
+    """The first three hex digits of a hash: ordered like the hash, 4,096 buckets."""
+    return F.conv(F.substring(hex_hash, 1, 3), 16, 10).cast("int")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from probegrid.functions.order_stats import HOT_ROWS, average_rank, interpolate, ranked_pairs
+from probegrid.functions.order_stats import HOT_ROWS, average_rank, interpolate, pooled, ranked_pairs
 from probegrid.operators.dedup import distinct_complete
 from probegrid.schema import LAG_MINUTES, PEAK_QUANTILE, THRESHOLD_QUANTILES
 
@@ -99,8 +99,8 @@ def benchmark_summary(matched: DataFrame, q: float = PEAK_QUANTILE, x: str = X,
     """Pooled and per-block summary; the pooled row is there even without matches."""
     labels = F.array(F.lit("pooled"), F.concat(F.lit("block_"), F.col("block_id").cast("string")))
     stats = consistency_stats(matched.withColumn("unit", F.explode(labels)), ["unit"], x, y, (q,))
-    pooled = _one_row_each(matched, F.array(F.lit("pooled")), "unit")
-    return pooled.join(stats, "unit", "full").select(
+    always = _one_row_each(matched, F.array(F.lit("pooled")), "unit")
+    return always.join(stats, "unit", "full").select(
         "unit",
         F.coalesce("matched_n", F.lit(0)).alias("matched_n"),
         *[F.col(f"x_{m}").alias(f"tomtom_ci_{m}") for m in ("mean", "median", "sd", "min", "max")],
@@ -116,7 +116,7 @@ def sensitivity_threshold(
     matched: DataFrame, quantiles: tuple[float, ...] = THRESHOLD_QUANTILES, x: str = X, y: str = Y
 ) -> DataFrame:
     """Pooled peak overlap at several quantiles, from one pass."""
-    stats = consistency_stats(matched.withColumn("unit", F.lit("pooled")), ["unit"], x, y, quantiles)
+    stats = consistency_stats(pooled(matched), ["unit"], x, y, quantiles)
     found = stats.select(F.col("quantile").alias("threshold_quantile"), "matched_n", "peak_overlap_index")
     wanted = _one_row_each(matched, F.array(*[F.lit(float(q)) for q in quantiles]), "threshold_quantile")
     return wanted.join(found, "threshold_quantile", "left").select(

@@ -51,7 +51,7 @@ def round_robin_assign(
     """
     require_rows(keys, "api keys")
     require_rows(points, "monitor points")
-    mixed = points.withColumn("_mix", F.xxhash64(F.col("uuid"), F.lit(seed)))
+    mixed = points.withColumn("_mix", F.md5(F.concat_ws("#", F.col("uuid"), F.lit(str(seed)))))
     return _deal(mixed, keys, platform, filter_first, run_id, ["_mix", "uuid"], hash_bucket(F.col("_mix")))
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from probegrid.functions.order_stats import HOT_ROWS, percentiles
+from probegrid.functions.order_stats import HOT_ROWS, percentiles, pooled
 from probegrid.functions.scalars import floor_minutes, ratio
 from probegrid.operators.grid import assign_blocks
 from probegrid.schema import PEAK_QUANTILE
@@ -106,8 +106,7 @@ def impact_comparison(cleaned: DataFrame, calendar: DataFrame) -> DataFrame:
 
 def hotspots(cleaned: DataFrame, k: int = 10, q: float = PEAK_QUANTILE) -> DataFrame:
     """The ``k`` points most often at or above the pooled quantile of congestion."""
-    pooled = cleaned.select(F.lit(1).alias("all"), CI)
-    threshold = percentiles(pooled, ["all"], [CI], {"threshold": q}).select(f"{CI}_threshold")
+    threshold = percentiles(pooled(cleaned), ["unit"], [CI], {"threshold": q}).select(f"{CI}_threshold")
     high = F.col(CI) >= threshold.scalar()
     shares = cleaned.groupBy("point_id").agg(
         F.count("*").alias("record_count"), F.count_if(high).alias("high_count")

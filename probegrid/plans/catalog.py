@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from probegrid.functions import scalars
 from probegrid.functions.indicators import with_indicators
-from probegrid.functions.order_stats import percentiles
+from probegrid.functions.order_stats import percentiles, pooled
 from probegrid.operators import checks, consistency, grid, lineage, operations, patterns, profiles, quality, spatial
 from probegrid.operators.normalize import normalize_columns, standardize_points
 from probegrid.plans import fixtures as fx
@@ -196,7 +196,7 @@ def spearman_by_block(spark, d):
 
 
 def peak_thresholds(spark, d):
-    m = matched_pairs(spark, d).withColumn("unit", F.lit("pooled"))
+    m = pooled(matched_pairs(spark, d))
     levels = {"q80": 0.8, "q85": 0.85, "q90": 0.9, "q95": 0.95}
     found = percentiles(m, ["unit"], [consistency.X, consistency.Y], levels, hot_rows=0)
     return found.select("unit", F.inline(F.array(*[
@@ -259,10 +259,13 @@ def functional_class_compare(spark, d):
 
 
 def ingested_segment_grid(spark, d):
-    """Documents to block-time grid: ingest, block lookup, cleaning, aggregation."""
+    """Documents to block-time grid: ingest, block lookup, cleaning, aggregation.
+
+    Every group takes the way of a hot one.
+    """
     flows = payloads.parse_segment_payloads(fx.segment_payload(spark, d)).flows
     feed = payloads.segment_feed(flows, fx.place_blocks(spark, d))
-    return grid.segment_block_time(quality.clean_segments(feed).valid).select(
+    return grid.segment_block_time(quality.clean_segments(feed).valid, hot_rows=0).select(
         "block_id", "interval_30min", "here_mean_speed", "here_median_jam_factor", "here_segment_count", "here_record_count"
     )
 

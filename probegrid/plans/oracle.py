@@ -231,12 +231,13 @@ def _correlation_by_block(column: str) -> str:
     )
 
 
-def _deal(points_filter: str, key_filter: str, columns: str) -> str:
+def _deal(points_filter: str, key_filter: str, columns: str, order: str = "c_custkey") -> str:
     return f"""
 with {USAGE},
-dealt as (select 'M' || c_custkey::varchar as uuid, row_number() over (order by c_custkey) - 1 as turn from customer),
+site as (select 'M' || c_custkey::varchar as uuid, c_custkey, {POSITION.format("c_custkey")} from customer),
+dealt as (select *, row_number() over (order by {order}) - 1 as turn from site),
 seats as (select uuid as key_number, platform, row_number() over (order by uuid) - 1 as seat from keys {key_filter})
-select {columns} from dealt join seats on turn % (select count(*) from seats) = seat where {points_filter}"""
+select {columns} from dealt join (select key_number, platform, seat from seats) s on turn % (select count(*) from seats) = s.seat where {points_filter}"""
 
 
 STREAM_SEGMENT = "with " + SEGMENT_BLOCK + f" select block_id, interval_30min, {_rs('here_mean_speed', 'here_mean_jam_factor', 'here_mean_confidence')}, here_record_count from segment_30"
@@ -467,6 +468,10 @@ with boxes as (
   from supplier),
 pos as (select event_id, 1.0::double + (event_id % 512) / 1024.0::double as lat, 110.0::double + (event_id % 1000) / 1000.0::double as lon from events)
 select event_id, name from pos join boxes on lon between x0 and x1 and lat between y0 and y1""",
+    "round_robin_assign": _deal(
+        "platform = 'TOMTOM'", "", "md5('run-1#' || uuid) as uuid, 'run-1' as pd_uuid, key_number, uuid as point_uuid, latitude, longitude",
+        "md5(uuid || '#7')",
+    ),
     "ordered_assign": _deal("platform = 'TOMTOM'", "", "md5('run-1#' || uuid) as uuid, 'run-1' as pd_uuid, key_number, uuid as point_uuid"),
     "ordered_assign_filtered": _deal("true", "where platform = 'TOMTOM'", "key_number, uuid as point_uuid"),
     "assignment_balance": "with " + ASSIGNED + """
