@@ -1,7 +1,8 @@
 """Congestion patterns in time and space, from the cleaned point table.
 
 These analyses are named, not defined, by the workflow this library serves;
-the definitions are given in each function.
+the definitions are given in each function. Those with quantiles read their
+input more than once: pass a stored table.
 """
 
 from __future__ import annotations

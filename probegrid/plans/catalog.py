@@ -264,7 +264,7 @@ def ingested_segment_grid(spark, d):
     Every group takes the way of a hot one.
     """
     flows = payloads.parse_segment_payloads(fx.segment_payload(spark, d)).flows
-    feed = payloads.segment_feed(flows, fx.place_blocks(spark, d))
+    feed = stored(payloads.segment_feed(flows, fx.place_blocks(spark, d)), "segment-feed")
     return grid.segment_block_time(quality.clean_segments(feed).valid, hot_rows=0).select(
         "block_id", "interval_30min", "here_mean_speed", "here_median_jam_factor", "here_segment_count", "here_record_count"
     )
@@ -340,7 +340,8 @@ def weekly_heatmap(spark, d):
 
 
 def boxplot_stats(spark, d):
-    cleaned = points(spark, d).cleaned.withColumn("day_type", scalars.day_type(F.col("interval_15min")))
+    day_type = scalars.day_type(F.col("interval_15min")).alias("day_type")
+    cleaned = stored(points(spark, d).cleaned.select(day_type, "ci_percent"), "cleaned")
     return patterns.boxplot_stats(cleaned, ["day_type"], hot_rows=0)
 
 
@@ -361,6 +362,11 @@ def _of_cleaned(operator):
     return lambda spark, d: operator(points(spark, d).cleaned)
 
 
+def _of_stored(operator, *columns: str):
+    """For operators that read their input more than once."""
+    return lambda spark, d: operator(stored(points(spark, d).cleaned.select(*columns), "cleaned"))
+
+
 def _of_layout(operator):
     return lambda spark, d: operator(points(spark, d).cleaned, default_point_config(spark))
 
@@ -433,13 +439,13 @@ BATCH: dict[str, Query] = {
     "current_job_state": current_job_state,
     "job_run_summary": job_run_summary,
     "heartbeat_outages": heartbeat_outages,
-    "weekly_distribution": _of_cleaned(patterns.weekly_distribution),
+    "weekly_distribution": _of_stored(patterns.weekly_distribution, "interval_15min", "ci_percent"),
     "weekly_heatmap": weekly_heatmap,
     "monthly_trend": _of_cleaned(patterns.monthly_trend),
     "daily_fluctuation": _of_cleaned(patterns.daily_fluctuation),
     "boxplot_stats": boxplot_stats,
     "impact_comparison": impact_comparison,
-    "hotspot_topk": _of_cleaned(patterns.hotspots),
+    "hotspot_topk": _of_stored(patterns.hotspots, "point_id", "ci_percent"),
     "segment_speed_profile": _of_layout(patterns.speed_profile),
     "functional_class_compare": functional_class_compare,
     "time_space_matrix": time_space_matrix,
