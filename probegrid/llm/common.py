@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from probegrid.session import stored
 
-__all__ = ["DOC_KEY", "documents_of", "keyed", "same_key", "sorted_flags", "stored", "strings", "table"]
+__all__ = ["DOC_KEY", "documents_of", "keyed", "release", "same_key", "sorted_flags", "stored", "strings", "table"]
 
 #: Names a document row even where doc_id repeats or is null: equal keys mean an equal id and an equal text.
 DOC_KEY = ["_id", "_h"]
@@ -37,6 +38,12 @@ def same_key(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
     return condition
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished steps: Spark deletes them once the driver's references are collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
