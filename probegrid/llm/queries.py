@@ -10,9 +10,13 @@ from probegrid.llm.archives import archive_pages
 from probegrid.llm.common import table
 from probegrid.llm.decontamination import decontaminate
 from probegrid.llm.exact_dedup import exact_duplicates
+from probegrid.llm.html_blocks import extract_text
+from probegrid.llm.licenses import license_scan, license_sql
 from probegrid.llm.near_dedup import near_duplicates
 from probegrid.llm.packing import pack
+from probegrid.llm.pii import find_pii
 from probegrid.llm.suffix_dedup import remove_repeats
+from probegrid.llm.toxicity import classify
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,10 +27,18 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -47,12 +59,25 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(table(spark, sf_dir, "documents"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return classify(documents, documents, table(spark, sf_dir, "labels"))
+
+
 def llm_queries() -> dict[str, Query]:
-    named = [op2_near_dedup, op4_warc, op5_decontamination, op6_exact_dedup, op7_suffix_dedup, op8_packing]
+    named = [
+        op1_html_blocks, op2_near_dedup, op3_licenses, op4_warc, op5_decontamination,
+        op6_exact_dedup, op7_suffix_dedup, op8_packing, op9_pii, op10_toxicity,
+    ]
     return {q.__name__: q for q in named}
 
 
 LLM_ORACLE = {
+    "op3_licenses": license_sql(),
     "op6_exact_dedup": """
         select doc_id, max(doc_id) over same as keep_id, count(*) over same as group_size,
             doc_id = max(doc_id) over same as kept, sha256(coalesce(text, '')) as text_sha256
