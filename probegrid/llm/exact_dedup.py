@@ -6,10 +6,12 @@ adjacent pairs of integers are sorted and numbered in the same way, level by
 level, until every document is a single integer. Level and integer together
 identify the text: no hash takes part in the comparison, so nothing collides.
 
-Scale: the text is shuffled once, by range of (block, document, position).
-That key is unique, so a block that a third of all documents share is dealt
-over many tasks; its integer is the same in each, as the first value of a task
-is compared with the last one of the task before. There are log2(blocks of the
+Scale: the text is shuffled once, by range. Blocks are ordered by their first
+bytes, then by a hash, then by all their bytes, and last by document and
+position. So a block that a third of all documents share is dealt over many
+tasks; its integer is the same in each, as the first value of a task is
+compared with the last one of the task before. The range borders are sampled
+from the short keys, never from whole blocks. There are log2(blocks of the
 longest text) levels; each handles half the rows of the one before and is
 written to the shared folder, so a lost executor costs one level at most.
 """
@@ -25,9 +27,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from probegrid.llm.common import DOC_KEY, documents_of, keyed, same_key, sorted_flags, stored
+from probegrid.llm.common import DOC_KEY, keyed, sorted_flags, stored
 
 BLOCK_BYTES = 16384
+#: Bytes of a block that take part in its range key.
+HEAD_BYTES = 16
 
 _NAMED = "_id long, _h long, m long, pos long, part long, rank long, distinct long, first binary, last binary"
 
@@ -37,11 +41,12 @@ def _edge(values: tuple | None) -> bytes | None:
 
 
 def sort_names(rows: DataFrame, value: list[str]) -> DataFrame:
-    """``_id, _h, m, pos, name``: rows with equal values get equal integers, greater values greater ones.
+    """``_id, _h, m, pos, name``: rows with equal values get equal integers, numbered in sorted order.
 
     ``value`` columns are not null. Repeated rows are kept.
     """
-    order = [*value, "_id", "_h", "pos"]
+    place = ["_id", "_h", "pos"]
+    short = ["_head", "_hash"] if value == ["block"] else value
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, rank, first, last = TaskContext.get().partitionId(), -1, None, None
@@ -59,7 +64,10 @@ def sort_names(rows: DataFrame, value: list[str]) -> DataFrame:
 
     longs = [pa.field(c, pa.int64()) for c in ("_id", "_h", "m", "pos", "part", "rank", "distinct")]
     schema = pa.schema([*longs, pa.field("first", pa.binary()), pa.field("last", pa.binary())])
-    ranked = rows.select("_id", "_h", "m", "pos", *value).repartitionByRange(*order).sortWithinPartitions(*order)
+    if value == ["block"]:
+        rows = rows.withColumn("_head", F.substring("block", 1, HEAD_BYTES)).withColumn("_hash", F.xxhash64("block"))
+    dealt = rows.repartitionByRange(*short, *place)
+    ranked = dealt.sortWithinPartitions(*short, *[v for v in value if v not in short], *place).select("_id", "_h", "m", "pos", *value)
     numbered = stored(ranked.mapInArrow(number, _NAMED), "block-names")
     # one row per task: a task's numbers start after those of all tasks before it, less the values that cross a border
     by_part = Window.orderBy("part")
