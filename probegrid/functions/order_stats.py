@@ -1,16 +1,15 @@
 """Exact ranks, percentiles and row numbers that never gather a large group.
 
-``percentile`` and ``rank`` need all rows of a group in one task. That is the
-cheapest plan for the usual group of a few hundred rows, and fails for a
-pooled unit or a group that holds a large share of the data. So groups are
-split by size. Those up to ``HOT_ROWS`` rows use the built-ins. In the rest
-equal values are counted first (a frequent value is one row), the values are
-cut into ordered buckets by a fixed monotone function, and each bucket is
-sorted on its own; only the bucket totals, a few thousand rows per group
-whatever the data size, are summed in order. Both ways give the same numbers.
-
-The bucket of a value depends on the value alone. A task that is run again
-after an executor loss therefore places every row as before.
+Equal values of a unit are counted first, so a frequent value is one row. The
+counted values are dealt in order by range partitioning, whose borders Spark
+samples from the data: however narrow or wide the values are, a task gets about
+as many as any other. The number of the task is stored with the row as its
+bucket. Each bucket is sorted on its own, and bucket totals are summed in order.
+There is one way for units of every size.
+
+The dealt rows are written to the shared folder, so a later step, or one that
+is repeated after an executor loss, sees the same buckets. NaN is the largest
+value, as in Spark's own ordering.
 """
 
 from __future__ import annotations
@@ -18,73 +17,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RESOLUTION = 256
-HOT_ROWS = 200_000
+from probegrid.session import stored
 
 
-def value_bucket(x: Column, resolution: int = RESOLUTION) -> Column:
-    """Whole number that never falls as ``x`` grows: fine near 0, coarse far out."""
-    size = F.least(F.abs(x.cast("double")), F.lit(1.7976931348623157e308))
-    return (F.signum(x.cast("double")) * F.floor(F.log1p(size) * resolution)).cast("int")
+def in_order(df: DataFrame, order: list[str]) -> DataFrame:
+    """``df`` with ``bucket``, a whole number that does not fall along ``order``; equal rows share one."""
+    return stored(df.repartitionByRange(*order).withColumn("bucket", F.spark_partition_id()), "in-order")
 
 
-def _offsets(buckets: DataFrame, units: list[str]) -> DataFrame:
-    """Rows before each bucket, and rows in the unit, from per-bucket counts."""
-    totals = buckets.groupBy(*units, "bucket").agg(F.sum("n_equal").alias("bucket_n"))
+def _positions(df: DataFrame, units: list[str], value: str) -> DataFrame:
+    """Counted values of each unit in order: ``value, n_equal, bucket, bucket_start, bucket_n, unit_n``.
+
+    A null is kept as a value that counts nothing, so a unit without values has a row.
+    """
+    counted = df.groupBy(*units, F.col(value).cast("double").alias("value")).agg(F.count(value).alias("n_equal"))
+    ordered = in_order(counted, [*units, "value"])
     unit = Window.partitionBy(*units)
     before = unit.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    return totals.select(
-        *units,
-        "bucket",
-        "bucket_n",
-        F.coalesce(F.sum("bucket_n").over(before), F.lit(0)).alias("bucket_start"),
-        F.sum("bucket_n").over(unit).alias("unit_n"),
+    totals = ordered.groupBy(*units, "bucket").agg(F.sum("n_equal").alias("bucket_n")).select(
+        *units, "bucket", "bucket_n", F.coalesce(F.sum("bucket_n").over(before), F.lit(0)).alias("bucket_start"), F.sum("bucket_n").over(unit).alias("unit_n"),
     )
+    return ordered.join(totals, [*units, "bucket"])
 
 
-def _value_counts(df: DataFrame, units: list[str], value: str) -> DataFrame:
-    counted = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*units, F.col(value).cast("double").alias("value"))
-        .agg(F.count("*").alias("n_equal"))
-    )
-    return counted.withColumn("bucket", value_bucket(F.col("value")))
-
-
-def _place(counts: DataFrame, offsets: DataFrame, units: list[str]) -> DataFrame:
-    """Add to every distinct value the number of rows below it in its unit."""
-    below = (
-        Window.partitionBy(*units, "bucket")
-        .orderBy("value")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    return counts.join(offsets, [*units, "bucket"]).select(
-        *units,
-        "value",
-        "n_equal",
+def _place(positions: DataFrame, units: list[str]) -> DataFrame:
+    """Add to every value the number of rows below it in its unit."""
+    below = Window.partitionBy(*units, "bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    return positions.select(
+        *units, "value", "n_equal",
         (F.col("bucket_start") + F.coalesce(F.sum("n_equal").over(below), F.lit(0))).alias("n_below"),
         "unit_n",
     )
 
 
-def split_by_size(df: DataFrame, units: list[str], hot_rows: int) -> tuple[DataFrame | None, DataFrame | None]:
-    """Rows of groups up to ``hot_rows`` rows, and rows of larger groups.
-
-    At most one group in ``hot_rows`` rows can be larger, which bounds the
-    broadcast list (five million ids for a trillion rows). Where it is empty,
-    AQE removes the second branch before it reads anything.
-    """
-    if hot_rows <= 0:
-        return None, df
-    sizes = df.groupBy(*units).agg(F.count("*").alias("n"))
-    hot = F.broadcast(sizes.where(F.col("n") > hot_rows).select(*units))
-    return df.join(hot, units, "left_anti"), df.join(hot, units, "left_semi")
-
-
-def _joined(parts: list[DataFrame]) -> DataFrame:
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-
-
 def complete(df: DataFrame, columns: list[str]) -> DataFrame:
     """Rows with all ``columns`` present."""
     return df.where(" and ".join(f"`{c}` is not null" for c in columns))
@@ -99,14 +64,12 @@ def pooled(df: DataFrame, name: str = "unit") -> DataFrame:
 def value_positions(df: DataFrame, units: list[str], value: str) -> DataFrame:
     """One row per unit and distinct value: n_equal, n_below, unit_n.
 
-    The bucketed way, for groups of any size. The average rank of a value is
-    ``n_below + (n_equal + 1) / 2``.
+    The average rank of a value is ``n_below + (n_equal + 1) / 2``.
     """
-    counts = _value_counts(df, units, value)
-    return _place(counts, _offsets(counts, units), units)
+    return _place(_positions(df.where(F.col(value).isNotNull()), units, value), units)
 
 
-def ranked_pairs(df: DataFrame, units: list[str], x: str, y: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+def ranked_pairs(df: DataFrame, units: list[str], x: str, y: str) -> DataFrame:
     """Complete pairs with x_below, x_equal, y_below, y_equal and n of their unit.
 
     ``x_below`` counts the unit's rows with a smaller x, ``x_equal`` those
@@ -115,29 +78,20 @@ def ranked_pairs(df: DataFrame, units: list[str], x: str, y: str, hot_rows: int
     pairs = complete(
         df.select(*units, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")), [*units, "x", "y"]
     )
-    small, large = split_by_size(pairs, units, hot_rows)
-    parts = []
-    if small is not None:
-        unit = Window.partitionBy(*units)
-        counted = small.withColumn("n", F.count("*").over(unit))
-        for side in ("x", "y"):
-            counted = counted.withColumn(f"{side}_below", (F.rank().over(unit.orderBy(side)) - 1).cast("bigint"))
-            counted = counted.withColumn(f"{side}_equal", F.count("*").over(Window.partitionBy(*units, side)))
-        parts.append(counted)
-    if large is not None:
-        # Joined on (unit, value): AQE splits a value that very many rows share.
-        ranked = large
-        for side in ("x", "y"):
-            positions = value_positions(large, units, side).select(
-                *units,
-                F.col("value").alias(side),
-                F.col("n_below").alias(f"{side}_below"),
-                F.col("n_equal").alias(f"{side}_equal"),
-                *([F.col("unit_n").alias("n")] if side == "x" else []),
-            )
-            ranked = ranked.join(positions, [*units, side])
-        parts.append(ranked)
-    return _joined(parts)
+    sides = pairs.select(*units, F.inline(F.array(*[F.struct(F.lit(v).alias("side"), F.col(v).alias("value")) for v in ("x", "y")])))
+    placed = value_positions(sides, [*units, "side"], "value")
+    # Joined on (unit, value): AQE splits a value that very many rows share.
+    ranked = pairs
+    for side in ("x", "y"):
+        of_side = placed.where(F.col("side") == side).select(
+            *units,
+            F.col("value").alias(side),
+            F.col("n_below").alias(f"{side}_below"),
+            F.col("n_equal").alias(f"{side}_equal"),
+            *([F.col("unit_n").alias("n")] if side == "x" else []),
+        )
+        ranked = ranked.join(of_side, [*units, side])
+    return ranked
 
 
 def average_rank(n_below: Column, n_equal: Column) -> Column:
@@ -150,48 +104,24 @@ def interpolate(low: Column, high: Column, share: Column) -> Column:
     return F.when(share >= 0.5, high - step * (1 - share)).otherwise(low + step * share)
 
 
-def percentiles(
-    df: DataFrame, units: list[str], values: list[str], wanted: dict[str, float], hot_rows: int = HOT_ROWS
-) -> DataFrame:
+def percentiles(df: DataFrame, units: list[str], values: list[str], wanted: dict[str, float]) -> DataFrame:
     """Exact linear-interpolation percentiles of several measures per unit.
 
     ``wanted`` names the quantiles. The result has the unit columns, and for
-    every measure m its count ``m_n`` and a column ``m_<name>`` per quantile.
+    every measure m its count ``m_n`` and a column ``m_<name>`` per quantile. A
+    unit without values has counts of 0 and nulls. All measures share one pass; a
+    bucket no quantile falls in is dropped before anything is sorted.
     """
     base = complete(df.select(*units, *[F.col(v).cast("double").alias(v) for v in values]), units)
-    small, large = split_by_size(base, units, hot_rows)
-    parts = []
-    if small is not None:
-        parts.append(_builtin_percentiles(small, units, values, wanted))
-    if large is not None:
-        parts.append(_bucketed_percentiles(large, units, values, wanted))
-    return _joined(parts)
-
-
-def _builtin_percentiles(df: DataFrame, units: list[str], values: list[str], wanted: dict[str, float]) -> DataFrame:
-    levels = F.array(*[F.lit(float(q)) for q in wanted.values()])
-    found = df.groupBy(*units).agg(*[
-        agg for v in values for agg in (F.count(v).alias(f"{v}_n"), F.percentile(v, levels).alias(f"{v}_all"))
-    ])
-    return found.select(*units, *[
-        col for v in values
-        for col in (f"{v}_n", *[F.col(f"{v}_all")[i].alias(f"{v}_{name}") for i, name in enumerate(wanted)])
-    ])
-
-
-def _bucketed_percentiles(df: DataFrame, units: list[str], values: list[str], wanted: dict[str, float]) -> DataFrame:
-    """All measures share one pass; a bucket no quantile falls in is dropped
-    before anything is sorted."""
     keys = [*units, "measure"]
-    long = df.select(
+    long = base.select(
         *units,
         F.inline(F.array(*[F.struct(F.lit(v).alias("measure"), F.col(v).alias("value")) for v in values])),
     )
-    counts = _value_counts(long, keys, "value")
     spots = {name: f"(unit_n - 1) * {float(q)}D" for name, q in wanted.items()}
     ends = [f"{end}({spot})" for spot in spots.values() for end in ("floor", "ceil")]
     needed = " or ".join(f"(bucket_start <= {p} and {p} < bucket_start + bucket_n)" for p in ends)
-    placed = _place(counts, _offsets(counts, keys).where(needed), keys)
+    placed = _place(_positions(long, keys, "value").where(f"unit_n = 0 or {needed}"), keys)
 
     def at(measure: str, position: str) -> str:
         return f"max(case when measure = '{measure}' and n_below <= {position} and {position} < n_below + n_equal then value end)"
@@ -214,13 +144,13 @@ def _bucketed_percentiles(df: DataFrame, units: list[str], values: list[str], wa
     return found.select(*units, *cols)
 
 
-def row_numbers(df: DataFrame, order: list[str], bucket: Column, name: str = "row_number") -> DataFrame:
+def row_numbers(df: DataFrame, order: list[str], name: str = "row_number") -> DataFrame:
     """Number all rows from 1 in ``order`` without one global sort.
 
-    ``bucket`` must not fall along ``order`` and take a bounded number of
-    values: each bucket is numbered on its own and shifted by the rows before.
+    ``order`` should be unique: rows that are equal in it are numbered in any order.
     """
-    tagged = df.withColumn("bucket", bucket)
+    tagged = in_order(df, order)
+    # one row per bucket, of which there are as many as shuffle partitions
     totals = tagged.groupBy("bucket").agg(F.count("*").alias("bucket_n"))
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select(
@@ -233,8 +163,3 @@ def row_numbers(df: DataFrame, order: list[str], bucket: Column, name: str = "ro
         .withColumn(name, F.col("bucket_start") + F.col("in_bucket"))
         .drop("bucket", "bucket_start", "in_bucket")
     )
-
-
-def hash_bucket(hex_hash: Column) -> Column:
-    """The first three hex digits of a hash: ordered like the hash, 4,096 buckets."""
-    return F.conv(F.substring(hex_hash, 1, 3), 16, 10).cast("int")

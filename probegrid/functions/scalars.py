@@ -14,15 +14,27 @@ from pyspark.sql import types as T
 
 from probegrid.schema import CLOSURE_WORDS, TIMESTAMP_FORMATS
 
+# White space around a value: what text editors and exports leave there.
+BLANKS = " \t\n\r\u000b\u000c\u00a0\u3000"
 NUMBER_PATTERN = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$|^[+-]?(?i:inf|infinity)$"
 
 
-def parse_timestamp(c: Column, dtype: T.DataType, formats=TIMESTAMP_FORMATS) -> Column:
-    """Timestamp without zone; text that fits no format becomes null."""
+OFFSET_PATTERN = r"[0-9]:[0-9]{2}(:[0-9.]+)?\s*(Z|[+-][0-9]{2}:?[0-9]{2})$"
+
+
+def parse_timestamp(c: Column, dtype: T.DataType, formats=TIMESTAMP_FORMATS, zone: str | None = None) -> Column:
+    """Timestamp without zone; text that fits no format becomes null.
+
+    An offset in the text is honoured: the time is moved to ``zone``, by default
+    the session's.
+    """
     if not isinstance(dtype, T.StringType):
         return c.cast("timestamp_ntz")
-    text = F.trim(c)
-    tries = [text.try_cast("timestamp_ntz")]
+    text = F.trim(c, F.lit(BLANKS))
+    # text that states its offset is an instant: it is given in the zone of the feed
+    instant = F.when(text.rlike(OFFSET_PATTERN), text.try_cast("timestamp"))
+    here = instant.cast("timestamp_ntz") if zone is None else F.convert_timezone(None, F.lit(zone), instant.cast("timestamp_ntz"))
+    tries = [here, text.try_cast("timestamp_ntz")]
     tries += [F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz") for f in formats]
     return F.coalesce(*tries)
 
@@ -40,7 +52,7 @@ def floor_minutes(ts: Column, minutes: int) -> Column:
 def parse_number(c: Column, dtype: T.DataType) -> Column:
     """Double, with unreadable text and NaN both as null."""
     if isinstance(dtype, T.StringType):
-        text = F.trim(c)
+        text = F.trim(c, F.lit(BLANKS))
         value = F.when(text.rlike(NUMBER_PATTERN), text.try_cast("double"))
     else:
         value = c.cast("double")
@@ -49,7 +61,7 @@ def parse_number(c: Column, dtype: T.DataType) -> Column:
 
 def is_closed(c: Column) -> Column:
     """True for the closure words in any case; null counts as open."""
-    return F.coalesce(F.lower(F.trim(c.cast("string"))).isin(CLOSURE_WORDS), F.lit(False))
+    return F.coalesce(F.lower(F.trim(c.cast("string"), F.lit(BLANKS))).isin(CLOSURE_WORDS), F.lit(False))
 
 
 def id_text(c: Column, dtype: T.DataType | None = None) -> Column:

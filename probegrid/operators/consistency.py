@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from probegrid.functions.order_stats import HOT_ROWS, average_rank, interpolate, pooled, ranked_pairs
+from probegrid.functions.order_stats import average_rank, interpolate, pooled, ranked_pairs
 from probegrid.operators.dedup import distinct_complete
 from probegrid.schema import LAG_MINUTES, PEAK_QUANTILE, THRESHOLD_QUANTILES
 
@@ -25,7 +25,6 @@ def consistency_stats(
     x: str = X,
     y: str = Y,
     quantiles: tuple[float, ...] = (PEAK_QUANTILE,),
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Per unit and quantile: n, moments, medians, Pearson, Spearman, peak overlap.
 
@@ -35,7 +34,7 @@ def consistency_stats(
     and the right count is taken once the quantile itself is known.
     """
     q_list = F.array(*[F.lit(float(q)) for q in quantiles])
-    rows = ranked_pairs(df, units, x, y, hot_rows).select(
+    rows = ranked_pairs(df, units, x, y).select(
         *units, "x", "y", "n",
         F.explode(q_list).alias("quantile"),
         "x_below", "y_below",

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SLOT_KEY = ["point_id", "interval_15min"]
-RECORD_KEY = [*SLOT_KEY, "timestamp", "ingest_seq"]
 
 
 def keep_first(valid: DataFrame, key: list[str] = SLOT_KEY, order: list[str] = ["timestamp", "ingest_seq"]) -> DataFrame:
@@ -14,19 +13,29 @@ def keep_first(valid: DataFrame, key: list[str] = SLOT_KEY, order: list[str] = [
 
     ``row_number() = 1`` is planned with a group limit before the shuffle as
     well: each map task sends at most one record per key, so a slot with a
-    very large number of copies does not arrive whole in one task.
+    very large number of copies does not arrive whole in one task. What the
+    order leaves open is decided by the content, so a repeated run, and a second
+    use of the same plan, keep the same records.
     """
-    w = Window.partitionBy(*key).orderBy(*order)
+    w = Window.partitionBy(*key).orderBy(*order, F.xxhash64(*valid.columns), *[c for c in valid.columns if c not in (*key, *order)])
     return valid.withColumn("_nth", F.row_number().over(w)).where("_nth = 1").drop("_nth")
 
 
-def duplicates_of(valid: DataFrame, kept: DataFrame, record_key: list[str] = RECORD_KEY) -> DataFrame:
-    """The valid records that ``keep_first`` removed.
+def duplicates_of(valid: DataFrame, kept: DataFrame) -> DataFrame:
+    """The valid records that ``keep_first`` removed; with the kept ones they are all of ``valid``.
 
-    Anti-joined on the whole record key and not numbered per slot: the key is
-    unique, so copies of one slot spread over all tasks.
+    Equal records are counted before the shuffle. A kept record gives its other
+    copies, any other record all of them; missing values compare as equal.
     """
-    return valid.join(kept.select(*record_key), record_key, "left_anti").select(*valid.columns)
+    columns = valid.columns
+    counted = valid.groupBy(*columns).agg(F.count("*").alias("_copies")).withColumn("_row", F.xxhash64(*columns))
+    winners = kept.select(*[F.col(c).alias(f"_w_{c}") for c in columns]).withColumn("_w_row", F.xxhash64(*[f"_w_{c}" for c in columns]))
+    same = counted["_row"] == winners["_w_row"]
+    for c in columns:
+        same = same & counted[c].eqNullSafe(winners[f"_w_{c}"])
+    left = F.col("_copies") - F.when(F.col("_w_row").isNotNull(), 1).otherwise(0)
+    removed = counted.join(winners, same, "left").withColumn("_left", left).where("_left > 0")
+    return removed.select(*columns, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_left"))).alias("_copy")).select(*columns)
 
 
 def distinct_complete(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from probegrid.functions.order_stats import HOT_ROWS, percentiles, split_by_size
+from probegrid.functions.order_stats import percentiles
 from probegrid.functions.scalars import floor_minutes, id_text, ratio
 
 BLOCK_SLOT = ["block_id", "interval_30min"]
@@ -49,10 +47,16 @@ def point_blocks(config: DataFrame) -> DataFrame:
     )
 
 
-def unassigned_points(cleaned: DataFrame, config: DataFrame, limit: int = 20) -> DataFrame:
-    """The first ids without a block, in id order."""
+def point_layout(config: DataFrame) -> DataFrame:
+    """point_id as the records have it, and its place along the corridor."""
+    point = id_text(F.col("point_id"), {f.name: f.dataType for f in config.schema}["point_id"])
+    return config.select(point.alias("point_id"), "corridor_order")
+
+
+def unassigned_points(cleaned: DataFrame, config: DataFrame) -> DataFrame:
+    """All ids without a block, in id order."""
     known = point_blocks(config).where(F.col("block_id").isNotNull())
-    return cleaned.select("point_id").distinct().join(known, "point_id", "left_anti").orderBy("point_id").limit(limit)
+    return cleaned.select("point_id").distinct().join(known, "point_id", "left_anti").orderBy("point_id")
 
 
 def assign_blocks(cleaned: DataFrame, config: DataFrame) -> DataFrame:
@@ -104,46 +108,32 @@ def block_30min_weighted(cleaned: DataFrame, config: DataFrame, weights: DataFra
     )
 
 
-def segment_block_time(valid: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def segment_block_time(valid: DataFrame) -> DataFrame:
     """Segment records per block and 30 minutes, without dedup.
 
-    A usual group takes one aggregation with the built-in exact median and a
-    set of its segments. A group above ``hot_rows`` records is split over
-    tasks: combined means, two-step distinct count, bucketed medians.
+    Means are combined before the shuffle, segments are counted in two steps and
+    medians come from counted values, so one block-slot may hold most records.
+    ``valid`` is read twice.
     """
-    means = [
+    core = valid.groupBy(*BLOCK_SLOT).agg(
         F.avg("speed").alias("here_mean_speed"),
         F.avg("jam_factor").alias("here_mean_jam_factor"),
         F.count("*").alias("here_record_count"),
         F.avg("confidence").alias("here_mean_confidence"),
-    ]
-    small, large = split_by_size(valid, BLOCK_SLOT, hot_rows)
-    parts = []
-    if small is not None:
-        parts.append(small.groupBy(*BLOCK_SLOT).agg(
-            *means,
-            F.size(F.collect_set("segment_id")).cast("bigint").alias("here_segment_count"),
-            F.median("speed").alias("here_median_speed"),
-            F.median("jam_factor").alias("here_median_jam_factor"),
-        ))
-    if large is not None:
-        core = large.groupBy(*BLOCK_SLOT).agg(*means, F.count_distinct("segment_id").alias("here_segment_count"))
-        medians = percentiles(large, BLOCK_SLOT, ["speed", "jam_factor"], {"median": 0.5}, hot_rows=0)
-        parts.append(core.join(medians, BLOCK_SLOT).withColumnsRenamed(
-            {"speed_median": "here_median_speed", "jam_factor_median": "here_median_jam_factor"}
-        ))
-    columns = [
+        F.count_distinct("segment_id").alias("here_segment_count"),
+    )
+    medians = percentiles(valid, BLOCK_SLOT, ["speed", "jam_factor"], {"median": 0.5})
+    return core.join(medians, BLOCK_SLOT).select(
         *BLOCK_SLOT,
         "here_mean_speed",
-        "here_median_speed",
+        F.col("speed_median").alias("here_median_speed"),
         "here_mean_jam_factor",
-        "here_median_jam_factor",
+        F.col("jam_factor_median").alias("here_median_jam_factor"),
         "here_segment_count",
         "here_record_count",
         "here_mean_confidence",
-    ]
-    grid = reduce(DataFrame.unionByName, [p.select(*columns) for p in parts])
-    return grid.withColumn("date", F.to_date("interval_30min"))
+        F.to_date("interval_30min").alias("date"),
+    )
 
 
 def match_block_time(points: DataFrame, segments: DataFrame) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from probegrid.functions.order_stats import hash_bucket, row_numbers, value_bucket
+from probegrid.functions.order_stats import row_numbers
 from probegrid.functions.scalars import epoch_micros, interval_seconds, ratio
 from probegrid.schema import OUTAGE_MINUTES
 from probegrid.sources.tables import require_rows
@@ -14,7 +14,7 @@ from probegrid.sources.tables import require_rows
 # --- Assignment of points to keys -------------------------------------------
 
 def _deal(points: DataFrame, keys: DataFrame, platform: str, filter_first: bool, run_id: str,
-          order: list[str], bucket: Column) -> DataFrame:
+          order: list[str]) -> DataFrame:
     if filter_first:
         keys = keys.where(F.col("platform") == platform)
     # The key table is one row per account: a single ordered window is fine.
@@ -25,7 +25,7 @@ def _deal(points: DataFrame, keys: DataFrame, platform: str, filter_first: bool,
     )
     n_keys = keys.agg(F.count("*")).scalar()
     return (
-        row_numbers(points, order, bucket, "turn")
+        row_numbers(points, order, "turn")
         .withColumn("seat", (F.col("turn") - 1) % n_keys)
         .join(seats, "seat")
         .where(F.col("platform") == platform)
@@ -47,12 +47,12 @@ def round_robin_assign(
 
     Points dealt to another platform's key are dropped from the run, unless
     ``filter_first`` deals over the wanted platform's keys only. The order is
-    a seeded hash of the id, numbered in buckets, so a run can be repeated.
+    a seeded hash of the id, so a run can be repeated.
     """
     require_rows(keys, "api keys")
     require_rows(points, "monitor points")
     mixed = points.withColumn("_mix", F.md5(F.concat_ws("#", F.col("uuid"), F.lit(str(seed)))))
-    return _deal(mixed, keys, platform, filter_first, run_id, ["_mix", "uuid"], hash_bucket(F.col("_mix")))
+    return _deal(mixed, keys, platform, filter_first, run_id, ["_mix", "uuid"])
 
 
 def ordered_assign(
@@ -61,7 +61,7 @@ def ordered_assign(
     """As ``round_robin_assign``, in the order of a number column."""
     require_rows(keys, "api keys")
     require_rows(points, "monitor points")
-    return _deal(points, keys, platform, filter_first, run_id, [order], value_bucket(F.col(order)))
+    return _deal(points, keys, platform, filter_first, run_id, [order, "uuid"])
 
 
 def assignment_balance(assignments: DataFrame, planned: int | None = None) -> DataFrame:
@@ -80,7 +80,8 @@ def assignment_balance(assignments: DataFrame, planned: int | None = None) -> Da
 
 def run_completeness(assignments: DataFrame, flows: DataFrame) -> DataFrame:
     """Planned and captured points per run; a run stops at its first failure."""
-    seen = flows.select(F.col("point_uuid").alias("uuid"), F.lit(True).alias("captured"))
+    # a point may have several flows: it is captured once
+    seen = flows.select(F.col("point_uuid").alias("uuid")).distinct().withColumn("captured", F.lit(True))
     return assignments.select("uuid", "pd_uuid").join(seen, "uuid", "left").groupBy("pd_uuid").agg(
         F.count("*").alias("planned_points"),
         F.count("captured").alias("captured_points"),

@@ -10,9 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from probegrid.functions.order_stats import HOT_ROWS, percentiles, pooled
+from probegrid.functions.order_stats import percentiles, pooled
 from probegrid.functions.scalars import floor_minutes, ratio
-from probegrid.operators.grid import assign_blocks
+from probegrid.operators.grid import assign_blocks, point_layout
 from probegrid.schema import PEAK_QUANTILE
 
 CI = "ci_percent"
@@ -56,10 +56,10 @@ def daily_fluctuation(cleaned: DataFrame) -> DataFrame:
     return cleaned.groupBy("date").agg(*_moments())
 
 
-def boxplot_stats(df: DataFrame, units: list[str], measure: str = CI, hot_rows: int = HOT_ROWS) -> DataFrame:
+def boxplot_stats(df: DataFrame, units: list[str], measure: str = CI) -> DataFrame:
     """Quartiles, 1.5 IQR fences, whiskers and outlier count per group."""
     wanted = {"minimum": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "maximum": 1.0}
-    found = percentiles(df, units, [measure], wanted, hot_rows)
+    found = percentiles(df, units, [measure], wanted)
     five = found.select(*units, *[F.col(f"{measure}_{c}").alias(c) for c in ("n", *wanted)])
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     five = five.withColumn("lower_fence", F.col("q1") - reach).withColumn("upper_fence", F.col("q3") + reach)
@@ -125,7 +125,7 @@ def speed_profile(cleaned: DataFrame, config: DataFrame) -> DataFrame:
         F.avg("current_speed").alias("mean_current_speed"), F.avg(CI).alias("mean_ci_percent")
     )
     order = Window.partitionBy("block_id").orderBy("corridor_order")
-    return means.join(config.select("point_id", "corridor_order"), "point_id").select(
+    return means.join(point_layout(config), "point_id").select(
         "block_id",
         "point_id",
         "corridor_order",
@@ -146,13 +146,16 @@ def functional_class_compare(flows: DataFrame, shapes: DataFrame) -> DataFrame:
     )
 
 
-def time_space_matrix(cleaned: DataFrame, points: list[str]) -> DataFrame:
-    """One row per 30-minute slot, one column of mean speed per point in the list.
+def time_space_matrix(cleaned: DataFrame, config: DataFrame) -> DataFrame:
+    """One row per 30-minute slot, one column of mean speed per point of the layout.
 
-    The column list comes from the layout, so no pass looks for the values.
+    The layout names the columns, so no pass over the records looks for them; a
+    point outside it fails the job that meets it. For layouts of thousands of
+    points use ``time_space_long``.
     """
     slot = floor_minutes(F.col("interval_15min"), 30).alias("interval_30min")
-    return cleaned.groupBy(slot).pivot("point_id", points).agg(F.avg("current_speed"))
+    points = [r.point_id for r in point_layout(config).select("point_id").orderBy("point_id").toLocalIterator()]
+    return assign_blocks(cleaned, config).groupBy(slot).pivot("point_id", points).agg(F.avg("current_speed"))
 
 
 def time_space_long(cleaned: DataFrame, config: DataFrame) -> DataFrame:
@@ -161,20 +164,19 @@ def time_space_long(cleaned: DataFrame, config: DataFrame) -> DataFrame:
     cells = cleaned.groupBy(slot, "point_id").agg(
         F.avg("current_speed").alias("mean_current_speed"), F.avg(CI).alias("mean_ci_percent")
     )
-    return cells.join(config.select("point_id", "corridor_order"), "point_id", "left")
+    return cells.join(point_layout(config), "point_id", "left")
 
 
 def peak_hours(cleaned: DataFrame, q: float = PEAK_QUANTILE) -> DataFrame:
     """Per date: the hour with the highest mean congestion, and the number of
-    hours at or above that date's own quantile of hourly means."""
+    hours at or above the quantile of the hourly means of all dates."""
     hourly = cleaned.groupBy("date", F.hour("interval_15min").alias("hour")).agg(F.avg(CI).alias("mean_ci"))
-    # 24 rows per date: the built-in percentile holds no more than those.
+    limit = percentiles(pooled(hourly), ["unit"], ["mean_ci"], {"limit": q}).select("mean_ci_limit").scalar()
     limits = hourly.groupBy("date").agg(
-        F.percentile("mean_ci", F.lit(q)).alias("limit"),
         F.max(F.struct("mean_ci", (-F.col("hour")).alias("late"))).alias("top"),
     )
     return hourly.join(limits, "date").groupBy("date").agg(
         F.max(-F.col("top.late")).alias("peak_hour"),
         F.max("top.mean_ci").alias("peak_mean_ci"),
-        F.count_if(F.col("mean_ci") >= F.col("limit")).alias("hours_at_peak"),
+        F.count_if(F.col("mean_ci") >= limit).alias("hours_at_peak"),
     )

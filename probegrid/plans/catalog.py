@@ -63,7 +63,7 @@ def matched_pairs(spark: SparkSession, d: str) -> DataFrame:
 # --- sources, normalisation -----------------------------------------------------
 
 def scan_events(spark, d):
-    return read_table(spark, f"{d}/events.parquet").select("event_id", "ts", "user_id", "event_type", "value")
+    return read_table(spark, f"{d}/events.parquet").select("event_id", "ts", "user_id", "event_type", "value", "props")
 
 
 def point_config(spark, d):
@@ -170,8 +170,8 @@ def run_report(spark, d):
 # --- grid, agreement ---------------------------------------------------------------
 
 def unassigned_points(spark, d):
-    half = default_point_config(spark).where("block_id <> '2'")
-    return grid.unassigned_points(points(spark, d).cleaned, half)
+    first = default_point_config(spark).where("block_id = '1'")
+    return grid.unassigned_points(points(spark, d).cleaned, first)
 
 
 def block_30min_weighted(spark, d):
@@ -190,15 +190,14 @@ def pearson_by_block(spark, d):
 
 
 def spearman_by_block(spark, d):
-    """Ranked in ordered buckets whatever the size, as a pooled unit would be."""
-    s = consistency.consistency_stats(_cells(spark, d), ["block_id"], "srr", "ci_percent", hot_rows=0)
+    s = consistency.consistency_stats(_cells(spark, d), ["block_id"], "srr", "ci_percent")
     return s.select("block_id", "matched_n", "spearman_rho")
 
 
 def peak_thresholds(spark, d):
     m = pooled(matched_pairs(spark, d))
     levels = {"q80": 0.8, "q85": 0.85, "q90": 0.9, "q95": 0.95}
-    found = percentiles(m, ["unit"], [consistency.X, consistency.Y], levels, hot_rows=0)
+    found = percentiles(m, ["unit"], [consistency.X, consistency.Y], levels)
     return found.select("unit", F.inline(F.array(*[
         F.struct(F.lit(v).alias("measure"), F.col(f"{v}_n").alias("unit_n"), *[F.col(f"{v}_{q}").alias(q) for q in levels])
         for v in (consistency.X, consistency.Y)
@@ -259,13 +258,10 @@ def functional_class_compare(spark, d):
 
 
 def ingested_segment_grid(spark, d):
-    """Documents to block-time grid: ingest, block lookup, cleaning, aggregation.
-
-    Every group takes the way of a hot one.
-    """
+    """Documents to block-time grid: ingest, block lookup, cleaning, aggregation."""
     flows = payloads.parse_segment_payloads(fx.segment_payload(spark, d)).flows
     feed = stored(payloads.segment_feed(flows, fx.place_blocks(spark, d)), "segment-feed")
-    return grid.segment_block_time(quality.clean_segments(feed).valid, hot_rows=0).select(
+    return grid.segment_block_time(quality.clean_segments(feed).valid).select(
         "block_id", "interval_30min", "here_mean_speed", "here_median_jam_factor", "here_segment_count", "here_record_count"
     )
 
@@ -342,7 +338,7 @@ def weekly_heatmap(spark, d):
 def boxplot_stats(spark, d):
     day_type = scalars.day_type(F.col("interval_15min")).alias("day_type")
     cleaned = stored(points(spark, d).cleaned.select(day_type, "ci_percent"), "cleaned")
-    return patterns.boxplot_stats(cleaned, ["day_type"], hot_rows=0)
+    return patterns.boxplot_stats(cleaned, ["day_type"])
 
 
 def impact_comparison(spark, d):
@@ -350,8 +346,7 @@ def impact_comparison(spark, d):
 
 
 def time_space_matrix(spark, d):
-    ids = [f"P{n:02d}" for n in range(1, 43)]
-    return patterns.time_space_matrix(points(spark, d).cleaned, ids)
+    return patterns.time_space_matrix(points(spark, d).cleaned, default_point_config(spark))
 
 
 def time_space_long(spark, d):
@@ -450,7 +445,7 @@ BATCH: dict[str, Query] = {
     "functional_class_compare": functional_class_compare,
     "time_space_matrix": time_space_matrix,
     "time_space_long": time_space_long,
-    "peak_hour_shift": _of_cleaned(patterns.peak_hours),
+    "peak_hour_shift": _of_stored(patterns.peak_hours, "date", "interval_15min", "ci_percent"),
 }
 
 

@@ -89,7 +89,8 @@ def point_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
              when event_id % 37 = 0 then '{"flowSegmentData": {"currentSpeed": 1'
              when event_id % 41 = 0 then '{"detail": "no data"}'
              else to_json(named_struct('flowSegmentData', named_struct(
-               'currentSpeed', case when event_id % 7 = 0 then null else cast(40 + event_id % 60 as int) end,
+               'currentSpeed', case when event_id % 47 = 0 then element_at(array('99999999999', 'NaN', 'fast'), cast(1 + event_id % 3 as int))
+                                    when event_id % 7 = 0 then null else cast(40 + event_id % 60 as string) end,
                'freeFlowSpeed', cast(90 as int),
                'currentTravelTime', cast(100 + event_id % 33 as int),
                'freeFlowTravelTime', case when event_id % 11 = 0 then null else cast(100 as int) end,
@@ -223,13 +224,13 @@ def assigned_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scan boxes as text minLon,minLat,maxLon,maxLat; one per supplier."""
+    """Scan boxes as text minLon,minLat,maxLon,maxLat; one per supplier, ten to each degree going east."""
     return table(spark, sf_dir, "supplier").selectExpr(
         "'Box ' || cast(s_suppkey as string) name",
-        """concat_ws(',', cast(cast(110 + s_suppkey % 10 * 0.1 as decimal(5,2)) as string),
-             cast(cast(1 + s_suppkey div 10 % 10 * 0.05 as decimal(5,2)) as string),
-             cast(cast(110.15 + s_suppkey % 10 * 0.1 as decimal(5,2)) as string),
-             cast(cast(1.08 + s_suppkey div 10 % 10 * 0.05 as decimal(5,2)) as string)) bbox""",
+        """concat_ws(',', cast(cast(110 + s_suppkey * 0.1 as decimal(9,2)) as string),
+             cast(cast(1 + s_suppkey % 7 * 0.05 as decimal(5,2)) as string),
+             cast(cast(110.15 + s_suppkey * 0.1 as decimal(9,2)) as string),
+             cast(cast(1.08 + s_suppkey % 7 * 0.05 as decimal(5,2)) as string)) bbox""",
     )
 
 
@@ -237,7 +238,7 @@ def vehicle_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").selectExpr(
         "event_id",
         "1.0D + (event_id % 512) / 1024.0D latitude",
-        "110.0D + (event_id % 1000) / 1000.0D longitude",
+        "110.0D + event_id / 1000.0D longitude",
     )
 
 

@@ -154,7 +154,7 @@ messy as (
 
 POINT_DOCS = """
 docs as (
-  select *, event_id % 37 <> 0 and event_id % 41 <> 0 and event_id % 43 <> 0 as good,
+  select *, event_id % 37 <> 0 and event_id % 41 <> 0 and event_id % 43 <> 0 and event_id % 47 <> 0 as good,
     md5('A' || event_id::varchar || '#' || strftime(ts, '%Y-%m-%d %H:%M:%S') ||
         case when microsecond(ts) % 1000000 = 0 then '' else '.' || rtrim(lpad((microsecond(ts) % 1000000)::varchar, 6, '0'), '0') end) as flow_id
   from events)"""
@@ -262,7 +262,7 @@ select flow_id as uuid, 'A' || event_id::varchar as point_uuid, ts as capture_ti
 from docs where good"""
 
 ORACLE: dict[str, str] = {
-    "scan_events": "select event_id, ts, user_id, event_type, round(value + 1.2345e-8, 6) + 0.0 as value from events",
+    "scan_events": "select event_id, ts, user_id, event_type, round(value + 1.2345e-8, 6) + 0.0 as value, props from events",
     "point_config": "with " + POINT_RAW + "," + CONFIG + """
 select point_id, block_id, corridor_order, coalesce(n, 0)::bigint as raw_records
 from config left join (select point_id, count(*) as n from point_raw group by 1) using (point_id)""",
@@ -356,7 +356,7 @@ union all select 'segment_raw', count(*) from segment_flagged
 union all select 'segment_valid', count(*) from segment_valid
 union all select 'matched', count(*) from matched""",
     "unassigned_points": "with " + CLEANED + "," + CONFIG + """
-select distinct point_id from cleaned where point_id not in (select point_id from config where block_id <> '2') order by 1 limit 20""",
+select distinct point_id from cleaned where point_id not in (select point_id from config where block_id = '1') order by 1""",
     "point_30min": "with " + BLOCK + f"""
 select block_id, point_id, interval_30min, {_rs("tomtom_current_speed", "tomtom_free_flow_speed", "tomtom_current_travel_time", "tomtom_free_flow_travel_time", "tomtom_ci_percent", "tomtom_tti", "tomtom_srr", "tomtom_ett_seconds")},
   tomtom_15min_count from point_30""",
@@ -442,8 +442,8 @@ select uuid, bbox_uuid, batch_id, place_id, capture_time, road_name, number_road
 select flow_uuid, {_rs("latitude", "longitude")}, functional_class, all_description_str, all_length, zl_length, sequence_order from seg_shape""",
     "ingest_rejects": """
 select 'point' as feed, 'A' || event_id::varchar as doc_id,
-  case when event_id % 37 = 0 then 'unparseable' when event_id % 41 = 0 then 'no_flow_segment' else 'no_coordinates' end as reject_reason
-from events where event_id % 37 = 0 or event_id % 41 = 0 or event_id % 43 = 0
+  case when event_id % 37 = 0 then 'unparseable' when event_id % 41 = 0 then 'no_flow_segment' when event_id % 43 = 0 then 'no_coordinates' else 'bad_number' end as reject_reason
+from events where event_id % 37 = 0 or event_id % 41 = 0 or event_id % 43 = 0 or event_id % 47 = 0
 union all
 select distinct 'segment', 'B' || (event_id // 10)::varchar, case when (event_id // 10) % 58 = 0 then 'no_results' else 'unparseable' end
 from events where (event_id // 10) % 29 = 0""",
@@ -463,10 +463,10 @@ from link join site using (latitude, longitude) where captured""",
     "points_in_bbox": """
 with boxes as (
   select 'Box ' || s_suppkey::varchar as name,
-    cast(cast(110 + s_suppkey % 10 * 0.1 as decimal(5,2)) as double) as x0, cast(cast(1 + s_suppkey // 10 % 10 * 0.05 as decimal(5,2)) as double) as y0,
-    cast(cast(110.15 + s_suppkey % 10 * 0.1 as decimal(5,2)) as double) as x1, cast(cast(1.08 + s_suppkey // 10 % 10 * 0.05 as decimal(5,2)) as double) as y1
+    cast(cast(110 + s_suppkey * 0.1 as decimal(9,2)) as double) as x0, cast(cast(1 + s_suppkey % 7 * 0.05 as decimal(5,2)) as double) as y0,
+    cast(cast(110.15 + s_suppkey * 0.1 as decimal(9,2)) as double) as x1, cast(cast(1.08 + s_suppkey % 7 * 0.05 as decimal(5,2)) as double) as y1
   from supplier),
-pos as (select event_id, 1.0::double + (event_id % 512) / 1024.0::double as lat, 110.0::double + (event_id % 1000) / 1000.0::double as lon from events)
+pos as (select event_id, 1.0::double + (event_id % 512) / 1024.0::double as lat, 110.0::double + event_id / 1000.0::double as lon from events)
 select event_id, name from pos join boxes on lon between x0 and x1 and lat between y0 and y1""",
     "round_robin_assign": _deal(
         "platform = 'TOMTOM'", "", "md5('run-1#' || uuid) as uuid, 'run-1' as pd_uuid, key_number, uuid as point_uuid, latitude, longitude",
@@ -556,7 +556,8 @@ select time_bucket(interval '30 minutes', interval_15min) as interval_30min, poi
   round(avg(ci_percent) + 1.2345e-8, 6) + 0.0 as mean_ci_percent, corridor_order from cleaned join config using (point_id) group by all""",
     "peak_hour_shift": "with " + CLEANED + """,
 hourly as (select "date", hour(interval_15min)::int as hour, avg(ci_percent) as c from cleaned group by 1, 2),
-limits as (select "date", quantile_cont(c, 0.85) as t, max(c) as top from hourly group by 1)
+tops as (select "date", max(c) as top from hourly group by 1),
+limits as (select "date", top, (select quantile_cont(c, 0.85) from hourly) as t from tops)
 select "date", min(hour) filter (where c = top) as peak_hour, round(max(c) + 1.2345e-8, 6) + 0.0 as peak_mean_ci, count(*) filter (where c >= t) as hours_at_peak
 from hourly join limits using ("date") group by 1""",
     "stream_ingest": POINT_FLOWS,

@@ -10,17 +10,22 @@ from probegrid.schema import EXPECTED_PER_DAY, PEAK_QUANTILE
 from probegrid.sources.tables import read_point_config, read_table, with_dictionary, write_csv, write_table
 
 BY_DATE = {"tomtom_cleaned_point_time", "tomtom_duplicate_log", "tomtom_block_30min", "here_cleaned_block_time", "matched_tomtom_here_30min"}
+#: One row per date: small enough to be written in date order.
+IN_DATE_ORDER = {"tomtom_daily_availability", "tomtom_cleaning_log_by_date", "here_cleaning_log_by_date", "sensitivity_daily"}
 
 
 class _Sink:
     """Writes each table as it is made, and hands back the written one."""
 
-    def __init__(self, spark: SparkSession, out: str | None, csv: bool):
-        self.spark, self.out, self.csv = spark, out and out.rstrip("/"), csv
+    def __init__(self, spark: SparkSession, out: str | None, csv: bool, dictionary: DataFrame | None):
+        self.spark, self.out, self.csv, self.dictionary = spark, out and out.rstrip("/"), csv, dictionary
         self.tables: dict[str, DataFrame] = {}
 
     def put(self, name: str, df: DataFrame) -> DataFrame:
-        df = with_dictionary(df)
+        if name in IN_DATE_ORDER:
+            df = df.orderBy(F.asc_nulls_last("date"))
+        if self.dictionary is not None:
+            df = with_dictionary(df, self.dictionary)
         if self.out:
             path = f"{self.out}/{name}"
             write_table(df, path, ["date"] if name in BY_DATE else None)
@@ -41,15 +46,17 @@ def run_all(
     peak_q: float = PEAK_QUANTILE,
     expected: int = EXPECTED_PER_DAY,
     csv: bool = False,
+    dictionary: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """Clean, aggregate, match, summarise and profile.
 
     With ``out`` every table is written (Parquet, large ones by date) and
     later steps read the written table: each is computed once, lineage stays
     short, and an executor loss costs no finished table. Without ``out`` all
-    tables are returned unevaluated, which suits small inputs.
+    tables are returned unevaluated, which suits small inputs. Daily tables come
+    in date order, rows without a date last. ``dictionary`` describes columns.
     """
-    sink = _Sink(spark, out, csv)
+    sink = _Sink(spark, out, csv, dictionary)
     points = quality.clean_points(point_raw, require_confidence, expected)
     cleaned = sink.put("tomtom_cleaned_point_time", points.cleaned)
     sink.put("tomtom_daily_availability", quality.daily_availability(cleaned, expected))

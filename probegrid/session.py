@@ -8,11 +8,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(app: str = "probegrid", master: str | None = None, **conf: str) -> SparkSession:
+def build_session(app: str = "probegrid", master: str | None = None, partitions: int = 2000, **conf: str) -> SparkSession:
     """A session with the settings this library is planned for.
 
-    AQE coalesces small shuffles and splits skewed joins, so the shuffle
-    partition count is set high for a cluster and left to AQE to reduce.
+    AQE coalesces small shuffles and splits skewed joins, so ``partitions``, the
+    number of shuffle partitions, is meant for the largest shuffle of a run and
+    left to AQE to reduce. Stateful streams keep the number they start with.
     """
     builder = SparkSession.builder.appName(app)
     if master:
@@ -22,6 +23,7 @@ def build_session(app: str = "probegrid", master: str | None = None, **conf: str
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.shuffle.partitions": str(partitions),
         "spark.sql.files.maxPartitionBytes": "256m",
         "spark.sql.streaming.stateStore.providerClass":
             "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",

@@ -37,13 +37,18 @@ class Ingested:
 
 
 def _whole(c: Column) -> Column:
-    return F.trim(c).try_cast("double").cast("int")
+    return F.trim(c).try_cast("double").try_cast("int")
 
 
 def _double(c: Column) -> Column:
     return F.trim(c).try_cast("double")
 
 
+def _unread(c: Column, read=_whole) -> Column:
+    """True for a number that is there and cannot be stored."""
+    return F.coalesce(F.trim(c) != "", F.lit(False)) & F.coalesce(read(c).isNull() | F.isnan(read(c).cast("double")), F.lit(True))
+
+
 def _parsed(df: DataFrame, payload: str, schema: str) -> DataFrame:
     """Add the parsed document, through a one-row ``explode``: filters on it
     stay above, where pushed below they would parse the text again."""
@@ -59,8 +64,9 @@ def _split(df: DataFrame, reason: Column) -> tuple[DataFrame, DataFrame]:
 def parse_point_payloads(df: DataFrame, payload: str = "js") -> Ingested:
     """``df`` holds point_uuid, capture_time and the document text.
 
-    A document without a coordinates object is rejected whole; an empty
-    coordinate list keeps its flow row and gives no shape rows.
+    A document without a coordinates object, or with a number that cannot be
+    stored, is rejected whole; an empty coordinate list keeps its flow row and
+    gives no shape rows.
     """
     seg = F.col("doc.flowSegmentData")
     reason = (
@@ -68,6 +74,12 @@ def parse_point_payloads(df: DataFrame, payload: str = "js") -> Ingested:
         .when(F.col("doc").isNull() | F.col("doc._corrupt_record").isNotNull(), "unparseable")
         .when(seg.isNull(), "no_flow_segment")
         .when(seg["coordinates"].isNull(), "no_coordinates")
+        .when(
+            _unread(seg["currentSpeed"]) | _unread(seg["freeFlowSpeed"]) | _unread(seg["currentTravelTime"]) | _unread(seg["freeFlowTravelTime"])
+            | _unread(seg["confidence"], _double)
+            | F.exists(seg["coordinates"]["coordinate"], lambda c: _unread(c["latitude"], _double) | _unread(c["longitude"], _double)),
+            "bad_number",
+        )
     )
     good, bad = _split(_parsed(df, payload, POINT_DOCUMENT), reason)
     good = good.withColumn("uuid", F.md5(F.concat_ws("#", F.col("point_uuid"), F.col("capture_time").cast("string"))))
@@ -93,6 +105,19 @@ def parse_point_payloads(df: DataFrame, payload: str = "js") -> Ingested:
     return Ingested(flows, shapes, rejects)
 
 
+def _bad_result(r: Column) -> Column:
+    """True if a number of a segment result, its links or their points cannot be stored."""
+    def bad_link(k: Column) -> Column:
+        return _unread(k["length"]) | _unread(k["functionalClass"]) | F.exists(
+            k["points"], lambda p: _unread(p["lat"], _double) | _unread(p["lng"], _double))
+
+    flow = r["currentFlow"]
+    return (
+        _unread(r["location"]["length"]) | _unread(flow["speed"], _double) | _unread(flow["jamFactor"], _double)
+        | F.exists(r["location"]["shape"]["links"], bad_link)
+    )
+
+
 def parse_segment_payloads(df: DataFrame, payload: str = "js") -> Ingested:
     """``df`` holds batch_id, place_id, capture_time and the document text.
 
@@ -112,6 +137,7 @@ def parse_segment_payloads(df: DataFrame, payload: str = "js") -> Ingested:
         .when(F.col("doc").isNull() | F.col("doc._corrupt_record").isNotNull(), "unparseable")
         .when(results.isNull() | (F.size(results) == 0), "no_results")
         .when(unusable, "incomplete_result")
+        .when(F.exists(results, _bad_result), "bad_number")
     )
     good, bad = _split(_parsed(df, payload, SEGMENT_DOCUMENT), reason)
     rows = good.select("batch_id", "place_id", "capture_time", F.posexplode(results).alias("pos", "r")).withColumn(

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from probegrid.schema import CSV_NULL_WORDS, DATA_DICTIONARY, POINT_CONFIG
+from probegrid.schema import CSV_NULL_WORDS, POINT_CONFIG
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
@@ -103,24 +103,30 @@ def read_point_config(spark: SparkSession, path: str) -> DataFrame:
     return require_rows(raw.select(cols), "point config")
 
 
-def with_dictionary(df: DataFrame) -> DataFrame:
-    """Attach unit, level, direction and definition to known columns."""
-    cols = []
-    for c in df.columns:
-        col = F.col(f"`{c}`")
-        if c in DATA_DICTIONARY:
-            source, unit, level, direction, definition = DATA_DICTIONARY[c]
-            meta = {"source": source, "unit": unit, "level": level, "direction": direction, "definition": definition}
-            col = col.alias(c, metadata=meta)
-        cols.append(col)
-    return df.select(cols)
+def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
+    """A data dictionary file: ``variable`` and any further text columns about it."""
+    raw = read_table(spark, path)
+    if "variable" not in raw.columns:
+        raise ValueError("a data dictionary needs a column variable")
+    return raw.where("variable is not null")
+
+
+def with_dictionary(df: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """Attach what the dictionary says about each column of ``df`` as column metadata.
+
+    The dictionary is filtered to the columns of ``df`` before it is read.
+    """
+    wanted = dictionary.where(F.col("variable").isin(df.columns))
+    said = {r["variable"]: {k: v for k, v in r.asDict().items() if k != "variable" and v is not None} for r in wanted.toLocalIterator()}
+    return df.select([
+        F.col(f"`{c}`").alias(c, metadata=said[c]) if c in said else F.col(f"`{c}`") for c in df.columns
+    ])
 
 
 def describe_outputs(df: DataFrame) -> DataFrame:
-    """The data dictionary rows of a table, read from its column metadata."""
+    """variable, type and description of each column, from its metadata (key: value, sorted by key)."""
     rows = [
-        (f.name, f.dataType.simpleString(), *[f.metadata.get(k) for k in ("source", "unit", "level", "direction", "definition")])
+        (f.name, f.dataType.simpleString(), "; ".join(f"{k}: {v}" for k, v in sorted(f.metadata.items()) if not k.startswith("__")) or None)
         for f in df.schema
     ]
-    ddl = "variable string, type string, source string, unit string, level string, direction string, definition string"
-    return df.sparkSession.createDataFrame(rows, ddl)
+    return df.sparkSession.createDataFrame(rows, "variable string, type string, description string")

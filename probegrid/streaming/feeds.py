@@ -118,7 +118,7 @@ def availability_stream(valid: DataFrame, expected: int = EXPECTED_PER_DAY, dela
     )
 
 
-def heartbeat_sessions(beats: DataFrame, minutes: int = OUTAGE_MINUTES, delay: str = "0 seconds") -> DataFrame:
+def heartbeat_sessions(beats: DataFrame, minutes: int = OUTAGE_MINUTES, delay: str = DELAY) -> DataFrame:
     """Spans without a silence above ``minutes``, per job.
 
     A span is given out when the watermark passes its end, ``minutes`` after

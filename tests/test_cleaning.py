@@ -142,3 +142,22 @@ def test_dedup_limits_each_map_task(spark, sf_dir):
     plan = quality.clean_points(fixtures.point_raw(spark, sf_dir)).kept._jdf.queryExecution().executedPlan().toString()
     before_shuffle = plan[plan.index("Exchange"):]
     assert "WindowGroupLimit" in before_shuffle and "Partial" in before_shuffle
+
+
+@pytest.mark.parametrize("seqs", [[None] * 6, [1] * 6, [1, 1, 2, None, 3, 3]])
+def test_kept_and_removed_are_all(spark, seqs):
+    """Whatever the sequence number is, each valid record is either kept or listed as removed."""
+    from probegrid.operators.dedup import duplicates_of, keep_first
+
+    rows = [("P1", "2024-01-01 00:00:00", "2024-01-01 00:00:00", s, v) for s, v in zip(seqs, [1.0, 1.0, 2.0, None, 1.0, 3.0])]
+    df = spark.createDataFrame(rows, "point_id string, timestamp string, interval_15min string, ingest_seq long, x double")
+    kept = keep_first(df)
+    removed = duplicates_of(df, kept)
+    assert kept.count() == 1 and removed.columns == df.columns
+    assert sorted(map(str, kept.union(removed).collect())) == sorted(map(str, df.collect()))
+
+
+def test_white_space_and_offsets(spark):
+    df = spark.createDataFrame([("Closed\t", "\n12.5\u00a0", "2024-01-01T08:00:00+08:00"), ("open", "x", "2024-01-01T00:00:00Z"), ("", "", " 2024-01-01 00:00:00\t")], "a string, b string, c string")
+    got = df.select(is_closed(F.col("a")).alias("a"), parse_number(F.col("b"), T.StringType()).alias("b"), parse_timestamp(F.col("c"), T.StringType()).cast("string").alias("c")).collect()
+    assert [tuple(r) for r in got] == [(True, 12.5, "2024-01-01 00:00:00"), (False, None, "2024-01-01 00:00:00"), (False, None, "2024-01-01 00:00:00")]

@@ -101,8 +101,10 @@ def test_tables(spark, tmp_path):
     assert tables.read_table(spark, str(tmp_path / "c.parquet")).count() == 2
     with pytest.raises(ValueError, match="use .csv or .parquet"):
         tables.read_table(spark, "x.xlsx")
-    described = {r.variable: r.unit for r in tables.describe_outputs(tables.with_dictionary(df)).collect()}
-    assert described == {"point_id": "none", "tti": "dimensionless", "date": None}
+    spark.createDataFrame([("tti", "ratio"), ("other", "x")], "variable string, unit string").write.option("header", True).csv(str(tmp_path / "d.csv"))
+    dictionary = tables.read_dictionary(spark, str(tmp_path / "d.csv"))
+    described = {r.variable: r.description for r in tables.describe_outputs(tables.with_dictionary(df, dictionary)).collect()}
+    assert described == {"point_id": None, "tti": "unit: ratio", "date": None}
 
 
 def test_dimensions(spark, tmp_path):

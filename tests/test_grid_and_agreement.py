@@ -146,13 +146,12 @@ def test_calendar_comparison(spark):
     assert row.welch_t == pytest.approx(35 / (200 / 2 + 50 / 2) ** 0.5)
 
 
-@pytest.mark.parametrize("hot_rows", [0, 20, 10**9])
-def test_busy_block_slot(spark, hot_rows):
+def test_busy_block_slot(spark):
     """One block and slot with most records gives what the built-ins give."""
     rows = [("1", slot(0), float(1 + i * 37 % 61), float(i % 7), None if i % 5 else 0.5, None if i % 4 == 0 else f"S{i % 9}") for i in range(120)]
     rows += [("2", slot(i % 3), 10.0 + i, 1.0, None, "S1") for i in range(9)]
     df = spark.createDataFrame(rows, "block_id string, interval_30min timestamp_ntz, speed double, jam_factor double, confidence double, segment_id string")
-    got = {(r.block_id, r.interval_30min): r for r in grid.segment_block_time(df, hot_rows).collect()}
+    got = {(r.block_id, r.interval_30min): r for r in grid.segment_block_time(df).collect()}
     for key in {(r[0], r[1]) for r in rows}:
         part = [r for r in rows if (r[0], r[1]) == key]
         speeds = sorted(r[2] for r in part)

@@ -4,7 +4,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from probegrid.functions.order_stats import hash_bucket, percentiles, ranked_pairs, row_numbers, value_bucket
+from probegrid.functions.order_stats import in_order, percentiles, row_numbers, value_positions
 from probegrid.operators.consistency import consistency_stats
 
 QS = {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.85, "e": 1.0}
@@ -28,11 +28,10 @@ def spark_frame(spark, pdf):
     return spark.createDataFrame(rows, "unit string, x double, y double")
 
 
-@pytest.mark.parametrize("hot_rows", [0, 50, 10**9])
 @pytest.mark.parametrize("seed", [1, 2])
-def test_percentiles(spark, seed, hot_rows):
+def test_percentiles(spark, seed):
     pdf = frame(seed)
-    got = percentiles(spark_frame(spark, pdf), ["unit"], ["x", "y"], QS, hot_rows).collect()
+    got = percentiles(spark_frame(spark, pdf), ["unit"], ["x", "y"], QS).collect()
     assert len(got) == pdf.unit.nunique()
     for row in got:
         part = pdf[pdf.unit == row.unit]
@@ -48,12 +47,11 @@ def overlap(part, q):
     return (a & b).sum() / (a | b).sum()
 
 
-@pytest.mark.parametrize("hot_rows", [0, 50, 10**9])
 @pytest.mark.parametrize("seed", [3, 4])
-def test_consistency_equals_pandas(spark, seed, hot_rows):
+def test_consistency_equals_pandas(spark, seed):
     pdf = frame(seed)
     quantiles = (0.5, 0.85, 0.95)
-    got = consistency_stats(spark_frame(spark, pdf), ["unit"], "x", "y", quantiles, hot_rows).collect()
+    got = consistency_stats(spark_frame(spark, pdf), ["unit"], "x", "y", quantiles).collect()
     complete = pdf.dropna()
     assert len(got) == complete.unit.nunique() * len(quantiles)
     for row in got:
@@ -71,23 +69,41 @@ def test_consistency_equals_pandas(spark, seed, hot_rows):
             assert row.x_sd is None
 
 
-def test_positions_of_both_ways_are_equal(spark):
-    df = spark_frame(spark, frame(5))
-    columns = ["unit", "x", "y", "n", "x_below", "x_equal", "y_below", "y_equal"]
-    a = ranked_pairs(df, ["unit"], "x", "y", 0).select(columns)
-    b = ranked_pairs(df, ["unit"], "x", "y", 10**9).select(columns)
-    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+def test_units_without_values_and_nan(spark):
+    nan = float("nan")
+    rows = [("none", None), ("none", None), ("nan", 1.0), ("nan", 2.0), ("nan", nan), ("all", nan)]
+    df = spark.createDataFrame(rows, "unit string, x double")
+    got = {r.unit: r for r in percentiles(df, ["unit"], ["x"], {"m": 0.5}).collect()}
+    built_in = {r.unit: r.m for r in df.groupBy("unit").agg(F.percentile("x", F.lit(0.5)).alias("m")).collect()}
+    assert got["none"].x_n == 0 and got["none"].x_m is None is built_in["none"]
+    assert got["nan"].x_m == built_in["nan"] == 2.0
+    assert got["nan"].x_n == 3 and got["all"].x_m != got["all"].x_m
+
 
+@pytest.mark.parametrize("first, step", [(0.0, 1e-9), (1e10, 1.0), (-5.0, 1e-3)])
+def test_buckets_follow_the_data(spark, first, step):
+    """However narrow or far out the values are, they are dealt over many buckets in order."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.range(20_000).selectExpr(f"{first}D + id * {step}D as x")
+        ordered = in_order(df, ["x"])
+        spans = ordered.groupBy("bucket").agg(F.min("x").alias("a"), F.max("x").alias("b")).orderBy("bucket").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(spans) == 8 and all(p.b < q.a for p, q in zip(spans, spans[1:]))
 
-def test_bucket_follows_the_value(spark):
-    values = sorted([0.0, -0.0, 1e-300, -1e-300, float("inf"), float("-inf"), 1e308, -1e308] + [random.Random(6).gauss(0, 10**k) for k in range(-6, 9) for _ in range(20)])
-    df = spark.createDataFrame([(v,) for v in values], "v double").select("v", value_bucket(F.col("v")).alias("b"))
-    buckets = [r.b for r in sorted(df.collect(), key=lambda r: r.v)]
-    assert buckets == sorted(buckets)
+
+def test_positions(spark):
+    df = spark_frame(spark, frame(5))
+    got = {(r.unit, r.value): (r.n_below, r.n_equal, r.unit_n) for r in value_positions(df, ["unit"], "x").collect()}
+    pdf = frame(5).dropna(subset=["x"])
+    for (unit, x), (below, equal, n) in got.items():
+        part = pdf[pdf.unit == unit].x
+        assert (below, equal, n) == ((part < x).sum(), (part == x).sum(), len(part))
 
 
 def test_row_numbers(spark):
     df = spark.range(5000).withColumn("h", F.md5(F.col("id").cast("string")))
-    rows = row_numbers(df, ["h", "id"], hash_bucket(F.col("h")), "n").collect()
+    rows = row_numbers(df, ["h", "id"], "n").collect()
     assert sorted(r.n for r in rows) == list(range(1, 5001))
     assert [r.h for r in sorted(rows, key=lambda r: r.n)] == sorted(r.h for r in rows)
