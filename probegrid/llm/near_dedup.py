@@ -10,8 +10,9 @@ a candidate pair and filter it; what passes is verified on the full shingle
 sets. Components of the verified links are the groups.
 
 Long lists are not paired: all members are compared with one central member
-first, then those that did not join its component with the members outside
-their own. Short lists (``PAIRED`` members at most) are paired.
+first. Those that did not join its component are compared with the members
+outside their own that a prefix filter on the full sets leaves, which is exact
+and finds few. Short lists (``PAIRED`` members at most) are paired.
 
 A pair above the threshold is missed only if its sketches share less than
 ``NEEDED`` of k = 64 values where about 58 are expected, 5 standard deviations;
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from probegrid.llm.common import DOC_KEY, keyed, stored, strings
+from probegrid.llm.common import keyed, release, stored, strings
 from probegrid.llm.graph import components
 
 SHINGLE_WORDS = 5
@@ -160,8 +161,8 @@ def _estimated(pairs: DataFrame, classes: DataFrame, k: int = SKETCH) -> DataFra
     return both.select("a", "ah", "b", "bh", "sa", "sb").mapInArrow(estimate, "a long, ah long, b long, bh long, link boolean")
 
 
-def _verified(passed: DataFrame, docs: DataFrame) -> DataFrame:
-    """``a, b`` of the pairs whose full shingle sets reach the threshold."""
+def _shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``c, ch, shingles``: the full sets of some classes, as sorted 64-bit hashes in binary."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[bytes, int] = {}
@@ -169,6 +170,14 @@ def _verified(passed: DataFrame, docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), batch.column(1), pa.array([shingle_set(t, memo).tobytes() for t in strings(batch.column(2))], pa.binary())], names=["c", "ch", "shingles"])
 
+    texts = keyed(docs)
+    of = texts.join(wanted, (F.col("_id") == F.col("c")) & (F.col("_h") == F.col("ch"))).select("c", "ch", "text")
+    return stored(of.mapInArrow(sets, "c long, ch long, shingles binary").dropDuplicates(["c", "ch"]), "shingle-sets")
+
+
+def _reaching(pairs: DataFrame, full: DataFrame) -> DataFrame:
+    """``a, b`` of the pairs whose full shingle sets reach the threshold."""
+
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -178,14 +187,58 @@ def _verified(passed: DataFrame, docs: DataFrame) -> DataFrame:
                 keep.append(100 * same >= THRESHOLD * (len(x) + len(y) - same))
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    both = _attach(_attach(pairs, full, "a", "shingles", "sa"), full, "b", "shingles", "sb")
+    return both.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long")
+
+
+def _verified(passed: DataFrame, docs: DataFrame) -> DataFrame:
+    """``a, b`` of the pairs that are settled, or whose full sets reach the threshold."""
     sure = passed.where("link").select("a", "b")
-    open_pairs = passed.where("link is null").select("a", "ah", "b", "bh")
-    wanted = open_pairs.select(F.col("a").alias("c"), F.col("ah").alias("ch")).union(open_pairs.select("b", "bh")).distinct()
-    texts = keyed(docs)
-    of = texts.join(wanted, (F.col("_id") == F.col("c")) & (F.col("_h") == F.col("ch"))).select("c", "ch", "text")
-    full = stored(of.mapInArrow(sets, "c long, ch long, shingles binary").dropDuplicates(["c", "ch"]), "shingle-sets")
-    both = _attach(_attach(open_pairs, full, "a", "shingles", "sa"), full, "b", "shingles", "sb")
-    return sure.union(both.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long"))
+    unsure = passed.where("link is null").select("a", "ah", "b", "bh")
+    wanted = unsure.select(F.col("a").alias("c"), F.col("ah").alias("ch")).union(unsure.select("b", "bh")).distinct()
+    return sure.union(_reaching(unsure, _shingle_sets(docs, wanted)))
+
+
+def _crossing(split: DataFrame, docs: DataFrame) -> DataFrame:
+    """Verified links of members of long lists that are outside the main component of a list.
+
+    ``split`` is (v, c, ch, n, label, main). Sketches cannot tell such members apart,
+    so this is a prefix-filtered join on their full sets: shingles from the rarest
+    on, each member under as many as its partners of a size can force it to share.
+    Partners of about one size share a bucket, so that the number is exact for them.
+    """
+    rest = split.groupBy("c", "ch", "n", "label").agg(F.max(F.col("label") != F.col("main")).alias("rest"))
+    full = _shingle_sets(docs, rest.select("c", "ch"))
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for c, ch, of in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                s = np.frombuffer(of, dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), c)), pa.array(np.full(len(s), ch)), pa.array(s)], names=["c", "ch", "s"])
+
+    each = full.mapInArrow(spread, "c long, ch long, s long")
+    counts = each.groupBy(F.col("s").alias("_s")).agg(F.count("*").alias("df"))
+    # only shingles that two members share can link them; the others stand in front of them
+    shared = each.join(counts.where("df > 1"), F.col("s") == F.col("_s")).groupBy("c", "ch").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("shared"))
+    known = shared.join(rest.select(F.col("c").alias("_c"), F.col("ch").alias("_ch"), "n", "label", "rest"), (F.col("c") == F.col("_c")) & (F.col("ch") == F.col("_ch")))
+    room = F.greatest(F.lit(0), F.col("n") - F.ceil(F.col("n") * THRESHOLD / 100) + 1 - (F.col("n") - F.size("shared"))).cast("int")
+    posted = known.select("c", "ch", "n", "label", "rest", (F.col("n") - F.size("shared")).alias("front"), F.posexplode(F.slice("shared", F.lit(1), room)).alias("at", "p"))
+    # left: members from this shingle on, that is all they can still share
+    posted = stored(posted.select(F.col("p.s").alias("s"), "c", "ch", "n", "label", "rest", (F.col("n") - F.col("front") - F.col("at")).alias("left")), "prefixes")
+    step = float(np.log(1.05))
+    needed = lambda a, b: F.ceil((a + b) * THRESHOLD / (100 + THRESHOLD))
+    bucket = F.floor(F.log("n") / step)
+    targets = F.sequence(F.floor(F.log(F.col("n") * THRESHOLD / 100) / step), F.floor(F.log(F.col("n") * 100 / THRESHOLD) / step))
+    probes = posted.where("rest").withColumn("bucket", F.explode(targets))
+    smallest = F.greatest(F.ceil(F.col("n") * THRESHOLD / 100), F.floor(F.exp(F.col("bucket") * step)))
+    probes = probes.where(F.col("left") >= needed(F.col("n"), smallest))
+    other = posted.select(F.col("s").alias("_s"), bucket.alias("_bucket"), *[F.col(x).alias(f"{x}_b") for x in ("c", "ch", "n", "label", "left")])
+    met = probes.join(other, (F.col("s") == F.col("_s")) & (F.col("bucket") == F.col("_bucket")) & (F.col("label") != F.col("label_b")) & _sizes_fit(F.col("n"), F.col("n_b"))
+                      & (F.least("left", "left_b") >= needed(F.col("n"), F.col("n_b"))))
+    swap = F.col("c") > F.col("c_b")
+    pairs = met.select(F.when(swap, F.col("c_b")).otherwise(F.col("c")).alias("a"), F.when(swap, F.col("ch_b")).otherwise(F.col("ch")).alias("ah"),
+                       F.when(swap, F.col("c")).otherwise(F.col("c_b")).alias("b"), F.when(swap, F.col("ch")).otherwise(F.col("ch_b")).alias("bh")).distinct()
+    return _reaching(pairs, full)
 
 
 def links_of(docs: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -200,19 +253,13 @@ def links_of(docs: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]
     pairs = _pairs(short.select(plain), short.select(plain), F.col("c") < F.col("c_b")).union(_pairs(long.select(plain), pivots)).distinct()
     links = stored(_verified(stored(_estimated(pairs, classes), "candidates"), docs), "links")
     labels = components(links)
+    release(docs.sparkSession)
     known = long.join(labels, long.c == labels.node, "left").select(*plain, F.col("pivot.c").alias("pivot"), F.coalesce("label", "c").alias("label"))
-    of_pivot = known.where("c = pivot").groupBy(F.col("v").alias("_pv")).agg(F.min("label").alias("main"))
-    split = stored(known.join(of_pivot, F.col("v") == F.col("_pv")).drop("_pv"), "split-lists")
-    rest = split.where("label != main")
-    if rest.isEmpty():
+    of_list = known.groupBy(F.col("v").alias("_pv")).agg(F.min(F.when(F.col("c") == F.col("pivot"), F.col("label"))).alias("main"), F.max("label").alias("high"), F.min("label").alias("low"))
+    split = stored(known.join(of_list.where("low < high"), F.col("v") == F.col("_pv")).select(*plain, "label", "main"), "split-lists")
+    if split.isEmpty():
         return links, labels
-    other = split.select(F.col("v").alias("_v"), F.col("c").alias("c_b"), F.col("ch").alias("ch_b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"), "main")
-    crossed = rest.drop("main").join(other, (F.col("v") == F.col("_v")) & (F.col("label") != F.col("label_b")) & _sizes_fit(F.col("n"), F.col("n_b"))
-                                     & ((F.col("c") < F.col("c_b")) | (F.col("label_b") == F.col("main"))))
-    swap = F.col("c") > F.col("c_b")
-    more = crossed.select(F.when(swap, F.col("c_b")).otherwise(F.col("c")).alias("a"), F.when(swap, F.col("ch_b")).otherwise(F.col("ch")).alias("ah"),
-                          F.when(swap, F.col("c")).otherwise(F.col("c_b")).alias("b"), F.when(swap, F.col("ch")).otherwise(F.col("ch_b")).alias("bh")).distinct()
-    links = stored(links.union(_verified(stored(_estimated(more, classes), "candidates"), docs)).distinct(), "links")
+    links = stored(links.union(_crossing(split, docs)).distinct(), "links")
     return links, components(links)
 
 
