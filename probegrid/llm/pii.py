@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import cache
 
@@ -81,44 +82,43 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 # --- the field -------------------------------------------------------------------
 
 _TOKEN = re.compile(r"\w+|[^\w\s]")
-_ANCHOR = re.compile(r"\S*[0-9@]\S*")
-#: Tokens around an anchor that belong to its region.
-_AROUND = 2
+_ANCHOR = re.compile(r"[0-9@]")
+#: Words around an anchor that belong to its region, and the characters looked at for each.
+_AROUND, _REACH = 3, 90
 
 
-@cache
-def _slot(name: str) -> int:
-    return int.from_bytes(hashlib.blake2b(name.encode(), digest_size=4).digest(), "little") % FEATURES
-
+class Slots(dict):
+    """Feature name -> weight row, remembered."""
 
-def slot(name: str) -> int:
-    return int.from_bytes(hashlib.blake2b(name.encode(), digest_size=4).digest(), "little") % FEATURES
+    def __missing__(self, name: str) -> int:
+        if len(self) > 200_000:
+            self.clear()
+        self[name] = at = int.from_bytes(hashlib.blake2b(name.encode("utf-8", "surrogatepass"), digest_size=4).digest(), "little") % FEATURES
+        return at
 
 
 def regions(text: str) -> Iterator[list[tuple[int, int]]]:
-    """Token spans of each region; anchors whose surroundings meet share one."""
+    """Token spans of each region; anchors whose surroundings meet share one.
+
+    Surroundings are bounded, so the time is linear in the text however it is spaced.
+    """
     current: list[tuple[int, int]] = []
-    reach = -1
-    for m in _ANCHOR.finditer(text):
-        # the words before and after, by white space
-        start = m.start()
+    reach, at = 0, 0
+    while m := _ANCHOR.search(text, at):
+        start, end = m.start(), m.end()
         for _ in range(_AROUND):
-            start = max(text.rfind(" ", 0, max(0, start - 1)), text.rfind("\n", 0, max(0, start - 1)), start - 60, 0)
-        end = min(len(text), m.end() + 60)
-        blank = m.end()
-        for _ in range(_AROUND):
-            nxt = text.find(" ", blank + 1, end)
-            blank = nxt if nxt >= 0 else end
-        end = max(m.end(), min(end, blank))
-        if current and start > reach:
+            low = max(0, start - _REACH)
+            start = max(text.rfind(" ", low, max(low, start - 1)), text.rfind("\n", low, max(low, start - 1)), low)
+            high = min(len(text), end + _REACH)
+            blank = text.find(" ", end + 1, high)
+            end = blank if blank >= 0 else high
+        if current and (start > reach or len(current) > 4000):
             yield current
             current = []
-        begin = max(start, reach) if current else start
-        current += [t.span() for t in _TOKEN.finditer(text, begin, end)]
+        current += [t.span() for t in _TOKEN.finditer(text, max(start, reach), end)]
         reach = max(reach, end)
-        if len(current) > 4000:  # a long run of numbers: cut where it stands, between anchors
-            yield current
-            current = []
+        # the next anchor that is not well inside this region
+        at = max(m.end(), end - _REACH)
     if current:
         yield current
 
@@ -138,23 +138,28 @@ def candidates(text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int]
     for i, (a, _) in enumerate(tokens):
         if not (text[a].isalnum() or text[a] in "+("):
             continue
-        letters = 0
+        letters, digits, groups, signs = 0, 0, 1, 0
         for j in range(i, min(len(tokens), i + MAX_TOKENS)):
             s, e = tokens[j]
             if j > i:
                 gap = s - tokens[j - 1][1]
-                if gap > 1 or "\n" in text[tokens[j - 1][1]:s] or gap == 1 and letters and text[a:s].find("@") < 0:
+                if gap > 1 or gap == 1 and (text[s - 1] == "\n" or letters and not signs):
                     break
+                groups += gap
             word = text[s:e]
             if word in ("|", ",", ";", "\"", "'", "=", ":"):
                 break
             letters += word.isalpha()
-            if text[e - 1].isalnum() and any(c.isdigit() or c == "@" for c in text[a:e]):
+            signs += word == "@"
+            digits += sum(c.isdigit() for c in word)
+            if signs > 1:
+                break  # no entity has two at-signs
+            if text[e - 1].isalnum() and (digits or signs) and (groups == 1 or digits >= 2 * groups or signs):
                 out.append((i, j))
     return out
 
 
-def span_features(text: str, tokens: list[tuple[int, int]], first: int, last: int, slots=slot) -> list[int]:
+def span_features(text: str, tokens: list[tuple[int, int]], first: int, last: int, slots: Slots) -> list[int]:
     a, b = tokens[first][0], tokens[last][1]
     span = text[a:b]
     digits = _digits(span)
@@ -171,7 +176,7 @@ def span_features(text: str, tokens: list[tuple[int, int]], first: int, last: in
         f"hex{hexa}{min(4, len(span) // 16)}", f"alpha{any(c.isalpha() for c in span)}{min(5, len(span) // 8)}", f"glued{glued}", f"start:{span[0] if not span[0].isalnum() else 'd' if span[0].isdigit() else 'a'}",
         f"before:{before if not before.isdigit() else '#'}", f"cue:{cue}:{before}", f"after:{after if not after.isdigit() else '#'}", f"mix{any(c.isdigit() for c in span)}{any(c.islower() for c in span)}{any(c.isupper() for c in span)}{'.' in span}{'@' in span}",
     ]
-    return [slots(x) for x in names]
+    return [slots[x] for x in names]
 
 
 class Field:
@@ -180,15 +185,15 @@ class Field:
     def __init__(self, weights: np.ndarray | None = None):
         self.weights = np.zeros((FEATURES, len(KINDS)), dtype=np.float32) if weights is None else weights
 
-    def segments(self, text: str, tokens: list[tuple[int, int]], slots=slot) -> tuple[list[tuple[int, int]], list[list[int]], np.ndarray]:
+    def segments(self, text: str, tokens: list[tuple[int, int]], slots: Slots) -> tuple[list[tuple[int, int]], list[list[int]], np.ndarray]:
         runs = candidates(text, tokens)
         features = [span_features(text, tokens, i, j, slots) for i, j in runs]
         scores = np.array([self.weights[f].sum(axis=0) for f in features]).reshape(len(runs), len(KINDS))
         return runs, features, scores
 
-    def decode(self, text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int, str]]:
+    def decode(self, text: str, tokens: list[tuple[int, int]], slots: Slots | None = None) -> list[tuple[int, int, str]]:
         """The best labelling: (start, end, kind) of its spans."""
-        runs, _, scores = self.segments(text, tokens)
+        runs, _, scores = self.segments(text, tokens, Slots() if slots is None else slots)
         best = [0.0] * (len(tokens) + 1)
         back: list[tuple[int, int] | None] = [None] * (len(tokens) + 1)
         ending: dict[int, list[tuple[int, int, float]]] = {}
@@ -291,11 +296,11 @@ def sentence(r: random.Random) -> tuple[str, list[tuple[int, int, str]]]:
 def train(sentences: int = SENTENCES, epochs: int = EPOCHS, seed: int = 11, rate: float = 0.4) -> Field:
     """The field, fitted by stochastic gradient ascent of the likelihood of made sentences."""
     r = random.Random(seed)
-    field, data = Field(), []
+    field, data, slots = Field(), [], Slots()
     for _ in range(sentences):
         text, spans = sentence(r)
         for tokens in regions(text):
-            runs, features, _ = field.segments(text, tokens, _slot)
+            runs, features, _ = field.segments(text, tokens, slots)
             at = {(tokens[i][0], tokens[j][1]): (i, j) for i, j in runs}
             gold = {(*at[a, b], KINDS.index(k)) for a, b, k in spans if (a, b) in at}
             data.append((len(tokens), runs, [np.array(f) for f in features], gold))
@@ -308,13 +313,12 @@ def train(sentences: int = SENTENCES, epochs: int = EPOCHS, seed: int = 11, rate
                 if np.abs(g).max() > 1e-3:
                     squares[f] += g * g
                     field.weights[f] += rate * g / np.sqrt(squares[f])
-    field.weights *= 1.0
     return field
 
 
 # --- Spark -----------------------------------------------------------------------
 
-def find_spans(text: str, field: Field) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
+def find_spans(text: str, field: Field, slots: Slots | None = None) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """(base spans, all spans), each by start and then kind as listed."""
     base = base_spans(text)
     taken = sorted((a, b) for a, b, _ in base)
@@ -323,11 +327,10 @@ def find_spans(text: str, field: Field) -> tuple[list[tuple[int, int, str]], lis
     for _, b in taken:
         high = max(high, b)
         reach.append(high)
-    from bisect import bisect_left
-
+    slots = Slots() if slots is None else slots
     added = []
     for tokens in regions(text):
-        for a, b, k in field.decode(text, tokens):
+        for a, b, k in field.decode(text, tokens, slots):
             i = bisect_left(starts, b)
             if i == 0 or reach[i - 1] <= a:
                 added.append((a, b, k))
@@ -350,10 +353,11 @@ def find_pii(docs: DataFrame, field: Field | None = None) -> DataFrame:
     field = field or train()
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slots = Slots()
         for batch in batches:
             out = []
             for text in batch.column(1).to_pylist():
-                base, every = find_spans(text, field)
+                base, every = find_spans(text, field, slots)
                 kinds = [k for _, _, k in base]
                 out.append([*(kinds.count(k) for k in KINDS[:4]), hashlib.sha256(joined(base).encode()).hexdigest(), joined(every)])
             columns = list(zip(*out, strict=True)) or [[]] * 6
