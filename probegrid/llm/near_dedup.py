@@ -41,6 +41,8 @@ NEEDED = 40
 #: Estimates below this share of the threshold are dropped: five standard deviations of the estimate.
 SLACK = 0.72
 PAIRED = 32
+#: Bits of a key bitmap, as a power of two: 16 MB at most.
+BITMAP_BITS = 27
 #: Words a worker remembers the hash of, at most.
 MEMO = 500_000
 
@@ -161,18 +163,40 @@ def _estimated(pairs: DataFrame, classes: DataFrame, k: int = SKETCH) -> DataFra
     return both.select("a", "ah", "b", "bh", "sa", "sb").mapInArrow(estimate, "a long, ah long, b long, bh long, link boolean")
 
 
+def _key_bitmap(wanted: DataFrame) -> np.ndarray:
+    """Bits set at the hashes of the keys (c, ch): 16 bits for each key, ``BITMAP_BITS`` at most in all."""
+    n = wanted.count()
+    bits = 1 << max(16, min(BITMAP_BITS, (16 * n).bit_length()))
+    at = wanted.select(F.pmod(F.xxhash64("c", "ch"), F.lit(bits)).alias("at")).distinct()
+    # no chunk has more than 2^15 bits, whatever the number of keys
+    chunks = at.groupBy(F.shiftright("at", 15).alias("chunk")).agg(F.collect_list((F.col("at") % 32768).cast("int")).alias("low"))
+    bitmap = np.zeros(bits, dtype=bool)
+    for r in chunks.toLocalIterator():
+        bitmap[np.asarray(r.low, dtype=np.int64) + r.chunk * 32768] = True
+    return np.packbits(bitmap)
+
+
 def _shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``c, ch, shingles``: the full sets of some classes, as sorted 64-bit hashes in binary."""
+    """``c, ch, shingles``: the full sets of some classes, as sorted 64-bit hashes in binary.
+
+    A bitmap of bounded size tells where the texts are read which of them may be
+    wanted, so that only sets of those are shuffled; the join drops the others.
+    """
+    bitmap = _key_bitmap(wanted)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[bytes, int] = {}
         for batch in batches:
+            at = batch.column(3).to_numpy()
+            maybe = pa.array((bitmap[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool))
+            batch = batch.filter(maybe)
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), batch.column(1), pa.array([shingle_set(t, memo).tobytes() for t in strings(batch.column(2))], pa.binary())], names=["c", "ch", "shingles"])
+                batch.column(0), batch.column(1), pa.array([shingle_set(t, memo).tobytes() for t in strings(batch.column(2))], pa.binary())], names=["_id", "_h", "shingles"])
 
-    texts = keyed(docs)
-    of = texts.join(wanted, (F.col("_id") == F.col("c")) & (F.col("_h") == F.col("ch"))).select("c", "ch", "text")
-    return stored(of.mapInArrow(sets, "c long, ch long, shingles binary").dropDuplicates(["c", "ch"]), "shingle-sets")
+    texts = keyed(docs).where("_id is not null").select("_id", "_h", "text", F.pmod(F.xxhash64("_id", "_h"), F.lit(8 * len(bitmap))).alias("at"))
+    found = texts.mapInArrow(sets, "_id long, _h long, shingles binary")
+    of = found.join(wanted, (F.col("_id") == F.col("c")) & (F.col("_h") == F.col("ch"))).select("c", "ch", "shingles")
+    return stored(of.dropDuplicates(["c", "ch"]), "shingle-sets")
 
 
 def _reaching(pairs: DataFrame, full: DataFrame) -> DataFrame:
