@@ -42,6 +42,12 @@ _BLOCK = frozenset(
     "label legend li main menu nav ol option p pre section select summary table tbody td textarea tfoot th thead title tr ul".split())
 _SILENT = frozenset("script style noscript template svg math head title iframe object textarea select".split())
 _RAW = frozenset("script style textarea title".split())
+#: What can stand in head; anything else there, text too, ends a head that was left open.
+_IN_HEAD = frozenset("html head title meta link base basefont bgsound script style noscript noframes template".split())
+#: Silent elements that hold their own kind; the others are over when the next of the name opens.
+_NESTS = frozenset("object svg math template".split())
+#: Block tags that do not end a silent element without an end tag.
+_STANDS_IN = {"select": {"option", "legend", "hr"}, "svg": {"title"}, "math": {"title"}}
 #: An opening tag closes an open one of its group, up to the nearest container.
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "p": {"p"}}
 _HOLDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
@@ -54,11 +60,54 @@ class Block:
         self.path, self.text, self.linked = path, text, linked
 
 
+def _opens(m: re.Match) -> bool:
+    return not m[1] and m[2].lower() not in _VOID and not m[0].endswith("/>")
+
+
+def _tags(page: str) -> list[tuple[re.Match, int]]:
+    """Tags and comments of a page, each with the place to go on from: behind its end tag for a raw element."""
+    out, m = [], _TAG.search(page)
+    while m:
+        at = m.end()
+        if m[2] and m[2].lower() in _RAW and _opens(m):
+            # nothing inside is markup but its own end
+            end = re.compile(rf"</{m[2]}\b[^>]*>?", re.I).search(page, at)
+            at = end.end() if end else len(page)
+        out.append((m, at))
+        m = _TAG.search(page, at)
+    return out
+
+
+def _unended(tags: list[tuple[re.Match, int]]) -> set[int]:
+    """Where silent elements start that have no end tag of their own (head and raw elements apart)."""
+    waiting: dict[str, list[int]] = {}
+    out: set[int] = set()
+    for m, _ in tags:
+        name = (m[2] or "").lower()
+        if name not in _SILENT or name in _RAW or name == "head":
+            continue
+        starts = waiting.setdefault(name, [])
+        if m[1]:
+            if starts:
+                starts.pop()
+        elif _opens(m):
+            if name not in _NESTS:
+                out.update(starts)
+                starts.clear()
+            starts.append(m.start())
+    return out.union(*waiting.values())
+
+
 def blocks_of(page: str) -> list[Block]:
-    """Leaf blocks in page order, with decoded text; silent elements and comments give none."""
+    """Leaf blocks in page order, with decoded text; silent elements and comments give none.
+
+    An open head ends where something starts that cannot stand in it. A silent
+    element without an end tag ends at the next block tag or with its parent.
+    """
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     parts: list[str] = []
+    open_ended: list[int] = []  # places on the stack of silent elements without an end tag
     linked, links, silent, at = 0, 0, 0, 0
 
     def end_block() -> None:
@@ -76,19 +125,34 @@ def blocks_of(page: str) -> list[Block]:
             links -= name == "a"
             silent -= name in _SILENT
         del stack[k:]
-
-    m = _TAG.search(page)
-    while True:
+        while open_ended and open_ended[-1] >= k:
+            open_ended.pop()
+
+    tags = _tags(page)
+    unended = _unended(tags)
+    for m, following in [*tags, (None, len(page))]:
+        text = page[at:m.start() if m else len(page)]
+        if silent and stack[-1][0] == "head" and text.strip():
+            close(len(stack) - 1)
         if not silent:
-            text = page[at:m.start() if m else len(page)]
             if text:
                 parts.append(text)
                 linked += len(text) if links else 0
         if not m:
             break
-        at = m.end()
+        at = following
         name = (m[2] or "").lower()
         if name:
+            if name in _BLOCK:
+                for k in open_ended:
+                    if name not in _STANDS_IN.get(stack[k][0], ()):
+                        close(k)
+                        break
+            if not m[1]:
+                if name == "body":
+                    close(next((k for k, x in enumerate(stack) if x[0] == "head"), len(stack)))
+                elif stack and stack[-1][0] == "head" and name not in _IN_HEAD:
+                    close(len(stack) - 1)
             if name in _BLOCK or name in _SILENT:
                 end_block()
             if m[1]:
@@ -96,7 +160,7 @@ def blocks_of(page: str) -> list[Block]:
                     if stack[k][0] == name:
                         close(k)
                         break
-                    if name not in _BLOCK and stack[k][0] in _BLOCK:
+                    if name not in _BLOCK and stack[k][0] in _BLOCK and k not in open_ended:
                         break  # an inline end tag does not close the block around it
             elif name not in _VOID and not m[0].endswith("/>"):
                 group = _CLOSES.get(name, {"p"} if name in _BLOCK else ())
@@ -112,12 +176,10 @@ def blocks_of(page: str) -> list[Block]:
                 stack.append((name, tuple(names)))
                 links += name == "a"
                 silent += name in _SILENT
+                if m.start() in unended:
+                    open_ended.append(len(stack) - 1)
                 if name in _RAW:
-                    # nothing inside is markup but its own end
-                    end = re.compile(rf"</{name}\b[^>]*>?", re.I).search(page, at)
-                    at = end.end() if end else len(page)
                     close(len(stack) - 1)
-        m = _TAG.search(page, at)
     end_block()
     return out
 

@@ -58,6 +58,21 @@ def test_blocks():
     assert len(html_blocks.blocks_of("<div>" * 3000 + "x")) == 1
 
 
+@pytest.mark.parametrize("page, want", [
+    ("<html><head><title>t</title><body><article><p>Text</p></article></body></html>", ["Text"]),
+    ("<html><head><title>t</title><meta charset=utf-8><link rel=x href=y><script>s</script><article><p>Text</p></article></html>", ["Text"]),
+    ("<head><title>t</title>Text <a href=x>more</a>", ["Text more"]),
+    ("<head><noscript><img src=x></noscript><title>t</title></head><body><p>Text", ["Text"]),
+    ("<head><noscript><style>p{}</style><title>t</title><body><p>Text</p>", ["Text"]),
+    *[(f"<html><head><title>t</title></head><body><div><{x}>gone<article><h1>H</h1><p>Text</p></article></div><p>more</p></body></html>", ["H", "Text", "more"]) for x in "noscript object select svg iframe".split()],
+    *[(f"<body><p>A<{x}>gone</p>B<div><{x}>gone <b>too</b></{x}>C</div>D", ["A", "B", "C", "D"]) for x in "noscript object select svg iframe".split()],
+    *[(f"<body><{x}>gone<section><p>gone</p></section></{x}><p>Text</p>", ["Text"]) for x in "noscript object svg template".split()],
+    ("<body><span><iframe src=x>gone</span>B<select><option>gone<option>gone<main>C</main>", ["B", "C"]),
+])
+def test_blocks_of_pages_with_omitted_end_tags(page, want):
+    assert [b.text for b in html_blocks.blocks_of(page)] == want
+
+
 def test_labeller_on_held_out_pages(spark, sf_dir):
     weights, r, memo = html_blocks.train(), random.Random(77), {}
     right = n = 0
