@@ -92,6 +92,8 @@ RULES = [
 _ANCHORS = "licens|permission|redistribut|copyright|warrant|software|mozilla|rights"
 _BREAK = r"[.;:!?]+([ \t\n\r]|\z)"
 _PARAGRAPH = r"\n[ \t\r]*\n"
+#: The full stop of "v. 2.0" within a known sentence does not end it.
+_VERSION = r"\bv\.[ \t\r]+(?=[0-9])"
 _OTHER = r"[^a-z0-9\x01]+"
 _EDGE = r" *\x01[ \x01]*"
 
@@ -110,6 +112,7 @@ def _known_ids(text: Column, wrapped: bool) -> Column:
         t = F.regexp_replace(F.regexp_replace(t, _PARAGRAPH, "\x01"), "\n", " ")
     else:
         t = F.regexp_replace(t, "\n", "\x01")
+    t = F.regexp_replace(t, _VERSION, "v ")
     t = F.regexp_replace(F.regexp_replace(t, _BREAK, "\x01"), _OTHER, " ")
     names = F.create_map(*[F.lit(x) for pair in KNOWN.items() for x in pair])
     found = F.filter(F.transform(F.split(t, _EDGE), lambda s: F.trim(s)), lambda s: s.isin(list(KNOWN)))
@@ -155,7 +158,7 @@ def _quoted(text: str) -> str:
 
 
 def license_sql() -> str:
-    """The DuckDB statement of ``license_scan`` over documents."""
+    """The DuckDB statement of ``license_scan`` over documents, but for "v. 2.0" in a sentence (``_VERSION``)."""
     ids = f"map([{', '.join(map(_quoted, KNOWN))}], [{', '.join(map(_quoted, KNOWN.values()))}])"
 
     def known(text: str) -> str:

@@ -201,6 +201,22 @@ def test_licenses(spark, corpus):
     assert not re.search("Python|Pandas|Arrow|Join", plan) and plan.count("Exchange") == 1  # the repartition of the fixture
 
 
+MPL = """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at https://mozilla.org/MPL/2.0/. */
+int x;
+"""
+
+
+def test_every_licence_rule_matches_its_own_sentences(spark):
+    joined = [[licenses.SENTENCES[s] for s in of] for *_, of in licenses.RULES]
+    texts = [t for of in joined for t in (". ".join(of) + ".", ".\n".join(of), "\n\n".join(of))] + [MPL]
+    got = {r.doc_id: r for r in licenses.license_scan(spark.createDataFrame(list(enumerate(texts)), DDL)).collect()}
+    for i in range(len(texts) - 1):
+        assert licenses.RULES[i // 3][0] in got[i].rules.split(","), (licenses.RULES[i // 3][0], texts[i])
+    assert (got[len(texts) - 1].licenses, got[len(texts) - 1].license_class) == ("MPL-2.0", "copyleft")
+
+
 BASE = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
     "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
