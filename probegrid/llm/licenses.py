@@ -5,7 +5,8 @@ sentences known from licences are replaced by their identifiers. The sequence
 of identifiers is then matched against ordered rules: a rule names the
 sentences a licence consists of, in their order. Texts are read twice, once
 with line ends as sentence ends (notices on a line of their own) and once with
-single line ends as blanks (wrapped licence texts).
+single line ends as blanks and without comment marks at line starts (wrapped
+licence texts).
 
 Scale: everything happens within a row, with no shuffle and no Python; the
 sentence and rule tables are literals of fixed size.
@@ -92,6 +93,8 @@ RULES = [
 _ANCHORS = "licens|permission|redistribut|copyright|warrant|software|mozilla|rights"
 _BREAK = r"[.;:!?]+([ \t\n\r]|\z)"
 _PARAGRAPH = r"\n[ \t\r]*\n"
+#: Comment marks that start a line; a line of nothing else is a line of blanks.
+_MARKS = r"\n[ \t]*(?:<!--|-->|[#*/;%!-])[#*/;%! \t\r-]*"
 #: The full stop of "v. 2.0" within a known sentence does not end it.
 _VERSION = r"\bv\.[ \t\r]+(?=[0-9])"
 _OTHER = r"[^a-z0-9\x01]+"
@@ -109,6 +112,7 @@ def _known_ids(text: Column, wrapped: bool) -> Column:
     """Identifiers of the known sentences of a text, in order."""
     t = F.lower(text)
     if wrapped:
+        t = F.regexp_replace(t, _MARKS, "\n")
         t = F.regexp_replace(F.regexp_replace(t, _PARAGRAPH, "\x01"), "\n", " ")
     else:
         t = F.regexp_replace(t, "\n", "\x01")
@@ -158,7 +162,7 @@ def _quoted(text: str) -> str:
 
 
 def license_sql() -> str:
-    """The DuckDB statement of ``license_scan`` over documents, but for "v. 2.0" in a sentence (``_VERSION``)."""
+    """The DuckDB statement of ``license_scan`` over documents, but for "v. 2.0" in a sentence and comment marks (``_VERSION``, ``_MARKS``)."""
     ids = f"map([{', '.join(map(_quoted, KNOWN))}], [{', '.join(map(_quoted, KNOWN.values()))}])"
 
     def known(text: str) -> str:

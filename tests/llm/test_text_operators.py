@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 
 import pytest
@@ -217,6 +218,41 @@ def test_every_licence_rule_matches_its_own_sentences(spark):
     assert (got[len(texts) - 1].licenses, got[len(texts) - 1].license_class) == ("MPL-2.0", "copyleft")
 
 
+APACHE = """Copyright 2020 X
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+
+
+def header(*sentences):
+    """A copyright line, an empty line, and wrapped sentences in paragraphs of their own."""
+    return "Copyright (c) 2020 X\n\n" + "\n\n".join(textwrap.fill(licenses.SENTENCES[s] + ".", 60) for s in sentences)
+
+
+@pytest.mark.parametrize("first, mark, last", [
+    ("", "#", ""), ("", "//", ""), ("", "--", ""), ("", ";", ""), ("", ";;", ""), ("", "%", ""), ("", "!", ""), ("/*", " *", " */"), ("/**", "  *", "  */"), ("#" * 60, "#", "#" * 60), ("", "", ""),
+])
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_licence_headers_in_comments(spark, first, mark, last, end):
+    plain = {
+        "Apache-2.0": APACHE, "MIT": header("mit-grant", "mit-keep", "mit-as-is"), "ISC": header("isc-grant", "isc-as-is"),
+        "BSD-2-Clause": header("bsd-grant", "bsd-source", "bsd-binary"), "MPL-2.0": header("mpl2-form").replace("v. 2", "v.\n2") + " " + licenses.SENTENCES["mpl2-copy"],
+        "GPL-3.0-or-later": header("gpl-free", "gpl3-later", "gpl-hope"),
+    }
+    rows = [(i, end.join(["code();", first, *[f"{mark} {x}".rstrip() for x in text.split("\n")], last, "more();"])) for i, text in enumerate(plain.values())]
+    got = {r.doc_id: r.licenses for r in licenses.license_scan(spark.createDataFrame(rows, DDL)).collect()}
+    assert [got[i] for i in range(len(plain))] == list(plain)
+
+
 BASE = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
     "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
