@@ -46,7 +46,8 @@ class Encoder:
     within words only, and a blank before a character that is no white space
     always begins a word. So a text is split at its blanks, each part is encoded
     with its blank, and the ids of parts are remembered. A text with a blank
-    before white space is encoded whole.
+    before white space is encoded whole, as is one with an added token of the
+    file (``<|endoftext|>``), which is one id wherever it stands.
 
     If the vocabulary numbers its tokens in the order of their merges, the file's
     tokens are also given to ``tiktoken``, which is several times faster on short
@@ -59,7 +60,7 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t["content"] for t in spec.get("added_tokens", [])]
         self.parts: dict[str, bytes | None] = {}
         self.limit = memo
         self.latin = re.compile("[\t\n\r\x20-\x7E\u00A1-\u024F]*")
@@ -105,7 +106,7 @@ class Encoder:
                 at += 1
             if len(parts) > self.limit:
                 parts.clear()
-            split = [t.split(" ") for t in group]
+            split = [[t] if any(x in t for x in self.added) else t.split(" ") for t in group]
             self._learn({x for words in split for x in words[1:]} - parts.keys())
             for text, (first, *rest) in zip(group, split, strict=True):
                 found = [parts[x] for x in rest]

@@ -202,6 +202,20 @@ def test_licenses(spark, corpus):
     assert not re.search("Python|Pandas|Arrow|Join", plan) and plan.count("Exchange") == 1  # the repartition of the fixture
 
 
+def test_added_tokens_are_one_id(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer_path())
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>y z", "a  b<|endoftext|>", "a <|endoftext|", "plain text", "a <|endoftext|>", "日本 <|endoftext|> 語", " <|endoftext|>\n c"]
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert 50256 in want[0]
+    encoder = packing.Encoder(tokenizer_path(), memo=3)
+    for _ in range(2):
+        assert [memoryview(x).cast("I").tolist() for x in encoder.encode_all(texts)] == want
+    got = {p.doc_id: p.ids for p in packing.pack(spark.createDataFrame(list(enumerate(texts)), DDL), tokenizer_path(), with_ids=True).collect()}
+    assert [got[i] for i in range(len(texts))] == [[*x, packing.END_ID] for x in want]
+
+
 MPL = """/* This Source Code Form is subject to the terms of the Mozilla Public
  * License, v. 2.0. If a copy of the MPL was not distributed with this
  * file, You can obtain one at https://mozilla.org/MPL/2.0/. */
