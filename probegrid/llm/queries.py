@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from probegrid.llm.archives import archive_pages
+from probegrid.llm.collocations import mine_phrases, phrases_sql
 from probegrid.llm.common import table
 from probegrid.llm.decontamination import decontaminate
 from probegrid.llm.exact_dedup import exact_duplicates
@@ -15,8 +16,10 @@ from probegrid.llm.licenses import license_scan, license_sql
 from probegrid.llm.near_dedup import near_duplicates
 from probegrid.llm.packing import pack
 from probegrid.llm.pii import find_pii
+from probegrid.llm.simhash import simhash_duplicates
 from probegrid.llm.suffix_dedup import remove_repeats
 from probegrid.llm.toxicity import classify
+from probegrid.llm.whitening import whiten
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -68,15 +71,29 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(documents, documents, table(spark, sf_dir, "labels"))
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_phrases(table(spark, sf_dir, "documents"))
+
+
 def llm_queries() -> dict[str, Query]:
     named = [
         op1_html_blocks, op2_near_dedup, op3_licenses, op4_warc, op5_decontamination,
         op6_exact_dedup, op7_suffix_dedup, op8_packing, op9_pii, op10_toxicity,
+        op11_simhash, op12_whitening, op13_collocations,
     ]
     return {q.__name__: q for q in named}
 
 
 LLM_ORACLE = {
+    "op13_collocations": phrases_sql(),
     "op3_licenses": license_sql(),
     "op6_exact_dedup": """
         select doc_id, max(doc_id) over same as keep_id, count(*) over same as group_size,
