@@ -106,7 +106,7 @@ def _moments(blocks: DataFrame, dim: int) -> tuple[int, list[int], int]:
 
     parts = blocks.select("size", "x").mapInArrow(partial, "at int, v decimal(38,0)")
     # one row per dimension
-    found = {r.at: int(r.v) for r in parts.groupBy("at").agg(F.sum("v").alias("v")).toLocalIterator()}
+    found = {r.at: int(r.v) for r in parts.groupBy("at").agg(F.sum("v").alias("v")).collect()}
     return found.get(0, 0), [found.get(i + 2, 0) for i in range(dim)], found.get(1, 0)
 
 
@@ -137,7 +137,8 @@ def _summed(blocks: DataFrame, dim: int, shape: tuple[int, int], of) -> np.ndarr
     names = [f"y{j}" for j in range(width)]
     parts = blocks.select("size", "x").mapInArrow(partial, "i int, " + ", ".join(f"{c} double" for c in names))
     out = np.zeros(shape)
-    for r in parts.groupBy("i").agg(*[F.sum(c).alias(c) for c in names]).toLocalIterator():
+    # as many rows as a vector has entries
+    for r in parts.groupBy("i").agg(*[F.sum(c).alias(c) for c in names]).collect():
         out[r.i] = [r[c] for c in names]
     return out
 
