@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 from probegrid.llm.common import release, stored, strings
 
 LEAST = 10
-LONGEST = 3
 TOP = 2000
 #: A candidate goes when a longer one has this share of its occurrences, in hundredths.
 COVERED = 50
@@ -35,21 +34,26 @@ SEGMENT = 4096
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9)
 
 
-def weighted_graph(docs: DataFrame) -> DataFrame:
-    """``lang, phrase, words, n``: edges (three words) with their weight, and one or two words that end a piece.
+def edge_counts(docs: DataFrame) -> DataFrame:
+    """``node, next, n``: edges with their weight so far, and as ``next`` empty the one or two words that end a piece.
 
-    Every word of a text starts exactly one of these sequences.
+    ``node`` is the language, a line feed (no word holds one) and one or two words.
+    Every word of a text starts exactly one of these sequences. A task hands on
+    what it has counted when ``COUNTED`` sequences are known, so one may come in
+    several rows.
     """
 
     def rows(counted: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
         for lang, of in counted.items():
+            head = lang.encode() + b"\n"
             keys = list(of)
             for at in range(0, len(keys), 50_000):
                 part = keys[at:at + 50_000]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([lang] * len(part)), pa.array([b" ".join(k) for k in part], pa.binary()).cast(pa.string()),
-                    pa.array([len(k) for k in part], pa.int32()), pa.array([of[k] for k in part], pa.int64()),
-                ], names=["lang", "phrase", "words", "n"])
+                    pa.array([head + b" ".join(k[:2]) for k in part], pa.binary()).cast(pa.string()),
+                    pa.array([k[2] if len(k) > 2 else b"" for k in part], pa.binary()).cast(pa.string()),
+                    pa.array([of[k] for k in part], pa.int64()),
+                ], names=["node", "next", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counted: dict[str, Counter] = defaultdict(Counter)
@@ -78,8 +82,73 @@ def weighted_graph(docs: DataFrame) -> DataFrame:
         yield from rows(counted)
 
     plain = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    counts = plain.mapInArrow(count, "lang string, phrase string, words int, n long")
-    return counts.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"))
+    return plain.mapInArrow(count, "node string, next string, n long")
+
+
+def weighted_graph(docs: DataFrame, least: int = LEAST) -> DataFrame:
+    """``lang, phrase, words, a``: edges (three words) and nodes (two) that reach ``least``, and flows of single words in parts.
+
+    All rows of a node go to one task and come in order, so edges and the flow
+    through their node are summed as they pass; what is rare is never written. A
+    node has no more rows than it has followers in what tasks handed on. The parts
+    of a word's flow are to be added up.
+    """
+
+    def flow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple[str, str, int, int]] = []
+        node = word = follower = None
+        edge = through = of_word = 0
+
+        def edge_ends():
+            if follower and edge >= least:
+                lang, phrase = node.rsplit("\n", 1)
+                found.append((lang, f"{phrase} {follower}", 3, edge))
+
+        def node_ends():
+            lang, phrase = node.rsplit("\n", 1)
+            if through >= least and " " in phrase:
+                found.append((lang, phrase, 2, through))
+
+        def word_ends():
+            lang, phrase = word.rsplit("\n", 1)
+            found.append((lang, phrase, 1, of_word))
+
+        def rows() -> pa.RecordBatch:
+            lang, phrase, words, a = zip(*found, strict=True)
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array(lang), pa.array(phrase), pa.array(words, pa.int32()), pa.array(a, pa.int64())], names=["lang", "phrase", "words", "a"])
+
+        for batch in batches:
+            for here, following, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if here != node:
+                    if node is not None:
+                        edge_ends()
+                        node_ends()
+                    at = here.rfind("\n")
+                    space = here.find(" ", at + 1)
+                    first = here if space < 0 else here[:space]
+                    if first != word:
+                        if word is not None:
+                            word_ends()
+                        word, of_word = first, 0
+                    node, follower, edge, through = here, following, 0, 0
+                elif following != follower:
+                    edge_ends()
+                    follower, edge = following, 0
+                edge += n
+                through += n
+                of_word += n
+            if len(found) > 20_000:
+                yield rows()
+        if node is not None:
+            edge_ends()
+            node_ends()
+            word_ends()
+        if found:
+            yield rows()
+
+    dealt = edge_counts(docs).repartition("node").sortWithinPartitions("node", "next")
+    return dealt.mapInArrow(flow, "lang string, phrase string, words int, a long")
 
 
 def _first(phrase: Column, words: int) -> Column:
@@ -91,11 +160,6 @@ def _rest(phrase: Column) -> Column:
     return F.substring(phrase, F.length(_first(phrase, 1)) + 2, F.length(phrase))
 
 
-def node_flow(graph: DataFrame, words: int) -> DataFrame:
-    """``lang, phrase, a``: occurrences of all sequences of one or two words, from edge weights and piece ends."""
-    return graph.where(F.col("words") >= words).groupBy("lang", _first(F.col("phrase"), words).alias("phrase")).agg(F.sum("n").alias("a"))
-
-
 def _heads(follows: DataFrame, edges: DataFrame) -> DataFrame:
     """``edge, head, hops``: the first edge of each edge's unary path, and the steps to it. ``follows`` is (edge, before).
 
@@ -166,12 +230,13 @@ def mine_phrases(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFra
     Repeated rows count as often as they stand there. Ties are ordered by phrase,
     so the result is one for all runs.
     """
-    graph = stored(weighted_graph(docs), "phrase-graph")
+    graph = stored(weighted_graph(docs, least), "phrase-graph")
     release(docs.sparkSession)
-    words = stored(node_flow(graph, 1).where(F.col("a") >= least), "word-flow")
-    nodes = stored(node_flow(graph, 2).where((F.col("a") >= least) & F.col("phrase").contains(" ")), "node-flow")
-    edges = stored(graph.where((F.col("words") == LONGEST) & (F.col("n") >= least)).select("lang", "phrase", F.col("n").alias("a")).withColumn("edge", F.monotonically_increasing_id()), "edges")
-    totals = graph.groupBy(F.col("lang").alias("_lang")).agg(F.sum("n").alias("n"))
+    flows = graph.where("words = 1").groupBy("lang", "phrase").agg(F.sum("a").alias("a"))
+    words = stored(flows.where(F.col("a") >= least), "word-flow")
+    nodes = graph.where("words = 2").select("lang", "phrase", "a")
+    edges = stored(graph.where("words = 3").select("lang", "phrase", "a", F.monotonically_increasing_id().alias("edge")), "edges")
+    totals = graph.where("words = 1").groupBy(F.col("lang").alias("_lang")).agg(F.sum("a").alias("n"))
     phrase = F.col("phrase")
     full = _with(_with(_with(_with(edges, nodes, _rest(phrase), "node"), words, _first(phrase, 1), "l1"), nodes, _first(phrase, 2), "l2"), words, F.substring_index(phrase, " ", -1), "r2")
     full = stored(full, "edges-with-parts")
