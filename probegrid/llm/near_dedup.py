@@ -9,10 +9,10 @@ k smallest values of both sketches together estimate the Jaccard similarity of
 a candidate pair and filter it; what passes is verified on the full shingle
 sets. Components of the verified links are the groups.
 
-Long lists are not paired: all members are compared with one central member
-first. Those that did not join its component are compared with the members
-outside their own that a prefix filter on the full sets leaves, which is exact
-and finds few. Short lists (``PAIRED`` members at most) are paired.
+No list is paired. All members are compared with one central member first, and
+components are formed. Members of a list that did not join its component are
+then compared with those outside their own that a prefix filter on the full
+sets leaves, which is exact and finds few.
 
 A pair above the threshold is missed only if its sketches share less than
 ``NEEDED`` of k = 64 values where about 58 are expected, 5 standard deviations;
@@ -40,9 +40,8 @@ SKETCH = 64
 NEEDED = 40
 #: Estimates below this share of the threshold are dropped: five standard deviations of the estimate.
 SLACK = 0.72
-PAIRED = 32
-#: Bits of a key bitmap, as a power of two: 16 MB at most.
-BITMAP_BITS = 27
+#: Members of a list that are dealt to one task, about.
+SPLIT = 1000
 #: Words a worker remembers the hash of, at most.
 MEMO = 500_000
 
@@ -98,105 +97,84 @@ def signatures(docs: DataFrame, k: int = SKETCH) -> DataFrame:
 
 
 def classes_of(signed: DataFrame) -> DataFrame:
-    """``c, ch, n, sketch``: a row per distinct shingle set, named by its smallest (doc_id, text hash)."""
+    """``k, c, ch, n, sketch, digest``: a numbered row per distinct shingle set, with its smallest (doc_id, text hash).
+
+    Store it before use: the numbers are given when rows are made.
+    """
     linked = signed.where("n > 0 and _id is not null")
     return linked.groupBy("digest").agg(F.min(F.struct("_id", "_h")).alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")).select(
-        F.col("rep._id").alias("c"), F.col("rep._h").alias("ch"), "n", "sketch")
+        F.monotonically_increasing_id().alias("k"), F.col("rep._id").alias("c"), F.col("rep._h").alias("ch"), "n", "sketch", "digest")
 
 
-def postings(classes: DataFrame, k: int = SKETCH) -> DataFrame:
-    """``v, c, ch, n, central``: each class under the rarest of its retained values that it must be found by."""
-    values = classes.select("c", "ch", "n", F.explode("sketch").alias("v"))
+def postings(classes: DataFrame, size: int = SKETCH) -> DataFrame:
+    """``v, k, n, central``: each class under the rarest of its retained values that it must be found by."""
+    values = classes.select("k", "n", F.explode("sketch").alias("v"))
     counts = values.groupBy(F.col("v").alias("_v")).agg(F.count("*").alias("df")).where("df > 1")
     shared = values.join(counts, F.col("v") == F.col("_v"))
-    full = int(k * THRESHOLD / 100)
-    kept = F.least("n", F.lit(k))
-    needed = F.when(F.col("n") <= full, F.ceil(F.col("n") * THRESHOLD / 100)).otherwise(F.greatest(F.lit(1), F.floor(kept * NEEDED / k)))
+    full = int(size * THRESHOLD / 100)
+    kept = F.least("n", F.lit(size))
+    needed = F.when(F.col("n") <= full, F.ceil(F.col("n") * THRESHOLD / 100)).otherwise(F.greatest(F.lit(1), F.floor(kept * NEEDED / size)))
     # values of one class come first and can link with nothing: they use up the front of the prefix
     front = F.greatest(F.lit(0), kept - needed + 1 - (kept - F.size("shared"))).cast("int")
-    ranked = shared.groupBy("c", "ch", "n").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("shared"))
-    return ranked.select("c", "ch", "n", F.size("shared").alias("central"), F.explode(F.slice("shared", F.lit(1), front)).alias("p")).select(
-        F.col("p.v").alias("v"), "c", "ch", "n", "central")
+    ranked = shared.groupBy("k", "n").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("shared"))
+    return ranked.select("k", "n", F.size("shared").alias("central"), F.explode(F.slice("shared", F.lit(1), front)).alias("p")).select(
+        F.col("p.v").alias("v"), "k", "n", "central")
 
 
 def _sizes_fit(a: Column, b: Column) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * THRESHOLD
 
 
-def _pairs(left: DataFrame, right: DataFrame, extra: Column | None = None) -> DataFrame:
-    """Distinct pairs of classes of the same list whose sizes fit; left and right are (v, c, ch, n)."""
-    b = right.select(F.col("v").alias("_v"), *[F.col(x).alias(f"{x}_b") for x in ("c", "ch", "n")])
-    on = (F.col("v") == F.col("_v")) & (F.col("c") != F.col("c_b")) & _sizes_fit(F.col("n"), F.col("n_b"))
-    both = left.join(b, on & extra if extra is not None else on)
-    swap = F.col("c") > F.col("c_b")
-    first, second = F.struct("c", "ch"), F.struct(F.col("c_b").alias("c"), F.col("ch_b").alias("ch"))
-    ordered = both.select(F.when(swap, second).otherwise(first).alias("a"), F.when(swap, first).otherwise(second).alias("b"))
-    return ordered.select(F.col("a.c").alias("a"), F.col("a.ch").alias("ah"), F.col("b.c").alias("b"), F.col("b.ch").alias("bh")).distinct()
+def _ordered(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    return pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
 
 def _attach(pairs: DataFrame, table: DataFrame, side: str, value: str, name: str) -> DataFrame:
-    other = table.select(F.col("c").alias("_c"), F.col("ch").alias("_ch"), F.col(value).alias(name))
-    return pairs.join(other, (F.col(side) == F.col("_c")) & (F.col(f"{side}h") == F.col("_ch"))).drop("_c", "_ch")
+    other = table.select(F.col("k").alias("_k"), F.col(value).alias(name))
+    return pairs.join(other, F.col(side) == F.col("_k")).drop("_k")
 
 
-def _estimated(pairs: DataFrame, classes: DataFrame, k: int = SKETCH) -> DataFrame:
+def _estimated(pairs: DataFrame, classes: DataFrame, size: int = SKETCH) -> DataFrame:
     """Pairs that the union sketch lets pass, with ``link`` true where complete sketches settle it, else null."""
 
     def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep, link = [], []
-            for x, y in zip(batch.column(4), batch.column(5), strict=True):
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = (s.values.to_numpy().view(np.uint64) for s in (x, y))
                 union = np.union1d(x, y)
-                if len(x) < k and len(y) < k:
+                if len(x) < size and len(y) < size:
                     same = len(x) + len(y) - len(union)
                     keep.append(100 * same >= THRESHOLD * len(union))
                     link.append(True)
                     continue
-                low = union[:k]
+                low = union[:size]
                 same = np.isin(low, x, assume_unique=True) & np.isin(low, y, assume_unique=True)
                 keep.append(bool(same.mean() * 100 >= SLACK * THRESHOLD))
                 link.append(None)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(link, pa.bool_())], names=["a", "ah", "b", "bh", "link"]).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(link, pa.bool_())], names=["a", "b", "link"]).filter(pa.array(keep, pa.bool_()))
 
     both = _attach(_attach(pairs, classes, "a", "sketch", "sa"), classes, "b", "sketch", "sb")
-    return both.select("a", "ah", "b", "bh", "sa", "sb").mapInArrow(estimate, "a long, ah long, b long, bh long, link boolean")
-
-
-def _key_bitmap(wanted: DataFrame) -> np.ndarray:
-    """Bits set at the hashes of the keys (c, ch): 16 bits for each key, ``BITMAP_BITS`` at most in all."""
-    n = wanted.count()
-    bits = 1 << max(16, min(BITMAP_BITS, (16 * n).bit_length()))
-    at = wanted.select(F.pmod(F.xxhash64("c", "ch"), F.lit(bits)).alias("at")).distinct()
-    # no chunk has more than 2^15 bits, whatever the number of keys
-    chunks = at.groupBy(F.shiftright("at", 15).alias("chunk")).agg(F.collect_list((F.col("at") % 32768).cast("int")).alias("low"))
-    bitmap = np.zeros(bits, dtype=bool)
-    for r in chunks.toLocalIterator():
-        bitmap[np.asarray(r.low, dtype=np.int64) + r.chunk * 32768] = True
-    return np.packbits(bitmap)
+    return both.select("a", "b", "sa", "sb").mapInArrow(estimate, "a long, b long, link boolean")
 
 
-def _shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``c, ch, shingles``: the full sets of some classes, as sorted 64-bit hashes in binary.
+def _shingle_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``k, shingles``: the full sets of the classes in ``wanted`` (k), as sorted 64-bit hashes in binary.
 
-    A bitmap of bounded size tells where the texts are read which of them may be
-    wanted, so that only sets of those are shuffled; the join drops the others.
+    Each set is read from one text of its class. The keys are stored before the
+    join, so that Spark knows their size: it broadcasts them or, beyond its
+    threshold, shuffles texts by key.
     """
-    bitmap = _key_bitmap(wanted)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[bytes, int] = {}
         for batch in batches:
-            at = batch.column(3).to_numpy()
-            maybe = pa.array((bitmap[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool))
-            batch = batch.filter(maybe)
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0), batch.column(1), pa.array([shingle_set(t, memo).tobytes() for t in strings(batch.column(2))], pa.binary())], names=["_id", "_h", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t, memo).tobytes() for t in strings(batch.column(1))], pa.binary())], names=["k", "shingles"])
 
-    texts = keyed(docs).where("_id is not null").select("_id", "_h", "text", F.pmod(F.xxhash64("_id", "_h"), F.lit(8 * len(bitmap))).alias("at"))
-    found = texts.mapInArrow(sets, "_id long, _h long, shingles binary")
-    of = found.join(wanted, (F.col("_id") == F.col("c")) & (F.col("_h") == F.col("ch"))).select("c", "ch", "shingles")
-    return stored(of.dropDuplicates(["c", "ch"]), "shingle-sets")
+    keys = stored(classes.select("k", "c", "ch").join(wanted.distinct(), "k", "left_semi"), "wanted-classes")
+    texts = keyed(docs).join(keys, (F.col("_id") == F.col("c")) & (F.col("_h") == F.col("ch"))).select("k", "text")
+    # a row may stand there twice with one id and text
+    return stored(texts.mapInArrow(sets, "k long, shingles binary").dropDuplicates(["k"]), "shingle-sets")
 
 
 def _reaching(pairs: DataFrame, full: DataFrame) -> DataFrame:
@@ -215,40 +193,39 @@ def _reaching(pairs: DataFrame, full: DataFrame) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long")
 
 
-def _verified(passed: DataFrame, docs: DataFrame) -> DataFrame:
+def _verified(passed: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     """``a, b`` of the pairs that are settled, or whose full sets reach the threshold."""
     sure = passed.where("link").select("a", "b")
-    unsure = passed.where("link is null").select("a", "ah", "b", "bh")
-    wanted = unsure.select(F.col("a").alias("c"), F.col("ah").alias("ch")).union(unsure.select("b", "bh")).distinct()
-    return sure.union(_reaching(unsure, _shingle_sets(docs, wanted)))
+    unsure = passed.where("link is null").select("a", "b")
+    wanted = unsure.select(F.col("a").alias("k")).union(unsure.select("b"))
+    return sure.union(_reaching(unsure, _shingle_sets(docs, classes, wanted)))
 
 
-def _crossing(split: DataFrame, docs: DataFrame) -> DataFrame:
-    """Verified links of members of long lists that are outside the main component of a list.
+def _crossing(split: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Verified links of list members that are outside the component of a list's central member.
 
-    ``split`` is (v, c, ch, n, label, main). Sketches cannot tell such members apart,
+    ``split`` is (k, n, label, rest). Sketches cannot tell such members apart,
     so this is a prefix-filtered join on their full sets: shingles from the rarest
     on, each member under as many as its partners of a size can force it to share.
     Partners of about one size share a bucket, so that the number is exact for them.
     """
-    rest = split.groupBy("c", "ch", "n", "label").agg(F.max(F.col("label") != F.col("main")).alias("rest"))
-    full = _shingle_sets(docs, rest.select("c", "ch"))
+    full = _shingle_sets(docs, classes, split.select("k"))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for c, ch, of in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            for k, of in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 s = np.frombuffer(of, dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), c)), pa.array(np.full(len(s), ch)), pa.array(s)], names=["c", "ch", "s"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), k)), pa.array(s)], names=["k", "s"])
 
-    each = full.mapInArrow(spread, "c long, ch long, s long")
+    each = full.mapInArrow(spread, "k long, s long")
     counts = each.groupBy(F.col("s").alias("_s")).agg(F.count("*").alias("df"))
     # only shingles that two members share can link them; the others stand in front of them
-    shared = each.join(counts.where("df > 1"), F.col("s") == F.col("_s")).groupBy("c", "ch").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("shared"))
-    known = shared.join(rest.select(F.col("c").alias("_c"), F.col("ch").alias("_ch"), "n", "label", "rest"), (F.col("c") == F.col("_c")) & (F.col("ch") == F.col("_ch")))
+    shared = each.join(counts.where("df > 1"), F.col("s") == F.col("_s")).groupBy("k").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("shared"))
+    known = shared.join(split.select(F.col("k").alias("_k"), "n", "label", "rest"), F.col("k") == F.col("_k"))
     room = F.greatest(F.lit(0), F.col("n") - F.ceil(F.col("n") * THRESHOLD / 100) + 1 - (F.col("n") - F.size("shared"))).cast("int")
-    posted = known.select("c", "ch", "n", "label", "rest", (F.col("n") - F.size("shared")).alias("front"), F.posexplode(F.slice("shared", F.lit(1), room)).alias("at", "p"))
+    posted = known.select("k", "n", "label", "rest", (F.col("n") - F.size("shared")).alias("front"), F.posexplode(F.slice("shared", F.lit(1), room)).alias("at", "p"))
     # left: members from this shingle on, that is all they can still share
-    posted = stored(posted.select(F.col("p.s").alias("s"), "c", "ch", "n", "label", "rest", (F.col("n") - F.col("front") - F.col("at")).alias("left")), "prefixes")
+    posted = stored(posted.select(F.col("p.s").alias("s"), "k", "n", "label", "rest", (F.col("n") - F.col("front") - F.col("at")).alias("left")), "prefixes")
     step = float(np.log(1.05))
     needed = lambda a, b: F.ceil((a + b) * THRESHOLD / (100 + THRESHOLD))
     bucket = F.floor(F.log("n") / step)
@@ -256,35 +233,68 @@ def _crossing(split: DataFrame, docs: DataFrame) -> DataFrame:
     probes = posted.where("rest").withColumn("bucket", F.explode(targets))
     smallest = F.greatest(F.ceil(F.col("n") * THRESHOLD / 100), F.floor(F.exp(F.col("bucket") * step)))
     probes = probes.where(F.col("left") >= needed(F.col("n"), smallest))
-    other = posted.select(F.col("s").alias("_s"), bucket.alias("_bucket"), *[F.col(x).alias(f"{x}_b") for x in ("c", "ch", "n", "label", "left")])
+    other = posted.select(F.col("s").alias("_s"), bucket.alias("_bucket"), *[F.col(x).alias(f"{x}_b") for x in ("k", "n", "label", "left")])
     met = probes.join(other, (F.col("s") == F.col("_s")) & (F.col("bucket") == F.col("_bucket")) & (F.col("label") != F.col("label_b")) & _sizes_fit(F.col("n"), F.col("n_b"))
                       & (F.least("left", "left_b") >= needed(F.col("n"), F.col("n_b"))))
-    swap = F.col("c") > F.col("c_b")
-    pairs = met.select(F.when(swap, F.col("c_b")).otherwise(F.col("c")).alias("a"), F.when(swap, F.col("ch_b")).otherwise(F.col("ch")).alias("ah"),
-                       F.when(swap, F.col("c")).otherwise(F.col("c_b")).alias("b"), F.when(swap, F.col("ch")).otherwise(F.col("ch_b")).alias("bh")).distinct()
-    return _reaching(pairs, full)
+    return _reaching(_ordered(met, "k", "k_b"), full)
+
 
+def _lists(classes: DataFrame) -> DataFrame:
+    """``v, k, n, pivot, pivot_n, members, salt, salts``: list members with the central member of their list.
 
-def links_of(docs: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(verified links between classes, their components)."""
+    Members of a long list are dealt over ``salts`` groups.
+    """
     lists = stored(postings(classes), "postings")
-    sizes = lists.groupBy(F.col("v").alias("_lv")).agg(
-        F.count("*").alias("members"), F.max(F.struct("central", (-F.col("c")).alias("low"), "c", "ch", "n")).alias("pivot")).where("members > 1")
-    sized = stored(lists.join(sizes, F.col("v") == F.col("_lv")).drop("_lv"), "lists")
-    short, long = sized.where(F.col("members") <= PAIRED), sized.where(F.col("members") > PAIRED)
-    plain = ["v", "c", "ch", "n"]
-    pivots = long.select("v", "pivot.c", "pivot.ch", "pivot.n").distinct()
-    pairs = _pairs(short.select(plain), short.select(plain), F.col("c") < F.col("c_b")).union(_pairs(long.select(plain), pivots)).distinct()
-    links = stored(_verified(stored(_estimated(pairs, classes), "candidates"), docs), "links")
+    heads = lists.groupBy("v").agg(F.count("*").alias("members"), F.max(F.struct("central", (-F.col("k")).alias("low"), "k", "n")).alias("p")).where("members > 1")
+    heads = stored(heads.select("v", "members", F.col("p.k").alias("pivot"), F.col("p.n").alias("pivot_n"), F.ceil(F.col("members") / SPLIT).cast("int").alias("salts")), "list-heads")
+    # as many rows as there are long lists, SPLIT times fewer than members
+    long = stored(heads.where("salts > 1").select(F.col("v").alias("_v"), "salts"), "long-lists")
+    salt = F.coalesce(F.pmod(F.xxhash64("k"), F.col("salts")).cast("int"), F.lit(0))
+    dealt = lists.join(long, F.col("v") == F.col("_v"), "left").select("v", "k", "n", salt.alias("salt"))
+    each = heads.select(F.col("v").alias("_v"), "members", "pivot", "pivot_n", "salts", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("_salt"))
+    return stored(dealt.join(each, (F.col("v") == F.col("_v")) & (F.col("salt") == F.col("_salt"))).drop("_v", "_salt"), "lists")
+
+
+def links_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """``a, b``: verified links between classes; their components are those of all pairs above the threshold."""
+    lists = _lists(classes)
+    pairs = _ordered(lists.where((F.col("k") != F.col("pivot")) & _sizes_fit(F.col("n"), F.col("pivot_n"))), "k", "pivot")
+    links = stored(_verified(stored(_estimated(pairs, classes), "candidates"), docs, classes), "links")
     labels = components(links)
     release(docs.sparkSession)
-    known = long.join(labels, long.c == labels.node, "left").select(*plain, F.col("pivot.c").alias("pivot"), F.coalesce("label", "c").alias("label"))
-    of_list = known.groupBy(F.col("v").alias("_pv")).agg(F.min(F.when(F.col("c") == F.col("pivot"), F.col("label"))).alias("main"), F.max("label").alias("high"), F.min("label").alias("low"))
-    split = stored(known.join(of_list.where("low < high"), F.col("v") == F.col("_pv")).select(*plain, "label", "main"), "split-lists")
+    label_of = lambda name: labels.select(F.col("node").alias(f"_{name}"), F.col("label").alias(f"{name}_label"))
+    # of a list of two, the only pair is settled
+    open_lists = lists.where("members > 2")
+    known = open_lists.join(label_of("k"), F.col("k") == F.col("_k"), "left").join(label_of("pivot"), F.col("pivot") == F.col("_pivot"), "left")
+    known = known.select("v", "k", "n", "salt", "salts", F.coalesce("k_label", "k").alias("label"), F.coalesce("pivot_label", "pivot").alias("main"))
+    known = stored(known.withColumn("rest", F.col("label") != F.col("main")), "labelled-lists")
+    torn = known.where("rest").groupBy(F.col("v").alias("_v")).agg(F.max("salts").alias("_salts"))
+    torn = torn.select("_v", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("_salt"))
+    members = known.join(torn, (F.col("v") == F.col("_v")) & (F.col("salt") == F.col("_salt")), "left_semi")
+    split = stored(members.groupBy("k", "n", "label").agg(F.max("rest").alias("rest")), "split-lists")
     if split.isEmpty():
-        return links, labels
-    links = stored(links.union(_crossing(split, docs)).distinct(), "links")
-    return links, components(links)
+        return links
+    return stored(links.union(_crossing(split, docs, classes)).distinct(), "links")
+
+
+def _numbered(signed: DataFrame, classes: DataFrame) -> DataFrame:
+    """``_id, _h, k``: the class of each row that has one."""
+    linked = signed.where("n > 0 and _id is not null").select("_id", "_h", F.col("digest").alias("_digest"))
+    return linked.join(classes.select("digest", "k"), F.col("_digest") == F.col("digest")).select("_id", "_h", "k")
+
+
+def _same_id(rows: DataFrame) -> DataFrame:
+    """``a, b``: links between the classes of rows that repeat a doc_id."""
+    repeated = stored(rows.groupBy(F.col("_id").alias("_rid")).agg(F.min("k").alias("a"), F.max("k").alias("high")).where("a < high"), "repeated-ids")
+    return rows.join(repeated, F.col("_id") == F.col("_rid")).select("a", F.col("k").alias("b")).where("a < b").distinct()
+
+
+def _representatives(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """``k, rep``: for each class the smallest (doc_id, text hash) that it reaches over ``links``."""
+    labels = components(links)
+    named = classes.select("k", "c", "ch").join(labels, F.col("k") == F.col("node"), "left").select("k", F.coalesce("label", "k").alias("label"), F.struct("c", "ch").alias("own"))
+    least = named.groupBy(F.col("label").alias("_label")).agg(F.min("own").alias("rep"))
+    return named.join(least, F.col("label") == F.col("_label")).select("k", "rep")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -297,17 +307,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     signed = stored(signatures(docs), "signatures")
     classes = stored(classes_of(signed), "classes")
-    _, labels = links_of(docs, classes)
-    named = signed.where("n > 0 and _id is not null").groupBy(F.col("digest").alias("_d")).agg(F.min("_id").alias("c"))
-    # a repeated doc_id may be in several classes: its component is the smallest over them
-    known = named.join(labels, named.c == labels.node, "left").select("_d", F.coalesce("label", "c").alias("component"))
-    rows = signed.join(known, signed.digest == known._d, "left").select(
+    links = links_of(docs, classes).union(_same_id(_numbered(signed, classes)))
+    found = _representatives(classes, links)
+    known = stored(classes.select("digest", "k").join(found.select(F.col("k").alias("_k"), "rep"), F.col("k") == F.col("_k")).select(F.col("digest").alias("_d"), F.col("rep.c").alias("component")), "components-by-set")
+    rows = signed.join(known, (F.col("digest") == F.col("_d")) & (F.col("n") > 0) & F.col("_id").isNotNull(), "left").select(
         F.col("_id").alias("doc_id"), F.col("n").alias("n_shingles"),
         F.when(F.col("_id").isNotNull(), F.coalesce("component", "_id")).alias("component_id"))
     return rows.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with their columns as they are."""
-    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_gone_id")).distinct()
-    return docs.join(gone, docs.doc_id.cast("long") == gone._gone_id, "left_anti")
+    """The rows of ``docs`` that stay, with their columns as they are.
+
+    Here texts are the nodes: of each group of texts that links connect, the one
+    with the smallest doc_id stays, so that no text goes for sharing a doc_id
+    with another. Rows without words or without doc_id stay.
+    """
+    signed = stored(signatures(docs), "signatures")
+    classes = stored(classes_of(signed), "classes")
+    found = _representatives(classes, links_of(docs, classes))
+    rows = _numbered(signed, classes).join(found.select(F.col("k").alias("_k"), "rep"), F.col("k") == F.col("_k"))
+    gone = stored(rows.where((F.col("_id") != F.col("rep.c")) | (F.col("_h") != F.col("rep.ch"))).select(F.col("_id").alias("_gone_id"), F.col("_h").alias("_gone_h")).distinct(), "dropped")
+    text = F.coalesce(docs.text.cast("string"), F.lit(""))
+    return docs.join(gone, (docs.doc_id.cast("long") == gone._gone_id) & (F.xxhash64(text) == gone._gone_h), "left_anti")

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 import textwrap
@@ -56,9 +57,10 @@ def shingles(text):
     return frozenset(tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
 
 
-def test_near_dedup(corpus, monkeypatch):
+@pytest.mark.parametrize("split", [1000, 3])
+def test_near_dedup(corpus, monkeypatch, split):
     rows, df = corpus
-    monkeypatch.setattr(near_dedup, "PAIRED", 4)  # so that the lists of the near copies count as long
+    monkeypatch.setattr(near_dedup, "SPLIT", split)
     sets = {i: shingles(t) for i, t in rows if i is not None}
     root = {i: i for i in sets}
 
@@ -80,6 +82,50 @@ def test_near_dedup(corpus, monkeypatch):
     assert {r.doc_id for r in near_dedup.drop_near_duplicates(df).collect() if r.doc_id is not None} == {top(i) for i in sets}
 
 
+def test_near_dedup_with_repeated_ids(spark):
+    """Ids of rows are drawn at random, so that most are given to several texts."""
+    r = random.Random(11)
+    bases = [words(r, 60) for _ in range(6)]
+    rows = []
+    for _ in range(70):
+        w = list(r.choice(bases))
+        if r.random() < 0.6:
+            w[r.randrange(60)] = f"x{r.randrange(3)}"
+        rows.append((r.choice([None, *range(40)]), " ".join(w)))
+    rows += [(50, words_a := " ".join(words(r, 40))), (51, words_a), (51, words_b := " ".join(words(r, 40))), (52, words_b)]
+    root = {i: i for i, _ in rows if i is not None}
+    texts = {t: t for _, t in rows}
+
+    def top(of, x):
+        while of[x] != x:
+            x = of[x]
+        return x
+
+    def linked(s, t):
+        a, b = shingles(s), shingles(t)
+        return 100 * len(a & b) >= 85 * len(a | b)
+
+    for (i, s), (j, t) in itertools.combinations(rows, 2):
+        if i is not None and j is not None and linked(s, t):
+            a, b = top(root, i), top(root, j)
+            root[max(a, b)] = min(a, b)
+            a, b = top(texts, s), top(texts, t)
+            texts[a] = b
+    df = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, k int, rep int").repartition(3)
+    got = collections.Counter((r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(df).collect())
+    assert got == collections.Counter((i, None, True) if i is None else (i, top(root, i), top(root, i) == i) for i, _ in rows)
+    stay = [(r.doc_id, r.text) for r in near_dedup.drop_near_duplicates(df).collect()]
+    groups = collections.defaultdict(set)
+    for i, t in rows:
+        if i is not None:
+            groups[top(texts, t)].add((i, t))
+    # one text of each group of texts stays, under the smallest id of the group
+    for of in groups.values():
+        mine = {x for x in of if x in stay}
+        assert len({t for _, t in mine}) == 1 and {i for i, _ in mine} == {min(i for i, _ in of)}
+    assert sum(i is None for i, _ in stay) == sum(i is None for i, _ in rows)
+
+
 @pytest.mark.parametrize("block", [50_000, 40])
 def test_decontamination(spark, corpus, block):
     rows, df = corpus
