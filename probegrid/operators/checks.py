@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from probegrid.functions.scalars import ratio
@@ -56,3 +56,27 @@ def release_checks(
         _check(counts, F.col("label"), F.col("n"), min_matched, F.col("n") >= min_matched),
     ]
     return reduce(DataFrame.unionByName, parts)
+
+
+def checks_of_measures(
+    spark: SparkSession,
+    most_observed: int | None,
+    formula_error: float | None,
+    negative_share: float | None,
+    counts: DataFrame,
+    expected: int = EXPECTED_PER_DAY,
+    max_formula_error: float = 1e-9,
+    max_negative_share: float = 0.5,
+    min_matched: int = 3,
+) -> DataFrame:
+    """The same checks from numbers a run measured while writing; ``counts`` has label and n.
+
+    No table of records is read. A number that is missing fails its check.
+    """
+    known = [
+        ("max_daily_observed", most_observed, expected), ("max_ci_formula_error", formula_error, max_formula_error),
+        ("negative_ci_share", negative_share, max_negative_share),
+    ]
+    rows = [(n, None if v is None else float(v), float(t), v is not None and v <= t) for n, v, t in known]
+    fixed = spark.createDataFrame(rows, "check string, value double, threshold double, ok boolean")
+    return fixed.unionByName(_check(counts, F.col("label"), F.col("n"), min_matched, F.col("n") >= min_matched))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from probegrid.operators.normalize import MADE_UP
+
 SLOT_KEY = ["point_id", "interval_15min"]
 
 
@@ -24,18 +26,21 @@ def keep_first(valid: DataFrame, key: list[str] = SLOT_KEY, order: list[str] = [
 def duplicates_of(valid: DataFrame, kept: DataFrame) -> DataFrame:
     """The valid records that ``keep_first`` removed; with the kept ones they are all of ``valid``.
 
-    Equal records are counted before the shuffle. A kept record gives its other
-    copies, any other record all of them; missing values compare as equal.
+    The difference of two bags: valid records count +1, kept ones -1, and
+    equal records (missing values included) are added up, in map tasks first. What
+    is left over is given out as often as it counts. A sequence number that was
+    made up on reading is not compared and null in the result.
     """
-    columns = valid.columns
-    counted = valid.groupBy(*columns).agg(F.count("*").alias("_copies")).withColumn("_row", F.xxhash64(*columns))
-    winners = kept.select(*[F.col(c).alias(f"_w_{c}") for c in columns]).withColumn("_w_row", F.xxhash64(*[f"_w_{c}" for c in columns]))
-    same = counted["_row"] == winners["_w_row"]
-    for c in columns:
-        same = same & counted[c].eqNullSafe(winners[f"_w_{c}"])
-    left = F.col("_copies") - F.when(F.col("_w_row").isNotNull(), 1).otherwise(0)
-    removed = counted.join(winners, same, "left").withColumn("_left", left).where("_left > 0")
-    return removed.select(*columns, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_left"))).alias("_copy")).select(*columns)
+    made_up = [f for f in valid.schema if f.metadata.get(MADE_UP)]
+    columns = [c for c in valid.columns if c not in {f.name for f in made_up}]
+    signed = valid.select(*columns, F.lit(1).alias("_n")).unionByName(kept.select(*columns, F.lit(-1).alias("_n")))
+    rest = signed.groupBy(*columns).agg(F.sum("_n").alias("_n")).where("_n > 0")
+    # in two steps, so that a record with very many copies needs no array of that length
+    most = 10_000
+    chunks = rest.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_n") - 1) / most))))
+    size = F.least(F.lit(most).cast("bigint"), F.col("_n") - F.col("_chunk") * most).cast("int")
+    lost = [F.lit(None).cast(f.dataType).alias(f.name) for f in made_up]
+    return chunks.select(*columns, *lost, F.explode(F.array_repeat(F.lit(True), size)).alias("_copy")).select(*valid.columns)
 
 
 def distinct_complete(df: DataFrame, columns: list[str]) -> DataFrame:

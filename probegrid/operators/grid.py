@@ -97,17 +97,36 @@ def block_30min(cleaned: DataFrame, config: DataFrame) -> DataFrame:
     return grid.withColumn("date", F.to_date("interval_30min"))
 
 
+def point_weights(weights: DataFrame) -> DataFrame:
+    """point_id to weight; fails in the job if a point has two rows or its weight is not above zero."""
+    point = id_text(F.col("point_id"), {f.name: f.dataType for f in weights.schema}["point_id"])
+    once = weights.groupBy(point.alias("point_id")).agg(F.count("*").alias("n"), F.max("weight").alias("w"))
+    wrong = F.raise_error(F.concat(F.lit("one weight above zero is needed for point "), F.col("point_id")))
+    return once.select("point_id", F.when((F.col("n") == 1) & (F.col("w") > 0), F.col("w").cast("double")).otherwise(wrong).alias("weight"))
+
+
 def block_30min_weighted(cleaned: DataFrame, config: DataFrame, weights: DataFrame) -> DataFrame:
-    """Block means weighted by road length; ``weights`` has point_id and weight."""
-    rows = point_30min(cleaned, config).join(weights.select("point_id", "weight"), "point_id")
+    """Block means weighted by road length; ``weights`` has point_id and weight.
+
+    Points without a weight cannot enter a weighted mean. They are counted in each
+    block-slot (``unweighted_points``); a block-slot of such points only has null means.
+    """
+    rows = point_30min(cleaned, config).join(point_weights(weights), "point_id", "left")
     w = F.col("weight")
     return rows.groupBy(*BLOCK_SLOT).agg(
         ratio(F.sum(F.col("tomtom_ci_percent") * w), F.sum(w)).alias("weighted_ci_percent"),
         ratio(F.sum(F.col("tomtom_current_speed") * w), F.sum(w)).alias("weighted_current_speed"),
         F.sum(w).alias("total_weight"),
+        F.count_if(w.isNull()).alias("unweighted_points"),
     )
 
 
+def unweighted_points(cleaned: DataFrame, weights: DataFrame) -> DataFrame:
+    """Points with records and no weight, with their number of records."""
+    seen = cleaned.groupBy("point_id").agg(F.count("*").alias("records"))
+    return seen.join(point_weights(weights), "point_id", "left_anti")
+
+
 def segment_block_time(valid: DataFrame) -> DataFrame:
     """Segment records per block and 30 minutes, without dedup.
 

@@ -42,15 +42,20 @@ def require_columns(df: DataFrame, required: list[str], table: str) -> None:
         raise ValueError(f"{table} lacks columns {missing}")
 
 
+#: Metadata key of a column that was numbered here and not delivered.
+MADE_UP = "made_up"
+
+
 def _with_sequence(df: DataFrame) -> DataFrame:
     """A column that decides between records of equal time.
 
     Without one in the data, the position in the input files is used, as a
-    reader that keeps file order would.
+    reader that keeps file order would. Its metadata says so: over a shuffled
+    input a second evaluation may give other numbers, so nothing compares them.
     """
     if "ingest_seq" in df.columns:
         return df
-    return df.withColumn("ingest_seq", F.monotonically_increasing_id())
+    return df.select("*", F.monotonically_increasing_id().alias("ingest_seq", metadata={MADE_UP: True}))
 
 
 def _within(df: DataFrame, date_from, date_to) -> DataFrame:

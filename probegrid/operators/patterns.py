@@ -10,9 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from probegrid.functions.order_stats import percentiles, pooled
-from probegrid.functions.scalars import floor_minutes, ratio
-from probegrid.operators.grid import assign_blocks, point_layout
+from probegrid.functions.distributions import normal_two_sided, student_two_sided
+from probegrid.functions.order_stats import percentiles, pooled, value_positions
+from probegrid.functions.scalars import epoch_micros, floor_minutes, ratio
+from probegrid.operators.grid import assign_blocks, point_blocks, point_layout
 from probegrid.schema import PEAK_QUANTILE
 
 CI = "ci_percent"
@@ -105,6 +106,41 @@ def impact_comparison(cleaned: DataFrame, calendar: DataFrame) -> DataFrame:
     )
 
 
+def impact_tests(cleaned: DataFrame, calendar: DataFrame) -> DataFrame:
+    """Is congestion on affected days another than on normal ones? Two tests, two-sided.
+
+    Welch's t with its degrees of freedom, and the rank-sum statistic U of the
+    affected records with average ranks, its variance corrected for ties, by the normal
+    distribution without a continuity correction. A group without records, or values
+    that are all equal, give null statistics and null probabilities. ``cleaned`` is
+    read twice.
+    """
+    labelled = pooled(cleaned.join(calendar.select("date", "label").where("label in ('affected', 'normal')"), "date").where(F.col(CI).isNotNull()))
+    mine = F.col("label") == "affected"
+    a, b = F.when(mine, F.col(CI)), F.when(~mine, F.col(CI))
+    m = labelled.groupBy("unit").agg(
+        F.count(a).alias("affected_n"), F.count(b).alias("normal_n"), F.avg(a).alias("ma"), F.avg(b).alias("mb"), F.var_samp(a).alias("va"), F.var_samp(b).alias("vb"))
+    ea, eb = F.col("va") / F.nullif(F.col("affected_n"), F.lit(0)), F.col("vb") / F.nullif(F.col("normal_n"), F.lit(0))
+    parts = ea * ea / F.nullif(F.col("affected_n") - 1, F.lit(0)) + eb * eb / F.nullif(F.col("normal_n") - 1, F.lit(0))
+    welch = m.select(
+        "unit", "affected_n", "normal_n", ratio(F.col("ma") - F.col("mb"), F.sqrt(ea + eb)).alias("welch_t"), ratio((ea + eb) * (ea + eb), parts).alias("welch_df"))
+    # ranks of counted values: one row per distinct value
+    places = value_positions(labelled, ["unit"], CI)
+    counts = labelled.groupBy(F.col("unit").alias("_unit"), F.col(CI).cast("double").alias("_value")).agg(F.count_if(mine).alias("affected"))
+    ranked = places.join(counts, (F.col("unit") == F.col("_unit")) & (F.col("value") == F.col("_value")))
+    equal = F.col("n_equal").cast("decimal(18,0)")
+    twice = F.col("affected").cast("decimal(18,0)") * (2 * F.col("n_below") + F.col("n_equal") + 1).cast("decimal(19,0)")
+    sums = ranked.groupBy("unit").agg(F.sum(twice).cast("double").alias("twice_ranks"), F.sum((equal * equal * equal - equal).cast("double")).alias("ties"))
+    n, k = F.col("affected_n").cast("double"), F.col("normal_n").cast("double")
+    total = n + k
+    u = F.col("twice_ranks") / 2 - n * (n + 1) / 2
+    spread = n * k / 12 * (total + 1 - ratio(F.col("ties"), total * (total - 1)))
+    both = welch.join(sums, "unit").withColumn("rank_sum_u", u).withColumn("rank_sum_z", ratio(u - n * k / 2, F.sqrt(F.when(spread > 0, spread))))
+    return both.select(
+        "affected_n", "normal_n", "welch_t", "welch_df", student_two_sided(F.col("welch_t"), F.col("welch_df")).alias("welch_p"),
+        F.when((n > 0) & (k > 0), F.col("rank_sum_u")).alias("rank_sum_u"), "rank_sum_z", normal_two_sided(F.col("rank_sum_z")).alias("rank_sum_p"))
+
+
 def hotspots(cleaned: DataFrame, k: int = 10, q: float = PEAK_QUANTILE) -> DataFrame:
     """The ``k`` points most often at or above the pooled quantile of congestion."""
     threshold = percentiles(pooled(cleaned), ["unit"], [CI], {"threshold": q}).select(f"{CI}_threshold")
@@ -180,3 +216,77 @@ def peak_hours(cleaned: DataFrame, q: float = PEAK_QUANTILE) -> DataFrame:
         F.max("top.mean_ci").alias("peak_mean_ci"),
         F.count_if(F.col("mean_ci") >= limit).alias("hours_at_peak"),
     )
+
+
+def _runs(df: DataFrame, keys: list[str], position: str, name: str) -> DataFrame:
+    """Number unbroken runs of ``position`` (whole numbers, distinct per key): equal ``name`` within keys is one run."""
+    return df.withColumn(name, F.col(position) - F.row_number().over(Window.partitionBy(*keys).orderBy(position)))
+
+
+def bottlenecks(cleaned: DataFrame, config: DataFrame, q: float = PEAK_QUANTILE) -> DataFrame:
+    """Where queues begin: congested stretches of the corridor that stand at one head.
+
+    A cell is a point of the layout in a half hour; it is congested if its mean
+    congestion is at or above the ``q`` quantile of all cells. Congested neighbours
+    along a block in one half hour are a stretch; its head is the last point in driving
+    order, as queues grow backwards. Stretches with one head in consecutive half
+    hours are one bottleneck: head, first and last half hour, duration, largest and
+    mean extent in points, and mean congestion. Pass a stored table.
+
+    Runs are found by block and half hour (as many rows as a block has points), then
+    by head (as many as there are half hours).
+    """
+    slot = floor_minutes(F.col("interval_15min"), 30)
+    cells = assign_blocks(cleaned, config).groupBy("block_id", "point_id", slot.alias("interval_30min")).agg(F.avg(CI).alias("ci"))
+    limit = percentiles(pooled(cells), ["unit"], ["ci"], {"limit": q}).select("ci_limit").scalar()
+    along = Window.partitionBy("block_id").orderBy("corridor_order", "point_id")
+    blocks = point_blocks(config)
+    places = point_layout(config).join(blocks, "point_id").withColumn("place", F.row_number().over(along)).select("point_id", "place")
+    high = cells.where(F.col("ci") >= limit).join(places, "point_id")
+    stretches = _runs(high, ["block_id", "interval_30min"], "place", "run").groupBy("block_id", "interval_30min", "run").agg(
+        F.max_by("point_id", "place").alias("head_point_id"), F.count("*").alias("extent"), F.sum("ci").alias("ci_sum"))
+    half_hour = F.floor(epoch_micros(F.col("interval_30min")) / (30 * 60 * 1_000_000)).cast("bigint")
+    standing = _runs(stretches.withColumn("half_hour", half_hour), ["block_id", "head_point_id"], "half_hour", "stand")
+    return standing.groupBy("block_id", "head_point_id", "stand").agg(
+        F.min("interval_30min").alias("first_slot"), F.max("interval_30min").alias("last_slot"), (F.count("*") * 30).alias("minutes"),
+        F.max("extent").alias("max_extent"), F.avg("extent").alias("mean_extent"), (F.sum("ci_sum") / F.sum("extent")).alias("mean_ci_percent"),
+    ).drop("stand")
+
+
+def peak_spreading(cleaned: DataFrame, q: float = PEAK_QUANTILE) -> DataFrame:
+    """Per date: how long the longest peak lasted and how the peak broke up.
+
+    A half hour is at peak if its mean congestion over all points is at or above the
+    ``q`` quantile of all half hours. The longest unbroken stretch of the date counts
+    (the earliest of equal ones); half hours without records break a stretch.
+    Pass a stored table.
+    """
+    slots = cleaned.groupBy("date", floor_minutes(F.col("interval_15min"), 30).alias("slot")).agg(F.avg(CI).alias("ci"))
+    limit = percentiles(pooled(slots), ["unit"], ["ci"], {"limit": q}).select("ci_limit").scalar()
+    number = (F.hour("slot") * 2 + F.floor(F.minute("slot") / 30)).cast("int")
+    high = _runs(slots.where(F.col("ci") >= limit).withColumn("number", number), ["date"], "number", "run")
+    stretches = high.groupBy("date", "run").agg(F.min("slot").alias("start"), F.count("*").alias("n"))
+    first = F.struct(F.col("n"), (-epoch_micros(F.col("start"))).alias("early"), F.col("start"))
+    longest = stretches.groupBy("date").agg(F.count("*").alias("stretches"), F.sum("n").alias("peak_slots"), F.max(first).alias("top"))
+    half = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(30), F.lit(0))
+    days = slots.select("date").distinct()
+    zero = F.lit(0).cast("bigint")
+    return days.join(longest, "date", "left").select(
+        "date", F.coalesce("peak_slots", zero).alias("peak_slots"), F.coalesce("stretches", zero).alias("stretches"),
+        F.coalesce("top.n", zero).alias("longest_slots"), F.col("top.start").alias("longest_start"),
+        (F.col("top.start") + half * F.col("top.n").cast("int")).alias("longest_end"))
+
+
+def weekly_spreading(cleaned: DataFrame, q: float = PEAK_QUANTILE) -> DataFrame:
+    """Per week (its Monday): lengths and starts of the daily longest peaks, and their change from the week before.
+
+    The step to the week before is over weeks that have records.
+    """
+    days = peak_spreading(cleaned, q).withColumn("week", F.date_trunc("week", "date").cast("date"))
+    minute = F.hour("longest_start") * 60 + F.minute("longest_start")
+    weeks = days.groupBy("week").agg(
+        F.count("*").alias("days"), F.sum("peak_slots").alias("peak_slots"), F.max("longest_slots").alias("longest_slots"),
+        F.avg("longest_slots").alias("mean_longest_slots"), F.avg(minute).alias("mean_start_minute"))
+    before = Window.orderBy("week")
+    step = lambda c: F.col(c) - F.lag(c).over(before)
+    return weeks.withColumn("spreading_slots", step("mean_longest_slots")).withColumn("shift_minutes", step("mean_start_minute"))

@@ -140,27 +140,26 @@ def segment_cleaning_log(flagged: DataFrame) -> DataFrame:
     return log.withColumn("cleaning_pass_rate", F.col("valid_records") / F.col("raw_records"))
 
 
-def daily_availability(cleaned: DataFrame, expected: int = EXPECTED_PER_DAY) -> DataFrame:
-    """Observed against expected records per date; gaps are never filled."""
+def availability_of_counts(counted: DataFrame, expected: int = EXPECTED_PER_DAY) -> DataFrame:
+    """Rates and flag from ``date`` and ``observed_records``."""
     rate = F.col("observed_records") / F.lit(expected)
-    return (
-        cleaned.where(F.col("date").isNotNull())
-        .groupBy("date")
-        .agg(F.count("*").alias("observed_records"))
-        .select(
-            "date",
-            "observed_records",
-            F.lit(expected).cast("bigint").alias("expected_records"),
-            rate.alias("availability_rate"),
-            (F.lit(expected) - F.col("observed_records")).alias("missing_records"),
-            (1 - rate).alias("missing_rate"),
-            F.when(F.col("observed_records") <= expected, "OK")
-            .otherwise("CHECK_OBSERVED_GT_EXPECTED")
-            .alias("availability_check_flag"),
-        )
+    return counted.select(
+        "date",
+        "observed_records",
+        F.lit(expected).cast("bigint").alias("expected_records"),
+        rate.alias("availability_rate"),
+        (F.lit(expected) - F.col("observed_records")).alias("missing_records"),
+        (1 - rate).alias("missing_rate"),
+        F.when(F.col("observed_records") <= expected, "OK").otherwise("CHECK_OBSERVED_GT_EXPECTED").alias("availability_check_flag"),
     )
 
 
+def daily_availability(cleaned: DataFrame, expected: int = EXPECTED_PER_DAY) -> DataFrame:
+    """Observed against expected records per date; gaps are never filled."""
+    counted = cleaned.where(F.col("date").isNotNull()).groupBy("date").agg(F.count("*").alias("observed_records"))
+    return availability_of_counts(counted, expected)
+
+
 def clean_points(
     raw: DataFrame, require_confidence: bool = False, expected: int = EXPECTED_PER_DAY, date_from=None, date_to=None
 ) -> PointTables:

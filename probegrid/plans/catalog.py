@@ -15,15 +15,16 @@ from pyspark.sql import types as T
 from probegrid.functions import scalars
 from probegrid.functions.indicators import with_indicators
 from probegrid.functions.order_stats import percentiles, pooled
-from probegrid.operators import checks, consistency, grid, lineage, operations, patterns, profiles, quality, spatial
+from probegrid.operators import consistency, grid, lineage, operations, patterns, profiles, quality, spatial
 from probegrid.operators.normalize import normalize_columns, standardize_points
 from probegrid.plans import fixtures as fx
+from probegrid.plans import reproduction
 from probegrid.schema import POINT_ALIASES
-from probegrid.session import stored
+from probegrid.session import stored, work_folder
 from probegrid.sources import payloads
-from probegrid.sources.tables import default_point_config, read_table
-from probegrid.streaming import feeds
-from probegrid.streaming.runner import run_to_table
+from probegrid.sources.tables import default_point_config, describe_outputs, read_table, with_dictionary
+from probegrid.streaming import alerts, batches, feeds
+from probegrid.streaming.runner import run_to_table, start_append
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -153,18 +154,31 @@ def duplicate_log(spark, d):
     return points(spark, d).duplicate_log.select("point_id", "interval_15min", "timestamp", "ingest_seq", "date", "is_duplicate_removed")
 
 
+def _run(spark, d) -> reproduction.Run:
+    """The whole workflow, written below the shared folder."""
+    out = work_folder(spark, "run")
+    return reproduction.run_measured(spark, fx.point_raw(spark, d), fx.segment_raw(spark, d), default_point_config(spark), out)
+
+
+def run_all(spark, d):
+    """Rows of each of the fifteen tables, as counted while they were written, beside those that stand there."""
+    run = _run(spark, d)
+    there = [t.agg(F.count("*").alias("rows_there")).withColumn("table_name", F.lit(n)) for n, t in run.tables.items()]
+    found = there[0]
+    for t in there[1:]:
+        found = found.unionByName(t)
+    return reproduction.table_counts(spark, run).join(found, "table_name")
+
+
 def run_report(spark, d):
     """Row counts of the main tables of a run."""
-    p, s = points(spark, d), segments(spark, d)
-    named = {
-        "point_raw": p.flagged, "point_cleaned": p.cleaned, "point_duplicates": p.duplicate_log,
-        "segment_raw": s.flagged, "segment_valid": s.valid, "matched": matched(spark, d),
-    }
-    counts = [df.agg(F.count("*").alias("row_count")).withColumn("table_name", F.lit(n)) for n, df in named.items()]
-    out = counts[0]
-    for c in counts[1:]:
-        out = out.unionByName(c)
-    return out
+    return reproduction.run_report(spark, _run(spark, d))
+
+
+def describe_outputs_query(spark, d):
+    """What the columns of the cleaned table are, with the dictionary entries that know them."""
+    entries = fx.dictionary(spark, d)
+    return describe_outputs(with_dictionary(points(spark, d).cleaned.select(*CLEAN_COLUMNS), entries))
 
 
 # --- grid, agreement ---------------------------------------------------------------
@@ -210,8 +224,26 @@ def peak_overlap(spark, d):
 
 
 def release_checks(spark, d):
-    p = points(spark, d)
-    return checks.release_checks(p.cleaned, p.daily_availability, matched(spark, d))
+    return reproduction.run_checks(spark, _run(spark, d))
+
+
+def run_updated(spark, d):
+    """A run over the first twenty days, brought up to date by the last ten; counts and sums of its tables."""
+    out = work_folder(spark, "run")
+    day = F.dayofmonth("ts")
+    events = fx.table(spark, d, "events")
+    first = events.where(day <= 20)
+    reproduction.run_measured(spark, fx.point_raw_of(first), fx.segment_raw_of(first), default_point_config(spark), out)
+    late = events.where(day > 20)
+    dates = reproduction.touched_dates(quality.clean_points(fx.point_raw_of(late)).flagged, quality.clean_segments(fx.segment_raw_of(late)).flagged)
+    tables = reproduction.update_run(spark, fx.point_raw_of(events), fx.segment_raw_of(events), default_point_config(spark), out, dates)
+    logs = [tables[n].select(F.lit(n).alias("table_name"), "date", F.col("raw_records"), F.col("valid_records")) for n in ("tomtom_cleaning_log_by_date", "here_cleaning_log_by_date")]
+    grids = [tables[n].groupBy("date").agg(F.count("*").alias("raw_records"), F.lit(None).cast("bigint").alias("valid_records")).select(F.lit(n).alias("table_name"), "date", "raw_records", "valid_records")
+             for n in ("tomtom_duplicate_log", "matched_tomtom_here_30min")]
+    out = logs[0]
+    for t in [*logs[1:], *grids]:
+        out = out.unionByName(t)
+    return out.withColumnRenamed("raw_records", "records")
 
 
 # --- documents -----------------------------------------------------------------------
@@ -266,16 +298,27 @@ def ingested_segment_grid(spark, d):
     )
 
 
-def flow_to_point(spark, d):
-    return lineage.flow_to_point(fx.assigned_flows(spark, d), fx.assignments(spark, d), fx.monitor_points(spark, d)).select(
-        "uuid", "point_uuid", "pd_uuid", "point_id", "capture_time", "current_speed"
-    )
+def _lineage(operator, *columns: str):
+    def query(spark, d):
+        found = operator(fx.assigned_flows(spark, d), fx.assignments(spark, d), fx.monitor_points(spark, d))
+        return found.select(*columns) if columns else found
+    return query
 
 
 def points_in_bbox(spark, d):
     return spatial.points_in_boxes(fx.vehicle_positions(spark, d), fx.boxes(spark, d)).select("event_id", "name")
 
 
+def segment_to_block_by_position(spark, d):
+    """Segments placed on the map: the block around the start of their geometry."""
+    shapes = payloads.parse_segment_payloads(fx.segment_payload(spark, d)).shapes
+    return spatial.blocks_by_position(spatial.first_positions(shapes), fx.block_boxes(spark, d), "bbox_uuid")
+
+
+def unweighted_points(spark, d):
+    return grid.unweighted_points(points(spark, d).cleaned, fx.point_weights(spark, d))
+
+
 # --- operations ------------------------------------------------------------------------
 
 def round_robin_assign(spark, d):
@@ -345,6 +388,16 @@ def impact_comparison(spark, d):
     return patterns.impact_comparison(points(spark, d).cleaned, fx.day_labels(spark, d))
 
 
+def impact_tests(spark, d):
+    cleaned = stored(points(spark, d).cleaned.select("date", "ci_percent"), "cleaned")
+    return patterns.impact_tests(cleaned, fx.day_labels(spark, d))
+
+
+def bottlenecks(spark, d):
+    cleaned = stored(points(spark, d).cleaned.select("point_id", "interval_15min", "ci_percent"), "cleaned")
+    return patterns.bottlenecks(cleaned, default_point_config(spark))
+
+
 def time_space_matrix(spark, d):
     return patterns.time_space_matrix(points(spark, d).cleaned, default_point_config(spark))
 
@@ -392,7 +445,10 @@ BATCH: dict[str, Query] = {
     "cleaning_log_point": lambda s, d: points(s, d).cleaning_log,
     "cleaning_log_segment": lambda s, d: segments(s, d).cleaning_log,
     "daily_availability": lambda s, d: points(s, d).daily_availability,
+    "run_all": run_all,
     "run_report": run_report,
+    "run_updated": run_updated,
+    "describe_outputs": describe_outputs_query,
     "unassigned_points": unassigned_points,
     "point_30min": _of_layout(grid.point_30min),
     "block_30min": block_grid,
@@ -420,8 +476,13 @@ BATCH: dict[str, Query] = {
     "ingest_rejects": ingest_rejects,
     "ingested_segment_grid": ingested_segment_grid,
     "segment_geometry": segment_geometry,
-    "flow_to_point": flow_to_point,
+    "flow_to_point": _lineage(lineage.flow_to_point, "uuid", "point_uuid", "pd_uuid", "point_id", "capture_time", "current_speed"),
+    "unlinked_flows": _lineage(lineage.unlinked_flows, "uuid", "point_uuid", "link"),
+    "lineage_report": _lineage(lineage.lineage_report),
     "points_in_bbox": points_in_bbox,
+    "unusable_boxes": lambda s, d: spatial.unusable_boxes(fx.boxes(s, d)),
+    "segment_to_block_by_position": segment_to_block_by_position,
+    "unweighted_points": unweighted_points,
     "round_robin_assign": round_robin_assign,
     "ordered_assign": ordered_assign,
     "ordered_assign_filtered": ordered_assign_filtered,
@@ -445,6 +506,10 @@ BATCH: dict[str, Query] = {
     "functional_class_compare": functional_class_compare,
     "time_space_matrix": time_space_matrix,
     "time_space_long": time_space_long,
+    "impact_tests": impact_tests,
+    "bottlenecks": bottlenecks,
+    "peak_spreading": _of_stored(patterns.peak_spreading, "date", "interval_15min", "ci_percent"),
+    "weekly_spreading": _of_stored(patterns.weekly_spreading, "date", "interval_15min", "ci_percent"),
     "peak_hour_shift": _of_stored(patterns.peak_hours, "date", "interval_15min", "ci_percent"),
 }
 
@@ -482,12 +547,100 @@ def stream_heartbeat(spark, d):
     return outages.withColumn("silent_seconds", silent)
 
 
+def _ingested(landed, ingest, parse, name: str):
+    """Three micro-batches of documents into three tables, of which one is read back."""
+    def query(spark, d):
+        folder = work_folder(spark, "ingest")
+        documents = ingest(spark, landed(spark, d), maxFilesPerTrigger="1")
+        batches.start_ingest(documents, parse, f"{folder}/tables", f"{folder}/checkpoint").awaitTermination()
+        return batches.read_ingested(spark, f"{folder}/tables", name, getattr(parse(documents), name).schema)
+    return query
+
+
+POINT_DOCUMENTS = (fx.landed_point_payloads, feeds.point_documents, payloads.parse_point_payloads)
+SEGMENT_DOCUMENTS = (fx.landed_segment_payloads, feeds.segment_documents, payloads.parse_segment_payloads)
+
+
+def _rejects(documents, feed: str, key: str):
+    def query(spark, d):
+        return _ingested(*documents, "rejects")(spark, d).select(F.lit(feed).alias("feed"), F.col(key).alias("doc_id"), "reject_reason")
+    return query
+
+
+def stream_running_availability(spark, d):
+    """Days 1-10, then 21-30, then 11-20, in three runs."""
+    folder = work_folder(spark, "availability")
+
+    def start(events):
+        valid = quality.clean_points(fx.point_raw_of(events)).valid
+        return batches.start_availability(valid, f"{folder}/tables", f"{folder}/checkpoint")
+
+    fx.events_in_runs(spark, d, (0, 2, 1), start)
+    return batches.read_availability(spark, f"{folder}/tables", points(spark, d).daily_availability.schema)
+
+
+def _audited(spark, d, order, delay_minutes):
+    folder = work_folder(spark, "windows")
+
+    def start(events):
+        flagged = quality.clean_segments(fx.segment_raw_of(events)).flagged
+        return batches.start_segment_windows(flagged, f"{folder}/tables", f"{folder}/checkpoint", delay_minutes)
+
+    fx.events_in_runs(spark, d, order, start)
+    return f"{folder}/tables"
+
+
+def stream_window_audit(spark, d):
+    """The middle part arrives last and is late; undated records stand aside in every batch."""
+    return batches.read_audit(spark, _audited(spark, d, (0, 2, 1), 30))
+
+
+def stream_windows_in_order(spark, d):
+    return batches.read_segment_windows(spark, _audited(spark, d, (0, 1, 2), 30))
+
+
+def stream_aside(spark, d):
+    out = _audited(spark, d, (0, 2, 1), 30)
+    return batches.read_aside(spark, out, segments(spark, d).flagged.schema).groupBy("micro_batch", "fate").agg(
+        F.count("*").alias("records"), F.min("ingest_seq").alias("first_seq"), F.sum("ingest_seq").alias("seq_sum"))
+
+
+def _alert_events(spark, d):
+    folder = work_folder(spark, "alerts")
+
+    def start(events):
+        return start_append(alerts.outage_events(fx.heartbeats_of(events)), f"{folder}/events", f"{folder}/checkpoint")
+
+    fx.events_in_runs(spark, d, (0, 1, 2), start, closing=True)
+    return spark.read.parquet(f"{folder}/events")
+
+
+def stream_outages(spark, d):
+    return alerts.ended_outages(_alert_events(spark, d))
+
+
+def stream_open_outages(spark, d):
+    return alerts.open_outages(_alert_events(spark, d)).where("job_name <> 'closing'")
+
+
 STREAMS: dict[str, Query] = {
     "stream_ingest": stream_ingest,
     "stream_dedup": stream_dedup,
     "stream_block_time": stream_block_time,
     "stream_availability": stream_availability,
     "stream_heartbeat": stream_heartbeat,
+    "stream_point_flows": _ingested(*POINT_DOCUMENTS, "flows"),
+    "stream_point_shapes": _ingested(*POINT_DOCUMENTS, "shapes"),
+    "stream_point_rejects": _rejects(POINT_DOCUMENTS, "point", "point_uuid"),
+    "stream_segment_flows": _ingested(*SEGMENT_DOCUMENTS, "flows"),
+    "stream_segment_shapes": _ingested(*SEGMENT_DOCUMENTS, "shapes"),
+    "stream_segment_rejects": _rejects(SEGMENT_DOCUMENTS, "segment", "batch_id"),
+    "stream_running_availability": stream_running_availability,
+    "stream_window_audit": stream_window_audit,
+    "stream_windows_in_order": stream_windows_in_order,
+    "stream_aside": stream_aside,
+    "stream_outages": stream_outages,
+    "stream_open_outages": stream_open_outages,
 }
 
 

@@ -9,8 +9,11 @@ reach the Parquet reader.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 
 from probegrid.schema import ENVELOPE_TIME
 from probegrid.session import work_folder
@@ -203,12 +206,12 @@ def monitor_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One assignment per order: a run (pd_uuid) of fifty and a customer's point."""
+    """One assignment per order: a run (pd_uuid) of fifty and a customer's point; every 71st was moved off its point."""
     return table(spark, sf_dir, "orders").selectExpr(
         "'O' || cast(o_orderkey as string) uuid",
         "'R' || cast(o_orderkey div 50 as string) pd_uuid",
         "'K' || lpad(cast(o_orderkey % 20 as string), 2, '0') key_number",
-        "cast(1 + o_custkey div 1000 * 0.001 as decimal(10,7)) latitude",
+        "cast(1 + o_custkey div 1000 * 0.001 + case when o_orderkey % 71 = 0 then 0.0005 else 0 end as decimal(10,7)) latitude",
         "cast(110 + o_custkey % 1000 * 0.001 as decimal(10,7)) longitude",
     )
 
@@ -217,21 +220,49 @@ def assigned_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flow rows the assignments led to; each run stops early now and then."""
     return table(spark, sf_dir, "orders").where("o_orderkey % 50 < 50 - o_orderkey div 50 % 7").selectExpr(
         "'F' || cast(o_orderkey as string) uuid",
-        "'O' || cast(o_orderkey as string) point_uuid",
+        "case when o_orderkey % 83 = 0 then 'lost' else 'O' || cast(o_orderkey as string) end point_uuid",
         "o_orderdate capture_time",
         "cast(40 + o_orderkey % 60 as int) current_speed",
     )
 
 
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scan boxes as text minLon,minLat,maxLon,maxLat; one per supplier, ten to each degree going east."""
-    return table(spark, sf_dir, "supplier").selectExpr(
+    """Scan boxes as text minLon,minLat,maxLon,maxLat, of four sizes.
+
+    One per supplier, ten to each degree going east; a region of two degrees for
+    every tenth, a street of about ten metres for every third, one country around all,
+    and texts that are no box for every fiftieth.
+    """
+    suppliers = table(spark, sf_dir, "supplier")
+    usual = suppliers.selectExpr(
         "'Box ' || cast(s_suppkey as string) name",
         """concat_ws(',', cast(cast(110 + s_suppkey * 0.1 as decimal(9,2)) as string),
              cast(cast(1 + s_suppkey % 7 * 0.05 as decimal(5,2)) as string),
              cast(cast(110.15 + s_suppkey * 0.1 as decimal(9,2)) as string),
              cast(cast(1.08 + s_suppkey % 7 * 0.05 as decimal(5,2)) as string)) bbox""",
     )
+    regions = suppliers.where("s_suppkey % 10 = 0").selectExpr(
+        "'Region ' || cast(s_suppkey as string) name",
+        "concat_ws(',', cast(110 + s_suppkey div 10 as string), '1', cast(112 + s_suppkey div 10 as string), '1.25') bbox",
+    )
+    streets = suppliers.where("s_suppkey % 3 = 0").selectExpr(
+        "'Street ' || cast(s_suppkey as string) name",
+        "concat_ws(',', cast(110 + s_suppkey as string), '1', cast(110 + s_suppkey as string) || '.0001', '1.5') bbox",
+    )
+    rest = suppliers.where("s_suppkey % 50 = 0 or s_suppkey = 1").selectExpr(
+        "case when s_suppkey = 1 then 'Country' else 'Unread ' || cast(s_suppkey as string) end name",
+        "case when s_suppkey = 1 then '100,0,900,7' when s_suppkey % 100 = 0 then 'everywhere' else '111,2,110,1' end bbox",
+    )
+    return usual.unionByName(regions).unionByName(streets).unionByName(rest)
+
+
+def block_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks as boxes on the map: a grid of half degrees going east, every fifth missing, all inside one large one."""
+    return table(spark, sf_dir, "supplier").selectExpr(
+        "case when s_suppkey = 1 then 'rest' else 'B' || cast(s_suppkey as string) end name",
+        """case when s_suppkey = 1 then '109,0,115,1.03125' when s_suppkey % 5 = 0 then ''
+             else concat_ws(',', cast(110 + (s_suppkey - 2) / 64.0D as string), '1', cast(110 + (s_suppkey - 1) / 64.0D as string), '1.5') end bbox""",
+    )
 
 
 def vehicle_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -253,15 +284,25 @@ def day_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def point_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Road length each observed point stands for."""
+    """Road length each observed point stands for; every eleventh point has none."""
     return (
         table(spark, sf_dir, "events")
         .selectExpr("user_id % 42 + 1 n")
+        .where("n % 11 <> 0")
         .distinct()
         .selectExpr("'P' || lpad(cast(n as string), 2, '0') point_id", "1.0D + (n % 8) / 4.0D weight")
     )
 
 
+def dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A data dictionary, as a user keeps one: an entry per numeric measure, with the largest value seen so far."""
+    return table(spark, sf_dir, "events").agg(F.max("value").alias("top")).selectExpr(
+        """stack(3,
+             'current_speed', 'km/h', 'speed of the probe', cast(null as string),
+             'ci_percent', '%', 'extra travel time over free flow', 'largest input value ' || cast(top as string),
+             'not_a_column', '', 'belongs to no table', cast(null as string)) as (variable, unit, definition, note)""")
+
+
 def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a file stream, closed by one row far in the future.
 
@@ -280,7 +321,30 @@ def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def landed_point_payloads(spark: SparkSession, sf_dir: str) -> str:
-    """Folder with the point documents as a collector would drop them: JSON lines."""
+    """Folder with the point documents as a collector would drop them: JSON lines in at least three files."""
     folder = f"{work_folder(spark, 'landing')}/point"
-    point_payload(spark, sf_dir).write.option("timestampNTZFormat", ENVELOPE_TIME).json(folder)
+    point_payload(spark, sf_dir).repartition(3).write.option("timestampNTZFormat", ENVELOPE_TIME).json(folder)
+    return folder
+
+
+def landed_segment_payloads(spark: SparkSession, sf_dir: str) -> str:
+    folder = f"{work_folder(spark, 'landing')}/segment"
+    segment_payload(spark, sf_dir).repartition(3).write.option("timestampNTZFormat", ENVELOPE_TIME).json(folder)
     return folder
+
+
+def events_in_runs(spark: SparkSession, sf_dir: str, order: tuple[int, ...], start: Callable[[DataFrame], StreamingQuery], closing: bool = False) -> None:
+    """Lands the events in three parts, ten days each, in the given order, and runs the stream after each part.
+
+    Every run starts a new query on the same checkpoint and sees one part.
+    ``closing`` lands a last row far in the future, which moves the watermark past all others.
+    """
+    events = table(spark, sf_dir, "events")
+    folder = work_folder(spark, "landed-events")
+    days = F.least(F.lit(2), F.floor((F.dayofmonth("ts") - 1) / 10))
+    parts = [events.where(days == n) for n in order]
+    if closing:
+        parts.append(spark.range(1).selectExpr("-1L event_id", "timestamp_ntz'2100-01-01 00:00:00' ts", "0L user_id", "'closing' event_type", "0.0D value", "'{}' props"))
+    for part in parts:
+        part.write.mode("append").parquet(folder)
+        start(spark.readStream.schema(events.schema).parquet(folder)).awaitTermination()

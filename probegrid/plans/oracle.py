@@ -199,6 +199,7 @@ usage as (
     count(*) as request_count, count(*) filter (where event_type = 'error') as error_count
   from events group by 1, 2)"""
 
+MOVED = "cast(1 + o_custkey // 1000 * 0.001 + case when o_orderkey % 71 = 0 then 0.0005 else 0 end as decimal(10,7)) as latitude, cast(110 + o_custkey % 1000 * 0.001 as decimal(10,7)) as longitude"
 POSITION = "cast(1 + {0} // 1000 * 0.001 as decimal(10,7)) as latitude, cast(110 + {0} % 1000 * 0.001 as decimal(10,7)) as longitude"
 
 ASSIGNED = f"""
@@ -208,6 +209,17 @@ assigned as (
     o_orderkey % 50 < 50 - o_orderkey // 50 % 7 as captured
   from orders)"""
 
+TRACED = ASSIGNED + f""",
+site as (select 'Site ' || c_custkey::varchar as point_id, {POSITION.format("c_custkey")} from customer),
+link as (select uuid, pd_uuid, {MOVED} from assigned),
+flow as (
+  select 'F' || o_orderkey::varchar as uuid, case when o_orderkey % 83 = 0 then 'lost' else 'O' || o_orderkey::varchar end as point_uuid,
+    o_orderdate as capture_time, (40 + o_orderkey % 60)::int as current_speed
+  from assigned where captured),
+traced as (
+  select f.*, pd_uuid, point_id, case when l.uuid is null then 'no_assignment' when point_id is null then 'no_point' else 'linked' end as link
+  from flow f left join link l on l.uuid = f.point_uuid left join site using (latitude, longitude))"""
+
 SUMMARY_COLUMNS = (
     "unit, matched_n, "
     + ", ".join(_r(f"{s}_{m}", f"{n}_{m}") for s, n in (("x", "tomtom_ci"), ("y", "here_jf")) for m in ("mean", "median", "sd", "min", "max"))
@@ -248,6 +260,25 @@ with beats as (
 select job_name, prev as last_beat, prev + interval '15 minutes' as alert_at, ts as recovered_at,
   round((epoch_us(ts) - epoch_us(prev)) / 1000000.0::double + 1.2345e-8, 6) + 0.0 as silent_seconds
 from beats where ts > prev + interval '15 minutes'"""
+SPREADING = CLEANED + """,
+slots as (select "date", time_bucket(interval '30 minutes', interval_15min) as slot, avg(ci_percent) as ci from cleaned group by 1, 2),
+high as (select *, hour(slot) * 2 + minute(slot) // 30 as number from slots where ci >= (select quantile_cont(ci, 0.85) from slots)),
+runs as (select *, number - row_number() over (partition by "date" order by number) as run from high),
+stretches as (select "date", run, min(slot) as start, count(*) as n from runs group by 1, 2),
+longest as (select *, row_number() over (partition by "date" order by n desc, start) as nth, sum(n) over (partition by "date") as total, count(*) over (partition by "date") as parts from stretches),
+spreading as (
+  select "date", coalesce(total, 0)::bigint as peak_slots, coalesce(parts, 0)::bigint as stretches, coalesce(n, 0)::bigint as longest_slots,
+    start as longest_start, start + to_minutes(30 * n) as longest_end
+  from (select distinct "date" from slots) left join (select * from longest where nth = 1) using ("date"))
+"""
+AUDIT = """
+with arrived as (
+  select *, [0, 2, 1][1 + least(2, (day(ts) - 1) // 10)]::bigint as micro_batch, case when event_id % 89 = 0 then null else ts end as t from events),
+limits as (
+  select b.micro_batch, (select max(t) from arrived a where a.micro_batch < b.micro_batch) - interval '30 minutes' as limit_time
+  from (select distinct micro_batch from arrived) b),
+audited as (
+  select *, case when t is null then 'undated' when t < limit_time then 'late' else 'kept' end as fate from arrived join limits using (micro_batch))"""
 AVAILABILITY = "with " + CLEANED + """
 select "date", count(*) as observed_records, 4032::bigint as expected_records,
   round(count(*) / 4032::double + 1.2345e-8, 6) + 0.0 as availability_rate, 4032 - count(*) as missing_records,
@@ -348,6 +379,36 @@ select "date", count(*) as raw_records, count(*) filter (where not valid_time) a
   round(count(*) filter (where valid_time and valid_core_fields and valid_speed and valid_jam_factor) / count(*)::double + 1.2345e-8, 6) + 0.0 as cleaning_pass_rate
 from segment_flagged group by 1""",
     "daily_availability": AVAILABILITY,
+    "run_all": "with " + MATCHED + """
+select table_name, n::bigint as row_count, n::bigint as rows_there from (values
+  ('tomtom_cleaned_point_time', (select count(*) from cleaned)),
+  ('tomtom_daily_availability', (select count(distinct "date") from cleaned)),
+  ('tomtom_cleaning_log_by_date', (select count(*) from (select distinct "date" from point_flagged))),
+  ('tomtom_duplicate_log', (select count(*) from point_valid where nth > 1)),
+  ('here_cleaned_block_time', (select count(*) from segment_30)),
+  ('here_cleaning_log_by_date', (select count(*) from (select distinct "date" from segment_flagged))),
+  ('tomtom_block_30min', (select count(*) from block_30)),
+  ('matched_tomtom_here_30min', (select count(*) from matched)),
+  ('benchmark_summary', (select 1 + count(distinct block_id) from matched)),
+  ('sensitivity_threshold', (select 4)),
+  ('sensitivity_lag', (select 3)),
+  ('sensitivity_per_block', (select count(distinct block_id) from matched)),
+  ('sensitivity_daily', (select count(distinct "date") from matched)),
+  ('fig5_intraday_profile_data', (select count(distinct strftime(interval_15min, '%H:%M')) from cleaned)),
+  ('fig5_weekday_weekend_profile_data', (select count(distinct strftime(interval_15min, '%H:%M') || (isodow(interval_15min) <= 5)::varchar) from cleaned))) t(table_name, n)""",
+    "run_updated": "with " + MATCHED + """
+select 'tomtom_cleaning_log_by_date' as table_name, "date", count(*) as records, (select count(*) from cleaned c where c."date" is not distinct from p."date")::bigint as valid_records from point_flagged p group by "date"
+union all select 'here_cleaning_log_by_date', "date", count(*), count(*) filter (where valid_time and valid_core_fields and valid_speed and valid_jam_factor) from segment_flagged group by "date"
+union all select 'tomtom_duplicate_log', "date", count(*), null from point_valid where nth > 1 group by "date"
+union all select 'matched_tomtom_here_30min', "date", count(*), null from matched group by "date" """,
+    "describe_outputs": """
+select * from (values
+  ('point_id', 'string', null), ('timestamp', 'timestamp_ntz', null), ('current_speed', 'double', 'definition: speed of the probe; unit: km/h'),
+  ('free_flow_speed', 'double', null), ('current_travel_time', 'double', null), ('free_flow_travel_time', 'double', null), ('confidence', 'double', null),
+  ('ingest_seq', 'bigint', null), ('interval_15min', 'timestamp_ntz', null), ('date', 'date', null), ('is_duplicate_removed', 'boolean', null),
+  ('srr', 'double', null), ('tti', 'double', null), ('ett_seconds', 'double', null),
+  ('ci_percent', 'double', 'definition: extra travel time over free flow; note: largest input value ' || (select max(value) from events)::varchar || '; unit: %'),
+  ('ci_percent_from_tti', 'double', null), ('ci_formula_abs_error', 'double', null), ('ci_negative_flag', 'boolean', null)) t(variable, type, description)""",
     "run_report": "with " + MATCHED + """
 select 'point_raw' as table_name, count(*) as row_count from point_raw
 union all select 'point_cleaned', count(*) from cleaned
@@ -365,8 +426,9 @@ select block_id, interval_30min, {_rs("tomtom_mean_current_speed", "tomtom_mean_
   tomtom_point_count, tomtom_record_count_15min, "date" from block_30""",
     "block_30min_weighted": "with " + BLOCK + """
 select block_id, interval_30min, round(sum(tomtom_ci_percent * w) / nullif(sum(w), 0) + 1.2345e-8, 6) + 0.0 as weighted_ci_percent,
-  round(sum(tomtom_current_speed * w) / nullif(sum(w), 0) + 1.2345e-8, 6) + 0.0 as weighted_current_speed, round(sum(w) + 1.2345e-8, 6) + 0.0 as total_weight
-from (select *, 1.0::double + (substr(point_id, 2)::int % 8) / 4.0::double as w from point_30) group by 1, 2""",
+  round(sum(tomtom_current_speed * w) / nullif(sum(w), 0) + 1.2345e-8, 6) + 0.0 as weighted_current_speed, round(sum(w) + 1.2345e-8, 6) + 0.0 as total_weight, count(*) filter (where w is null) as unweighted_points
+from (select *, case when substr(point_id, 2)::int % 11 <> 0 then 1.0::double + (substr(point_id, 2)::int % 8) / 4.0::double end as w from point_30) group by 1, 2""",
+    "unweighted_points": "with " + CLEANED + " select point_id, count(*) as records from cleaned where substr(point_id, 2)::int % 11 = 0 group by 1",
     "segment_block_time": "with " + SEGMENT_BLOCK + f"""
 select block_id, interval_30min, {_rs("here_mean_speed", "here_median_speed", "here_mean_jam_factor", "here_median_jam_factor")},
   here_segment_count, here_record_count, {_rs("here_mean_confidence")}, "date" from segment_30""",
@@ -455,19 +517,34 @@ from seg_flow join places using (place_id) where speed_kmh > 0 and jam_factor >=
 select f.uuid, count(*)::int as path_points, string_agg(sequence_order::varchar, ',' order by sequence_order) as path_order,
   round(arg_min(longitude, sequence_order) + 1.2345e-8, 6) + 0.0 as first_longitude, round(arg_max(latitude, sequence_order) + 1.2345e-8, 6) + 0.0 as last_latitude
 from seg_flow f join seg_shape s on f.bbox_uuid = s.flow_uuid group by f.uuid""",
-    "flow_to_point": "with " + ASSIGNED + f""",
-site as (select 'Site ' || c_custkey::varchar as point_id, {POSITION.format("c_custkey")} from customer),
-link as (select *, {POSITION.format("o_custkey")} from assigned)
-select 'F' || o_orderkey::varchar as uuid, link.uuid as point_uuid, pd_uuid, point_id, o_orderdate as capture_time, (40 + o_orderkey % 60)::int as current_speed
-from link join site using (latitude, longitude) where captured""",
+    "flow_to_point": "with " + TRACED + """
+select uuid, point_uuid, pd_uuid, point_id, capture_time, current_speed from traced where link = 'linked'""",
+    "unlinked_flows": "with " + TRACED + """
+select uuid, point_uuid, link from traced where link <> 'linked'""",
+    "lineage_report": "with " + TRACED + """
+select link, count(*) as flows, count(distinct cast(capture_time as date)) as days, min(capture_time) as first_capture, max(capture_time) as last_capture from traced group by 1""",
     "points_in_bbox": """
 with boxes as (
   select 'Box ' || s_suppkey::varchar as name,
     cast(cast(110 + s_suppkey * 0.1 as decimal(9,2)) as double) as x0, cast(cast(1 + s_suppkey % 7 * 0.05 as decimal(5,2)) as double) as y0,
     cast(cast(110.15 + s_suppkey * 0.1 as decimal(9,2)) as double) as x1, cast(cast(1.08 + s_suppkey % 7 * 0.05 as decimal(5,2)) as double) as y1
-  from supplier),
+  from supplier
+  union all select 'Region ' || s_suppkey::varchar, 110 + s_suppkey // 10, 1, 112 + s_suppkey // 10, 1.25 from supplier where s_suppkey % 10 = 0
+  union all select 'Street ' || s_suppkey::varchar, 110 + s_suppkey, 1, ((110 + s_suppkey)::varchar || '.0001')::double, 1.5 from supplier where s_suppkey % 3 = 0
+  union all select 'Country', 100, 0, 900, 7 from supplier where s_suppkey = 1),
 pos as (select event_id, 1.0::double + (event_id % 512) / 1024.0::double as lat, 110.0::double + event_id / 1000.0::double as lon from events)
 select event_id, name from pos join boxes on lon between x0 and x1 and lat between y0 and y1""",
+    "unusable_boxes": """
+select 'Unread ' || s_suppkey::varchar as name, case when s_suppkey % 100 = 0 then 'everywhere' else '111,2,110,1' end as bbox from supplier where s_suppkey % 50 = 0""",
+    "segment_to_block_by_position": "with " + SEGMENT_DOCS + """,
+boxes as (
+  select case when s_suppkey = 1 then 'rest' else 'B' || s_suppkey::varchar end as name,
+    case when s_suppkey = 1 then 109 else 110 + (s_suppkey - 2) / 64.0::double end as x0, case when s_suppkey = 1 then 0 else 1 end as y0,
+    case when s_suppkey = 1 then 115 else 110 + (s_suppkey - 1) / 64.0::double end as x1, case when s_suppkey = 1 then 1.03125::double else 1.5 end as y1
+  from supplier where s_suppkey = 1 or s_suppkey % 5 <> 0),
+starts as (select flow_uuid as bbox_uuid, arg_min(latitude, sequence_order) as lat, arg_min(longitude, sequence_order) as lon from seg_shape group by 1)
+select s.bbox_uuid, arg_min(name, ((x1 - x0) * (y1 - y0), name)) as block_id
+from starts s left join boxes on lon between x0 and x1 and lat between y0 and y1 group by 1""",
     "round_robin_assign": _deal(
         "platform = 'TOMTOM'", "", "md5('run-1#' || uuid) as uuid, 'run-1' as pd_uuid, key_number, uuid as point_uuid, latitude, longitude",
         "md5(uuid || '#7')",
@@ -478,9 +555,9 @@ select event_id, name from pos join boxes on lon between x0 and x1 and lat betwe
 select pd_uuid, sum(n)::bigint as assigned_points, count(*) as used_keys, min(n) as min_per_key, max(n) as max_per_key, (50 - sum(n))::bigint as lost_points
 from (select pd_uuid, key_number, count(*) as n from assigned group by 1, 2) group by 1""",
     "run_completeness": "with " + ASSIGNED + """
-select pd_uuid, count(*) as planned_points, count(*) filter (where captured) as captured_points,
-  count(*) filter (where not captured) as missing_points, round(count(*) filter (where captured) / count(*)::double + 1.2345e-8, 6) + 0.0 as captured_share
-from assigned group by 1""",
+select pd_uuid, count(*) as planned_points, count(*) filter (where met) as captured_points,
+  count(*) filter (where not met) as missing_points, round(count(*) filter (where met) / count(*)::double + 1.2345e-8, 6) + 0.0 as captured_share
+from (select *, captured and o_orderkey % 83 <> 0 as met from assigned) group by 1""",
     "key_usage_daily": "with " + USAGE + " select * from usage",
     "key_usage_dense": "with " + USAGE + """,
 days as (select unnest(generate_series((select min(usage_date) from usage), (select max(usage_date) from usage), interval 1 day))::date as usage_date)
@@ -554,6 +631,39 @@ from seg_flow f join (select distinct flow_uuid, functional_class from seg_shape
     "time_space_long": "with " + CLEANED + "," + CONFIG + """
 select time_bucket(interval '30 minutes', interval_15min) as interval_30min, point_id, round(avg(current_speed) + 1.2345e-8, 6) + 0.0 as mean_current_speed,
   round(avg(ci_percent) + 1.2345e-8, 6) + 0.0 as mean_ci_percent, corridor_order from cleaned join config using (point_id) group by all""",
+    "impact_tests": "with " + CLEANED + """,
+labelled as (select ci_percent as v, day("date") % 4 = 0 as a from cleaned where ci_percent is not null),
+m as (
+  select count(*) filter (where a)::double as na, count(*) filter (where not a)::double as nb, avg(v) filter (where a) as ma, avg(v) filter (where not a) as mb,
+    var_samp(v) filter (where a) / count(*) filter (where a) as ea, var_samp(v) filter (where not a) / count(*) filter (where not a) as eb from labelled),
+w as (select *, (ma - mb) / sqrt(ea + eb) as t, (ea + eb) * (ea + eb) / (ea * ea / (na - 1) + eb * eb / (nb - 1)) as df from m),
+ranks as (select a, rank() over (order by v) + (count(*) over (partition by v) - 1) / 2.0::double as r, count(*) over (partition by v)::double as e from labelled),
+s as (select sum(r) filter (where a) as ra, sum(e * e - 1) as ties from ranks),
+u as (select w.*, ra - na * (na + 1) / 2 as u, ties from w, s),
+z as (select *, (u - na * nb / 2) / sqrt(na * nb / 12 * (na + nb + 1 - ties / ((na + nb) * (na + nb - 1)))) as z from u),
+grid as (select i / 4000.0::double as x, case when i in (0, 4000) then 1 when i % 2 = 1 then 4 else 2 end as k from range(0, 4001) t(i))
+select na::bigint as affected_n, nb::bigint as normal_n, round(t + 1.2345e-8, 6) + 0.0 as welch_t, round(df + 1.2345e-8, 6) + 0.0 as welch_df,
+  round(1 - 2 * sum(k * exp(lgamma((df + 1) / 2) - lgamma(df / 2) - ln(df * pi()) / 2 - (df + 1) / 2 * ln(1 + x * x * t * t / df))) * abs(t) / 12000 + 1.2345e-8, 6) + 0.0 as welch_p,
+  round(u + 1.2345e-8, 6) + 0.0 as rank_sum_u, round(z + 1.2345e-8, 6) + 0.0 as rank_sum_z,
+  round(1 - 2 * sum(k * exp(-x * x * z * z / 2)) / sqrt(2 * pi()) * abs(z) / 12000 + 1.2345e-8, 6) + 0.0 as rank_sum_p
+from z, grid group by na, nb, t, df, u, z""",
+    "bottlenecks": "with " + CLEANED + "," + CONFIG + """,
+cells as (select block_id, point_id, corridor_order as place, time_bucket(interval '30 minutes', interval_15min) as slot, avg(ci_percent) as ci from cleaned join config using (point_id) group by all),
+high as (select * from cells where ci >= (select quantile_cont(ci, 0.85) from cells)),
+runs as (select *, place - row_number() over (partition by block_id, slot order by place) as run from high),
+stretches as (select block_id, slot, arg_max(point_id, place) as head, count(*) as extent, sum(ci) as ci_sum from runs group by block_id, slot, run),
+stands as (select *, epoch(slot)::bigint // 1800 - row_number() over (partition by block_id, head order by slot) as stand from stretches)
+select block_id, head as head_point_id, min(slot) as first_slot, max(slot) as last_slot, count(*) * 30 as minutes, max(extent) as max_extent,
+  round(avg(extent) + 1.2345e-8, 6) + 0.0 as mean_extent, round(sum(ci_sum) / sum(extent) + 1.2345e-8, 6) + 0.0 as mean_ci_percent
+from stands group by block_id, head, stand""",
+    "peak_spreading": "with " + SPREADING + "select * from spreading",
+    "weekly_spreading": "with " + SPREADING + """,
+weeks as (
+  select cast(date_trunc('week', "date") as date) as week, count(*) as days, sum(peak_slots)::bigint as peak_slots, max(longest_slots) as longest_slots,
+    avg(longest_slots) as mean_longest_slots, avg(hour(longest_start) * 60 + minute(longest_start)) as mean_start_minute from spreading group by 1)
+select week, days, peak_slots, longest_slots, round(mean_longest_slots + 1.2345e-8, 6) + 0.0 as mean_longest_slots, round(mean_start_minute + 1.2345e-8, 6) + 0.0 as mean_start_minute,
+  round(mean_longest_slots - lag(mean_longest_slots) over (order by week) + 1.2345e-8, 6) + 0.0 as spreading_slots,
+  round(mean_start_minute - lag(mean_start_minute) over (order by week) + 1.2345e-8, 6) + 0.0 as shift_minutes from weeks""",
     "peak_hour_shift": "with " + CLEANED + """,
 hourly as (select "date", hour(interval_15min)::int as hour, avg(ci_percent) as c from cleaned group by 1, 2),
 tops as (select "date", max(c) as top from hourly group by 1),
@@ -565,4 +675,24 @@ from hourly join limits using ("date") group by 1""",
     "stream_block_time": STREAM_SEGMENT,
     "stream_availability": AVAILABILITY,
     "stream_heartbeat": OUTAGES,
+    "stream_running_availability": AVAILABILITY,
+    "stream_window_audit": AUDIT + """
+select micro_batch, count(*) as arrived, count(*) filter (where fate = 'kept') as kept, count(*) filter (where fate = 'late') as late,
+  count(*) filter (where fate = 'undated') as undated, max(t) as newest, any_value(limit_time) as limit_time from audited group by 1""",
+    "stream_aside": AUDIT + """
+select micro_batch, fate, count(*) as records, min(event_id) as first_seq, sum(event_id)::bigint as seq_sum from audited where fate <> 'kept' group by 1, 2""",
+    "stream_windows_in_order": STREAM_SEGMENT,
+    "stream_outages": OUTAGES,
+    "stream_open_outages": """
+select event_type as job_name, max(ts) as last_beat, max(ts) + interval '15 minutes' as alert_at from events where event_type <> 'error' group by 1""",
+}
+
+# Streams into tables give what the batch forms give.
+ORACLE |= {
+    "stream_point_flows": ORACLE["stream_ingest"],
+    "stream_point_shapes": ORACLE["ingest_point_coords"],
+    "stream_segment_flows": ORACLE["ingest_segment_json"],
+    "stream_segment_shapes": ORACLE["ingest_segment_shape"],
+    "stream_point_rejects": f"select * from ({ORACLE['ingest_rejects']}) where feed = 'point'",
+    "stream_segment_rejects": f"select * from ({ORACLE['ingest_rejects']}) where feed = 'segment'",
 }

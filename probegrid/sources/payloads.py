@@ -8,11 +8,14 @@ gives the same ids, which random ids would not.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from probegrid.operators.spatial import segment_to_block
+
 POINT_DOCUMENT = """
 flowSegmentData STRUCT<currentSpeed STRING, freeFlowSpeed STRING, currentTravelTime STRING,
   freeFlowTravelTime STRING, confidence STRING, roadClosure STRING,
@@ -56,17 +59,20 @@ def _parsed(df: DataFrame, payload: str, schema: str) -> DataFrame:
     return df.select("*", F.explode(F.array(F.from_json(F.col(payload), schema, options))).alias("doc"))
 
 
-def _split(df: DataFrame, reason: Column) -> tuple[DataFrame, DataFrame]:
+def _split(df: DataFrame, reason: Column, settle: Callable[[DataFrame], DataFrame] | None) -> tuple[DataFrame, DataFrame]:
     marked = df.withColumn("reject_reason", reason)
+    if settle is not None:
+        marked = settle(marked)
     return marked.where("reject_reason is null"), marked.where("reject_reason is not null")
 
 
-def parse_point_payloads(df: DataFrame, payload: str = "js") -> Ingested:
+def parse_point_payloads(df: DataFrame, payload: str = "js", settle: Callable[[DataFrame], DataFrame] | None = None) -> Ingested:
     """``df`` holds point_uuid, capture_time and the document text.
 
     A document without a coordinates object, or with a number that cannot be
     stored, is rejected whole; an empty coordinate list keeps its flow row and
-    gives no shape rows.
+    gives no shape rows. ``settle`` may hold on to the parsed documents, for
+    writers of all three tables.
     """
     seg = F.col("doc.flowSegmentData")
     reason = (
@@ -81,7 +87,7 @@ def parse_point_payloads(df: DataFrame, payload: str = "js") -> Ingested:
             "bad_number",
         )
     )
-    good, bad = _split(_parsed(df, payload, POINT_DOCUMENT), reason)
+    good, bad = _split(_parsed(df, payload, POINT_DOCUMENT), reason, settle)
     good = good.withColumn("uuid", F.md5(F.concat_ws("#", F.col("point_uuid"), F.col("capture_time").cast("string"))))
     zero = F.lit(0)
     flows = good.select(
@@ -118,7 +124,7 @@ def _bad_result(r: Column) -> Column:
     )
 
 
-def parse_segment_payloads(df: DataFrame, payload: str = "js") -> Ingested:
+def parse_segment_payloads(df: DataFrame, payload: str = "js", settle: Callable[[DataFrame], DataFrame] | None = None) -> Ingested:
     """``df`` holds batch_id, place_id, capture_time and the document text.
 
     One unusable result rejects its whole document, as its rows are stored
@@ -139,7 +145,7 @@ def parse_segment_payloads(df: DataFrame, payload: str = "js") -> Ingested:
         .when(unusable, "incomplete_result")
         .when(F.exists(results, _bad_result), "bad_number")
     )
-    good, bad = _split(_parsed(df, payload, SEGMENT_DOCUMENT), reason)
+    good, bad = _split(_parsed(df, payload, SEGMENT_DOCUMENT), reason, settle)
     rows = good.select("batch_id", "place_id", "capture_time", F.posexplode(results).alias("pos", "r")).withColumn(
         "doc_key", F.concat_ws("#", "batch_id", "place_id", F.col("pos").cast("string"))
     )
@@ -193,10 +199,10 @@ def point_feed(flows: DataFrame) -> DataFrame:
 def segment_feed(flows: DataFrame, blocks: DataFrame, speed_factor: float = 1.0) -> DataFrame:
     """Stored segment flows as input of the segment cleaning.
 
-    ``speed_factor`` converts the stored speed to km/h where the source
+    A place listed twice in ``blocks`` fails the job. ``speed_factor`` converts the stored speed to km/h where the source
     delivered another unit.
     """
-    return flows.join(blocks.select("place_id", "block_id"), "place_id", "left").select(
+    return segment_to_block(flows, blocks).select(
         "block_id",
         F.col("capture_time").alias("timestamp"),
         (F.col("speed_kmh") * F.lit(speed_factor)).alias("speed"),

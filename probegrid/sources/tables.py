@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,17 +30,27 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     raise ValueError(f"cannot read {suffix or 'a file without suffix'}: use .csv or .parquet")
 
 
-def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None, mode: str = "overwrite") -> None:
-    """Write Parquet, one folder per partition value where asked.
+def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None, mode: str = "overwrite", measures: dict[str, Column] | None = None) -> dict:
+    """Write Parquet, one folder per partition value where asked; gives back ``rows`` and the ``measures`` of what was written.
 
     Rows of one value are sent to a bounded number of writers, so a day gives
-    a few files and not one per task, while a heavy day is still split.
+    a few files and not one per task, while a heavy day is still split. Measures
+    are aggregates taken by the writing tasks themselves, each of which counts once
+    however often it runs; the table is not read for them.
     """
+    seen = Observation()
     writer_input = df.hint("rebalance", *partition_by) if partition_by else df
-    writer = writer_input.write.mode(mode)
+    counted = writer_input.observe(seen, F.count(F.lit(1)).alias("rows"), *[m.alias(n) for n, m in (measures or {}).items()])
+    writer = counted.write.mode(mode)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
+    return seen.get
+
+
+def replace_partitions(df: DataFrame, path: str, partition_by: list[str]) -> None:
+    """Write the partitions that ``df`` has rows of, in place of those of the same values; others stay untouched."""
+    df.hint("rebalance", *partition_by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -27,14 +27,24 @@ def _landed(spark: SparkSession, folder: str, envelope: str, options: dict) -> D
     return reader.schema(envelope).json(folder)
 
 
+def point_documents(spark: SparkSession, folder: str, **options) -> DataFrame:
+    """Landed point documents, unparsed."""
+    return _landed(spark, folder, POINT_ENVELOPE, options)
+
+
+def segment_documents(spark: SparkSession, folder: str, **options) -> DataFrame:
+    """Landed segment documents, unparsed."""
+    return _landed(spark, folder, SEGMENT_ENVELOPE, options)
+
+
 def point_ingest(spark: SparkSession, folder: str, **options) -> Ingested:
     """Flows, shapes and rejects from landed point documents."""
-    return parse_point_payloads(_landed(spark, folder, POINT_ENVELOPE, options))
+    return parse_point_payloads(point_documents(spark, folder, **options))
 
 
 def segment_ingest(spark: SparkSession, folder: str, **options) -> Ingested:
     """Flows, shapes and rejects from landed segment documents."""
-    return parse_segment_payloads(_landed(spark, folder, SEGMENT_ENVELOPE, options))
+    return parse_segment_payloads(segment_documents(spark, folder, **options))
 
 
 def _timed(df: DataFrame, ts: str, delay: str) -> DataFrame:

@@ -2,9 +2,12 @@
 
 import pathlib
 import re
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
+from probegrid.operators import checks, quality
 from probegrid.plans import catalog, fixtures, reproduction
 from probegrid.sources.tables import default_point_config
 
@@ -49,6 +52,59 @@ def test_lazy_workflow_gives_the_same(spark, sf_dir, written):
         assert sorted(map(str, lazy[name].collect())) == sorted(map(str, written[0][name].collect()))
 
 
+def test_measures_of_a_run(spark, sf_dir, tmp_path):
+    """What writers counted is what stands in the tables, and checks taken from it are those taken from the tables."""
+    raw = fixtures.point_raw(spark, sf_dir), fixtures.segment_raw(spark, sf_dir), default_point_config(spark)
+    run = reproduction.run_measured(spark, *raw, str(tmp_path / "out"))
+    assert {n: m["rows"] for n, m in run.measured.items()} == {n: t.count() for n, t in run.tables.items()}
+    t = run.tables
+    from_tables = checks.release_checks(t["tomtom_cleaned_point_time"], t["tomtom_daily_availability"], t["matched_tomtom_here_30min"])
+    assert sorted(map(tuple, reproduction.run_checks(spark, run).collect())) == sorted(map(tuple, from_tables.collect()))
+    report = {r.table_name: r.row_count for r in reproduction.run_report(spark, run).collect()}
+    assert report["point_raw"] == report["segment_raw"] == raw[0].count()
+
+
+def test_each_feed_is_read_three_times_at_most(spark, sf_dir):
+    raw = fixtures.point_raw(spark, sf_dir)
+    points = quality.clean_points(raw)
+    plans = [points.cleaned, points.cleaning_log, quality.duplicates_of(points.valid, points.valid.limit(0))]
+    assert sum(p._jdf.queryExecution().optimizedPlan().toString().count("Relation [") for p in plans) <= 4
+    segments = quality.clean_segments(fixtures.segment_raw(spark, sf_dir))
+    assert segments.cleaning_log._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+
+
+def test_a_second_day_brings_the_tables_of_a_full_run(spark, sf_dir, tmp_path):
+    events = fixtures.table(spark, sf_dir, "events")
+    config = default_point_config(spark)
+    # the later records include undated ones and some of a day that is there already
+    first, late = events.where("dayofmonth(ts) < 20 or (dayofmonth(ts) = 20 and hour(ts) < 9)"), events.where("dayofmonth(ts) = 21 or (dayofmonth(ts) = 20 and hour(ts) >= 9)")
+    both = first.unionByName(late)
+    out, full = str(tmp_path / "out"), str(tmp_path / "full")
+    reproduction.run_all(spark, fixtures.point_raw_of(first), fixtures.segment_raw_of(first), config, out)
+    old = {p: p.stat().st_mtime_ns for p in pathlib.Path(out).glob("tomtom_cleaned_point_time/date=2024-01-0*/*.parquet")}
+    dates = reproduction.touched_dates(quality.clean_points(fixtures.point_raw_of(late)).flagged, quality.clean_segments(fixtures.segment_raw_of(late)).flagged)
+    got = reproduction.update_run(spark, fixtures.point_raw_of(both), fixtures.segment_raw_of(both), config, out, dates)
+    want = reproduction.run_all(spark, fixtures.point_raw_of(both), fixtures.segment_raw_of(both), config, full)
+    assert set(got) == set(want) == TABLES
+
+    def shown(df):
+        rounded = [F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes]
+        return sorted(map(str, df.select(*rounded).collect()))
+
+    for name in sorted(TABLES):
+        assert shown(got[name].select(*want[name].columns)) == shown(want[name]), name
+    assert old and all(p.stat().st_mtime_ns == t for p, t in old.items())
+
+
+def test_duplicate_log_is_planned_fast(spark, sf_dir):
+    """Optimised in under two seconds, whatever else the session has to do; no join."""
+    log = quality.clean_points(fixtures.point_raw(spark, sf_dir)).duplicate_log
+    start = time.perf_counter()
+    plan = log._jdf.queryExecution().optimizedPlan().toString()
+    assert time.perf_counter() - start < 2
+    assert "Join" not in plan
+
+
 def test_workflow_from_files(spark, sf_dir, tmp_path):
     fixtures.point_raw(spark, sf_dir).write.option("header", True).csv(str(tmp_path / "p.csv"))
     fixtures.segment_raw(spark, sf_dir).write.parquet(str(tmp_path / "s.parquet"))
