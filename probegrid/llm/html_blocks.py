@@ -19,6 +19,7 @@ import html
 import random
 import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import cache
 
@@ -33,7 +34,8 @@ THRESHOLD = 0.5
 #: Blocks of a page that the network reads at a time; the next ones go on from its state.
 SPAN = 4096
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(?=[!?])[^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+#: A quote without its second one is an ordinary character. Nothing is matched in two ways, so the time is linear.
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(?=[!?])[^>]*+(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*+)((?:[^>\"']++|\"(?:[^\"]*+\")?+|'(?:[^']*+')?+)*+)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 # fixed values: tags of HTML by how they are laid out
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -53,10 +55,28 @@ _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "t
 _HOLDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 
 
+class Path:
+    """An open element with its hashed names, and the one around it: blocks share what they have in common."""
+
+    __slots__ = ("parent", "names")
+
+    def __init__(self, parent: "Path | None", names: tuple[str, ...]):
+        self.parent, self.names = parent, names
+
+    def inner(self, n: int) -> list[str]:
+        """The last ``n`` names."""
+        out: list[str] = []
+        at: Path | None = self
+        while at is not None and len(out) < n:
+            out = [*at.names[max(0, len(at.names) - n + len(out)):], *out]
+            at = at.parent
+        return out
+
+
 class Block:
     __slots__ = ("path", "text", "linked")
 
-    def __init__(self, path: tuple[str, ...], text: str, linked: int):
+    def __init__(self, path: Path | None, text: str, linked: int):
         self.path, self.text, self.linked = path, text, linked
 
 
@@ -105,9 +125,11 @@ def blocks_of(page: str) -> list[Block]:
     element without an end tag ends at the next block tag or with its parent.
     """
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[tuple[str, Path]] = []
+    places: dict[str, list[int]] = {}  # places on the stack by name
+    walls: list[int] = []  # places of block elements
     parts: list[str] = []
-    open_ended: list[int] = []  # places on the stack of silent elements without an end tag
+    open_ended: list[int] = []  # places of silent elements without an end tag
     linked, links, silent, at = 0, 0, 0, 0
 
     def end_block() -> None:
@@ -115,7 +137,7 @@ def blocks_of(page: str) -> list[Block]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append(Block(tuple(x for _, names in stack for x in names), text, linked))
+                out.append(Block(stack[-1][1] if stack else None, text, linked))
             parts.clear()
         linked = 0
 
@@ -124,9 +146,19 @@ def blocks_of(page: str) -> list[Block]:
         for name, _ in stack[k:]:
             links -= name == "a"
             silent -= name in _SILENT
+            places[name].pop()
         del stack[k:]
-        while open_ended and open_ended[-1] >= k:
-            open_ended.pop()
+        for of in (walls, open_ended):
+            while of and of[-1] >= k:
+                of.pop()
+
+    def wall() -> int:
+        """Place of the innermost block element that an inline end tag does not reach beyond."""
+        for k in reversed(walls):
+            n = bisect_left(open_ended, k)
+            if n == len(open_ended) or open_ended[n] != k:
+                return k
+        return -1
 
     tags = _tags(page)
     unended = _unended(tags)
@@ -150,30 +182,30 @@ def blocks_of(page: str) -> list[Block]:
                         break
             if not m[1]:
                 if name == "body":
-                    close(next((k for k, x in enumerate(stack) if x[0] == "head"), len(stack)))
+                    close(next(iter(places.get("head", ())), len(stack)))
                 elif stack and stack[-1][0] == "head" and name not in _IN_HEAD:
                     close(len(stack) - 1)
             if name in _BLOCK or name in _SILENT:
                 end_block()
             if m[1]:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == name:
-                        close(k)
-                        break
-                    if name not in _BLOCK and stack[k][0] in _BLOCK and k not in open_ended:
-                        break  # an inline end tag does not close the block around it
+                # an inline end tag does not close the block around it
+                if places.get(name) and (name in _BLOCK or places[name][-1] > wall()):
+                    close(places[name][-1])
             elif name not in _VOID and not m[0].endswith("/>"):
                 group = _CLOSES.get(name, {"p"} if name in _BLOCK else ())
-                for k in range(len(stack) - 1, -1, -1):
+                for k in reversed(walls) if group else ():
                     if stack[k][0] in group:
                         close(k)
                         break
-                    if stack[k][0] in _BLOCK and (stack[k][0] in _HOLDS.get(name, ()) or stack[k][0] not in ("p", "li", "dd", "dt", "td", "th")):
+                    if stack[k][0] in _HOLDS.get(name, ()) or stack[k][0] not in ("p", "li", "dd", "dt", "td", "th"):
                         break
                 names = [name]
                 for a in _ATTRIBUTE.finditer(m[3] or ""):
                     names += [f"{a[1].lower()}={w}" for w in re.findall(r"[a-z]+", (a[2] or a[3] or a[4] or "").lower())]
-                stack.append((name, tuple(names)))
+                places.setdefault(name, []).append(len(stack))
+                if name in _BLOCK:
+                    walls.append(len(stack))
+                stack.append((name, Path(stack[-1][1] if stack else None, tuple(names))))
                 links += name == "a"
                 silent += name in _SILENT
                 if m.start() in unended:
@@ -194,12 +226,34 @@ def _bucket(name: str, size: int) -> tuple[int, float]:
 def features(page: list[Block], memo: dict[str, tuple[int, float]]) -> np.ndarray:
     """A row per block: hashed path (the inner part counts more), hashed words, measures."""
     x = np.zeros((len(page), PATH_DIM + WORD_DIM + 10), dtype=np.float32)
+    whole: dict[int, np.ndarray] = {}
+
+    def bucket(name: str) -> tuple[int, float]:
+        key = "/" + name
+        return memo.get(key) or memo.setdefault(key, _bucket(key, PATH_DIM))
+
+    def summed(path: Path) -> np.ndarray:
+        """All names of a path, each ancestor's sum taken once."""
+        chain = []
+        at: Path | None = path
+        while at is not None and id(at) not in whole:
+            chain.append(at)
+            at = at.parent
+        total = whole[id(at)] if at is not None else np.zeros(PATH_DIM, dtype=np.float32)
+        for one in reversed(chain):
+            total = total.copy()
+            for name in one.names:
+                k, sign = bucket(name)
+                total[k] += sign
+            whole[id(one)] = total
+        return total
+
     for i, b in enumerate(page):
-        n = len(b.path)
-        for k, name in enumerate(b.path):
-            key = "/" + name
-            at = memo.get(key) or memo.setdefault(key, _bucket(key, PATH_DIM))
-            x[i, at[0]] += at[1] * (1.0 if k >= n - 6 else 0.7)
+        if b.path is not None:
+            x[i, :PATH_DIM] = summed(b.path) * np.float32(0.7)
+            for name in b.path.inner(6):
+                k, sign = bucket(name)
+                x[i, k] += sign * 0.3
         words = b.text.lower().split()
         for w in words:
             at = memo.get(w) or memo.setdefault(w, _bucket(w, WORD_DIM))

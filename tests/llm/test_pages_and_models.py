@@ -4,6 +4,7 @@ import base64
 import hashlib
 import io
 import random
+import time
 
 import numpy as np
 import pytest
@@ -53,7 +54,7 @@ def test_blocks():
     page = "<title>t</title><script>var a='<p>no</p>'</script><nav><a href=x>Home</a></nav><p>A &amp; <b>B\n  c<p>D<br>E<!-- x --><style>p{}</style></p>tail"
     cut = html_blocks.blocks_of(page)
     assert [b.text for b in cut] == ["Home", "A & B c", "D", "E", "tail"]
-    assert cut[0].path[0] == "nav" and cut[0].linked == 4
+    assert cut[0].path.inner(99)[0] == "nav" and cut[0].linked == 4
     assert html_blocks.blocks_of("") == [] and html_blocks.blocks_of("<p") == []
     assert len(html_blocks.blocks_of("<div>" * 3000 + "x")) == 1
 
@@ -159,3 +160,36 @@ def test_pipeline(spark, sf_dir):
     rejected = {r.doc_id for r in toxicity.classify(docs, docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).where("rejected").collect()}
     texts = [r.text for r in left.collect()]
     assert not kept & rejected and len(texts) == len(set(texts))
+
+
+@pytest.mark.parametrize("page", [
+    "<" + "a" * 300_000 + '"', "<div>" * 40_000 + "</section>" * 40_000, "<b>" * 40_000 + "<div></div>" * 20_000, "<a " * 90_000 + '"',
+    "<svg>" * 40_000 + "<b></b>" * 20_000, "<a><div>" + "<b>" * 40_000 + "</a>" * 40_000, "<b>" * 40_000 + "<body>" * 40_000, "<p>" * 90_000, "<!--" * 70_000,
+], ids=["name", "end tags", "inline", "tags in a tag", "silent", "kept inside", "bodies", "paragraphs", "comments"])
+def test_odd_pages_take_linear_time(page):
+    start = time.perf_counter()
+    html_blocks.blocks_of(page)
+    assert time.perf_counter() - start < 5
+
+
+def test_deep_nesting_shares_paths():
+    page = html_blocks.blocks_of("<div>a" * 20_000)
+    assert len(page) == 20_000 and page[-1].path.inner(3) == ["div"] * 3
+    x = html_blocks.features(page, {})
+    assert x[:, :html_blocks.PATH_DIM].any(axis=1).all()
+
+
+@pytest.mark.parametrize("page, want", [
+    ('<p title="open>one</p><p>two', ["one", "two"]),
+    ("<p title='a>b'>one</p>", ["one"]),
+    ("<a><p>x</a>y</p>", ["xy"]),
+    ("<b><p>x</b>y</p>z", ["xy", "z"]),
+    ("<ul><li>a<li>b<ul><li>c</ul>d</ul>e", ["a", "b", "c", "d", "e"]),
+    ("<dl><dt>a<dd>b<dt>c</dl>", ["a", "b", "c"]),
+    ("<table><tr><td>a<td>b<tr><td>c</table>", ["a", "b", "c"]),
+    ("<p>a<div>b</div>c", ["a", "b", "c"]),
+    ("x < y <3 &lt;p&gt; &amp;amp;", ["x < y <3 <p> &amp;"]),
+    ("<script>if (a < b) '<p>'</script>after", ["after"]),
+])
+def test_blocks_of_odd_markup(page, want):
+    assert [b.text for b in html_blocks.blocks_of(page)] == want
