@@ -9,10 +9,10 @@ k smallest values of both sketches together estimate the Jaccard similarity of
 a candidate pair and filter it; what passes is verified on the full shingle
 sets. Components of the verified links are the groups.
 
-No list is paired. All members are compared with one central member first, and
-components are formed. Members of a list that did not join its component are
-then compared with those outside their own that a prefix filter on the full
-sets leaves, which is exact and finds few.
+No list is paired. Members are compared with central members of their lists first,
+and components are formed. Those that did not join are then compared with members
+outside their own component that a prefix filter on the full sets leaves, a few drawn
+partners each at first and in the end all, which is exact and finds few.
 
 A pair above the threshold is missed only if its sketches share less than
 ``NEEDED`` of k = 64 values where about 58 are expected, 5 standard deviations;
@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from probegrid.llm.common import keyed, release, stored, strings
@@ -42,6 +42,10 @@ NEEDED = 40
 SLACK = 0.72
 #: Members of a list that are dealt to one task, about.
 SPLIT = 1000
+#: Turns of drawn partners end when one leaves more than this share of the components outside.
+LAGGING = 0.95
+#: Partners of a member in one turn, and the lists they are drawn from.
+DRAWN, LISTS = 16, 4
 #: Words a worker remembers the hash of, at most.
 MEMO = 500_000
 
@@ -201,15 +205,13 @@ def _verified(passed: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFra
     return sure.union(_reaching(unsure, _shingle_sets(docs, classes, wanted)))
 
 
-def _crossing(split: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Verified links of list members that are outside the component of a list's central member.
+def _prefixes(full: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``s, k, n, left``: members (k, n) under the shingles that a partner above the threshold may be found by.
 
-    ``split`` is (k, n, label, rest). Sketches cannot tell such members apart,
-    so this is a prefix-filtered join on their full sets: shingles from the rarest
-    on, each member under as many as its partners of a size can force it to share.
-    Partners of about one size share a bucket, so that the number is exact for them.
+    Shingles come from the rarest on, and each member stands under as many as its
+    smallest partner can force it to share. ``left`` counts the member's shingles from
+    this one on: that is all that is left to share.
     """
-    full = _shingle_sets(docs, classes, split.select("k"))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -221,22 +223,57 @@ def _crossing(split: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFram
     counts = each.groupBy(F.col("s").alias("_s")).agg(F.count("*").alias("df"))
     # only shingles that two members share can link them; the others stand in front of them
     shared = each.join(counts.where("df > 1"), F.col("s") == F.col("_s")).groupBy("k").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("shared"))
-    known = shared.join(split.select(F.col("k").alias("_k"), "n", "label", "rest"), F.col("k") == F.col("_k"))
+    known = shared.join(sizes.select(F.col("k").alias("_k"), "n"), F.col("k") == F.col("_k"))
     room = F.greatest(F.lit(0), F.col("n") - F.ceil(F.col("n") * THRESHOLD / 100) + 1 - (F.col("n") - F.size("shared"))).cast("int")
-    posted = known.select("k", "n", "label", "rest", (F.col("n") - F.size("shared")).alias("front"), F.posexplode(F.slice("shared", F.lit(1), room)).alias("at", "p"))
-    # left: members from this shingle on, that is all they can still share
-    posted = stored(posted.select(F.col("p.s").alias("s"), "k", "n", "label", "rest", (F.col("n") - F.col("front") - F.col("at")).alias("left")), "prefixes")
+    posted = known.select("k", "n", (F.col("n") - F.size("shared")).alias("front"), F.posexplode(F.slice("shared", F.lit(1), room)).alias("at", "p"))
+    return stored(posted.select(F.col("p.s").alias("s"), "k", "n", (F.col("n") - F.col("front") - F.col("at")).alias("left")), "prefixes")
+
+
+def _with_state(posted: DataFrame, state: DataFrame) -> DataFrame:
+    return posted.join(state.select(F.col("k").alias("_k"), "label", "rest"), F.col("k") == F.col("_k")).drop("_k")
+
+
+def _needed(a: Column, b: Column) -> Column:
+    """Shingles that sets of these sizes share at the threshold."""
+    return F.ceil((a + b) * THRESHOLD / (100 + THRESHOLD))
+
+
+def _partners(posted: DataFrame, state: DataFrame, turn: int) -> DataFrame:
+    """``a, b``: for each member outside, up to ``DRAWN`` members of other components, drawn by hash from its prefix lists.
+
+    Where a group hangs together by very many links, a few such turns join most of
+    it, and its pairs are never formed: a list gives no more than ``DRAWN`` of its
+    members away, and a member looks into a few of its lists. What a draw misses is
+    left to a later turn or to the full comparison at the end.
+    """
+    placed = _with_state(posted, state)
+    part = F.pmod(F.xxhash64("k", F.lit(turn)), F.lit(DRAWN)).alias("part")
+    drawn = placed.groupBy(F.col("s").alias("_s"), part).agg(F.max(F.struct(F.xxhash64("k", "s", F.lit(turn)).alias("h"), "k", "n", "label")).alias("p"))
+    drawn = drawn.select("_s", F.col("p.k").alias("with"), F.col("p.n").alias("n_b"), F.col("p.label").alias("label_b"))
+    # a member has as many rows here as its prefix has shingles
+    nth = F.row_number().over(Window.partitionBy("k").orderBy(F.xxhash64("s", F.lit(turn)), "s"))
+    probes = placed.where("rest").withColumn("nth", nth).where(F.col("nth") <= LISTS)
+    met = probes.join(drawn, (F.col("s") == F.col("_s")) & (F.col("label") != F.col("label_b")) & _sizes_fit(F.col("n"), F.col("n_b"))).select("k", "with").distinct()
+    few = F.row_number().over(Window.partitionBy("k").orderBy(F.xxhash64("with", F.lit(turn)), "with"))
+    return _ordered(met.withColumn("nth", few).where(F.col("nth") <= DRAWN), "k", "with")
+
+
+def _crossing(posted: DataFrame, state: DataFrame) -> DataFrame:
+    """``a, b``: all pairs of a member outside and one of another component that the prefix filter leaves.
+
+    Partners of about one size share a bucket, so that the number to share is exact for them.
+    """
+    posted = _with_state(posted, state)
     step = float(np.log(1.05))
-    needed = lambda a, b: F.ceil((a + b) * THRESHOLD / (100 + THRESHOLD))
     bucket = F.floor(F.log("n") / step)
     targets = F.sequence(F.floor(F.log(F.col("n") * THRESHOLD / 100) / step), F.floor(F.log(F.col("n") * 100 / THRESHOLD) / step))
     probes = posted.where("rest").withColumn("bucket", F.explode(targets))
     smallest = F.greatest(F.ceil(F.col("n") * THRESHOLD / 100), F.floor(F.exp(F.col("bucket") * step)))
-    probes = probes.where(F.col("left") >= needed(F.col("n"), smallest))
+    probes = probes.where(F.col("left") >= _needed(F.col("n"), smallest))
     other = posted.select(F.col("s").alias("_s"), bucket.alias("_bucket"), *[F.col(x).alias(f"{x}_b") for x in ("k", "n", "label", "left")])
     met = probes.join(other, (F.col("s") == F.col("_s")) & (F.col("bucket") == F.col("_bucket")) & (F.col("label") != F.col("label_b")) & _sizes_fit(F.col("n"), F.col("n_b"))
-                      & (F.least("left", "left_b") >= needed(F.col("n"), F.col("n_b"))))
-    return _reaching(_ordered(met, "k", "k_b"), full)
+                      & (F.least("left", "left_b") >= _needed(F.col("n"), F.col("n_b"))))
+    return _ordered(met, "k", "k_b")
 
 
 def _lists(classes: DataFrame) -> DataFrame:
@@ -255,26 +292,63 @@ def _lists(classes: DataFrame) -> DataFrame:
     return stored(dealt.join(each, (F.col("v") == F.col("_v")) & (F.col("salt") == F.col("_salt"))).drop("_v", "_salt"), "lists")
 
 
+def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    return stored(_verified(stored(_estimated(pairs, classes), "candidates"), docs, classes), "links")
+
+
+def _labelled(lists: DataFrame, links: DataFrame) -> DataFrame:
+    """``lists`` with the component of each member (``label``) and of its list's central member (``main``)."""
+    labels = components(links)
+    label_of = lambda name: labels.select(F.col("node").alias(f"_{name}"), F.col("label").alias(f"{name}_label"))
+    known = lists.join(label_of("k"), F.col("k") == F.col("_k"), "left").join(label_of("pivot"), F.col("pivot") == F.col("_pivot"), "left")
+    return stored(known.select(*lists.columns, F.coalesce("k_label", "k").alias("label"), F.coalesce("pivot_label", "pivot").alias("main")), "labelled-lists")
+
+
 def links_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """``a, b``: verified links between classes; their components are those of all pairs above the threshold."""
+    """``a, b``: verified links between classes; their components are those of all pairs above the threshold.
+
+    First each class meets the central member of the longest list it stands in:
+    one pair a class, whatever the size of its group. Then only members that this left
+    outside their list's component meet the central members of their other lists, then
+    others drawn from lists of a prefix filter on the full sets, for as long as a turn
+    merges a good part of the components, and last all that the filter leaves.
+    """
     lists = _lists(classes)
-    pairs = _ordered(lists.where((F.col("k") != F.col("pivot")) & _sizes_fit(F.col("n"), F.col("pivot_n"))), "k", "pivot")
-    links = stored(_verified(stored(_estimated(pairs, classes), "candidates"), docs, classes), "links")
-    labels = components(links)
+    fit = (F.col("k") != F.col("pivot")) & _sizes_fit(F.col("n"), F.col("pivot_n"))
+    longest = lists.where(fit).groupBy("k").agg(F.max(F.struct("members", "v", "pivot")).alias("first")).select("k", F.col("first.pivot").alias("pivot"))
+    links = _linked(_ordered(longest, "k", "pivot"), docs, classes)
+    apart = _labelled(lists, links).where("label <> main")
+    links = stored(links.union(_linked(_ordered(apart.where(fit), "k", "pivot"), docs, classes)).distinct(), "links")
     release(docs.sparkSession)
-    label_of = lambda name: labels.select(F.col("node").alias(f"_{name}"), F.col("label").alias(f"{name}_label"))
     # of a list of two, the only pair is settled
-    open_lists = lists.where("members > 2")
-    known = open_lists.join(label_of("k"), F.col("k") == F.col("_k"), "left").join(label_of("pivot"), F.col("pivot") == F.col("_pivot"), "left")
-    known = known.select("v", "k", "n", "salt", "salts", F.coalesce("k_label", "k").alias("label"), F.coalesce("pivot_label", "pivot").alias("main"))
-    known = stored(known.withColumn("rest", F.col("label") != F.col("main")), "labelled-lists")
-    torn = known.where("rest").groupBy(F.col("v").alias("_v")).agg(F.max("salts").alias("_salts"))
-    torn = torn.select("_v", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("_salt"))
-    members = known.join(torn, (F.col("v") == F.col("_v")) & (F.col("salt") == F.col("_salt")), "left_semi")
-    split = stored(members.groupBy("k", "n", "label").agg(F.max("rest").alias("rest")), "split-lists")
-    if split.isEmpty():
+    torn = _torn(_labelled(lists.where("members > 2"), links))
+    if torn.isEmpty():
         return links
-    return stored(links.union(_crossing(split, docs, classes)).distinct(), "links")
+    members = stored(torn.select("k", "n").distinct(), "torn-members")
+    full = _shingle_sets(docs, classes, members.select("k"))
+    posted = _prefixes(full, members)
+    state, left, turn = _state(torn), None, 0
+    while True:
+        before, left = left, state.where("rest").select("label").distinct().count()
+        if not left:
+            return links
+        if before is not None and left > before * LAGGING:
+            return stored(links.union(_reaching(_crossing(posted, state), full)).distinct(), "links")
+        links = stored(links.union(_reaching(_partners(posted, state, turn), full)).distinct(), "links")
+        torn, turn = _torn(_labelled(torn.drop("label", "main"), links)), turn + 1
+        state = _state(torn)
+
+
+def _state(torn: DataFrame) -> DataFrame:
+    """``k, label, rest``: the component of each member of a torn list, and whether it is outside that of a central member."""
+    return stored(torn.groupBy("k").agg(F.max("label").alias("label"), F.max(F.col("label") != F.col("main")).alias("rest")), "member-states")
+
+
+def _torn(known: DataFrame) -> DataFrame:
+    """The lists of which some member is outside the component of the central one."""
+    of = known.where("label <> main").groupBy(F.col("v").alias("_v")).agg(F.max("salts").alias("_salts"))
+    of = of.select("_v", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("_salt"))
+    return stored(known.join(of, (F.col("v") == F.col("_v")) & (F.col("salt") == F.col("_salt")), "left_semi"), "torn-lists")
 
 
 def _numbered(signed: DataFrame, classes: DataFrame) -> DataFrame:
