@@ -8,6 +8,7 @@ import re
 import textwrap
 import zlib
 
+import duckdb
 import pytest
 
 from probegrid.llm import decontamination, exact_dedup, licenses, near_dedup, packing, pii, suffix_dedup
@@ -243,7 +244,8 @@ def test_licenses(spark, corpus):
     assert (got[901].licenses, got[901].license_class, got[901].n_licenses) == ("CC-BY-NC-4.0,MIT", "noncommercial", 2)
     assert got[902].rules == "" and got[902].sentence_ids == "mit-as-is,mit-grant"  # the order is not the rule's
     assert all(r.license_class == "none" for i, r in got.items() if i is None or i < 900)
-    assert all(re.search(licenses._ANCHORS, s) for s in licenses.KNOWN)
+    anchored = {name for s, name in licenses.KNOWN.items() if re.search(licenses._ANCHORS, s)}
+    assert all(anchored & set(",".join(of).split(",")) for *_, of in licenses.RULES)
     plan = licenses.license_scan(df)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|Join", plan) and plan.count("Exchange") == 1  # the repartition of the fixture
 
@@ -269,8 +271,18 @@ int x;
 """
 
 
+def sentence(name):
+    """A text that a sentence identifier stands for."""
+    named = {licenses._slug(n): (n, texts[-1]) for n, _, texts in licenses.NOTICES}
+    if name.endswith("-id"):
+        return named[name[:-3]][0]
+    if name.endswith("-notice"):
+        return "This file is licensed under the " + named[name[:-7]][1]
+    return licenses.SENTENCES[name]
+
+
 def test_every_licence_rule_matches_its_own_sentences(spark):
-    joined = [[licenses.SENTENCES[s] for s in of] for *_, of in licenses.RULES]
+    joined = [[sentence(s) for s in ",".join(of).split(",")] for *_, of in licenses.RULES]
     texts = [t for of in joined for t in (". ".join(of) + ".", ".\n".join(of), "\n\n".join(of))] + [MPL]
     got = {r.doc_id: r for r in licenses.license_scan(spark.createDataFrame(list(enumerate(texts)), DDL)).collect()}
     for i in range(len(texts) - 1):
@@ -278,6 +290,29 @@ def test_every_licence_rule_matches_its_own_sentences(spark):
     assert (got[len(texts) - 1].licenses, got[len(texts) - 1].license_class) == ("MPL-2.0", "copyleft")
 
 
+def test_licence_lines_and_the_statement(spark):
+    """Lines as projects write them, in both engines."""
+    want = {
+        "SPDX-License-Identifier: MIT": "MIT", "# SPDX-License-Identifier: GPL-3.0-or-later\nx": "GPL-3.0-or-later", "// SPDX-License-Identifier: Apache-2.0": "Apache-2.0",
+        "SPDX-License-Identifier: LGPL-2.1-only": "LGPL-2.1", "MIT\nlicense": "", "Licensed under the Apache License 2.0.": "Apache-2.0", "This file is licensed under the MIT License.": "MIT",
+        "It is distributed under the terms of the GNU Lesser General Public License, version 3 or later.": "LGPL-3.0-or-later", "This work is licensed under GPLv3.": "GPL-3.0",
+        "Released under the MIT Licence.": "MIT", "The software is available under the Boost Software License, Version 1.0.": "BSL-1.0",
+        "  GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007\n\n": "GPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE\nVersion 3, 19 November 2007": "AGPL-3.0",
+        "Apache License\nVersion 2.0, January 2004\nhttp://www.apache.org/licenses/\n\nTERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION": "Apache-2.0",
+        "Copyright 2020 X. All rights reserved.": "LicenseRef-All-Rights-Reserved", "All rights reserved.\nLicensed under the BSD 3-Clause License.": "BSD-3-Clause,LicenseRef-All-Rights-Reserved",
+        "Eclipse Public License - v 2.0": "EPL-2.0", "we licensed under protest": "", "SPDX-License-Identifier: MIT\n\nApache-2.0": "MIT",
+        MPL: "MPL-2.0", "// " + MPL.replace("\n", "\n// "): "MPL-2.0", APACHE: "Apache-2.0", "": "", "x" * 100_000 + " license": "",
+    }
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(want)] + [(99, None)], DDL)
+    got = {r.doc_id: r for r in licenses.license_scan(df).collect()}
+    assert [got[i].licenses for i in range(len(want))] == list(want.values())
+    assert [got[i].license_class for i, t in enumerate(want) if "rights" in t.lower()] == ["reserved", "permissive"]
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", [*enumerate(want), (99, None)])
+    assert sorted(con.execute(licenses.license_sql()).fetchall()) == sorted(tuple(r) for r in got.values())
+
+
 APACHE = """Copyright 2020 X
 
 Licensed under the Apache License, Version 2.0 (the "License");
