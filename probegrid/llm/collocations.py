@@ -28,6 +28,8 @@ TOP = 2000
 COVERED = 50
 #: Distinct sequences a task counts before it hands them on: about 100 MB.
 COUNTED = 400_000
+#: Rows of one node whose edges are held before they are summed.
+FOLDED = 1000
 #: Edges in one row of a compacted path, at most; longer paths go over several rows.
 SEGMENT = 4096
 #: Lower case, and all piece separators as one.
@@ -35,25 +37,37 @@ _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r", b"abcdefg
 
 
 def edge_counts(docs: DataFrame) -> DataFrame:
-    """``node, next, n``: edges with their weight so far, and as ``next`` empty the one or two words that end a piece.
+    """``node, through, followers``: what tasks have counted of the edges of each node, with its flow.
 
     ``node`` is the language, a line feed (no word holds one) and one or two words.
-    Every word of a text starts exactly one of these sequences. A task hands on
-    what it has counted when ``COUNTED`` sequences are known, so one may come in
+    ``followers`` lists the third words, a line each, with a tab (no word holds one
+    either) and the count where it is not one. A node that ends a piece adds to its
+    flow only. Every word of a text starts exactly one counted sequence. A task hands
+    on what it has when ``COUNTED`` sequences are known, so a node may come in
     several rows.
     """
 
     def rows(counted: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
         for lang, of in counted.items():
             head = lang.encode() + b"\n"
-            keys = list(of)
+            nodes: dict[tuple, list] = {}
+            for k, n in of.items():
+                node = k[:2]
+                row = nodes.get(node)
+                if row is None:
+                    row = nodes[node] = [0]
+                row[0] += n
+                if len(k) > 2:
+                    row.append(k[2] if n == 1 else b"%b\t%d" % (k[2], n))
+            of.clear()
+            keys = list(nodes)
             for at in range(0, len(keys), 50_000):
                 part = keys[at:at + 50_000]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([head + b" ".join(k[:2]) for k in part], pa.binary()).cast(pa.string()),
-                    pa.array([k[2] if len(k) > 2 else b"" for k in part], pa.binary()).cast(pa.string()),
-                    pa.array([of[k] for k in part], pa.int64()),
-                ], names=["node", "next", "n"])
+                    pa.array([head + b" ".join(k) for k in part], pa.binary()).cast(pa.string()),
+                    pa.array([nodes[k][0] for k in part], pa.int64()),
+                    pa.array([b"\n".join(nodes[k][1:]) for k in part], pa.binary()).cast(pa.string()),
+                ], names=["node", "through", "followers"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counted: dict[str, Counter] = defaultdict(Counter)
@@ -82,32 +96,41 @@ def edge_counts(docs: DataFrame) -> DataFrame:
         yield from rows(counted)
 
     plain = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return plain.mapInArrow(count, "node string, next string, n long")
+    return plain.mapInArrow(count, "node string, through long, followers string")
 
 
 def weighted_graph(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """``lang, phrase, words, a``: edges (three words) and nodes (two) that reach ``least``, and flows of single words in parts.
 
-    All rows of a node go to one task and come in order, so edges and the flow
-    through their node are summed as they pass; what is rare is never written. A
-    node has no more rows than it has followers in what tasks handed on. The parts
-    of a word's flow are to be added up.
+    All rows of a node go to one task and come one after the other, so its flow and
+    its edges are summed as they pass; what is rare is never written. Edges are looked
+    at only where the node's own flow can hold a frequent one, a bounded number of
+    rows at a time. The parts of a word's flow are to be added up.
     """
 
     def flow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[tuple[str, str, int, int]] = []
-        node = word = follower = None
-        edge = through = of_word = 0
-
-        def edge_ends():
-            if follower and edge >= least:
-                lang, phrase = node.rsplit("\n", 1)
-                found.append((lang, f"{phrase} {follower}", 3, edge))
+        edges: Counter = Counter()
+        waiting: list[str] = []
+        node = word = None
+        through = of_word = 0
+
+        def fold():
+            for lines in waiting:
+                for line in lines.split("\n") if lines else ():
+                    follower, _, n = line.partition("\t")
+                    edges[follower] += int(n or 1)
+            waiting.clear()
 
         def node_ends():
-            lang, phrase = node.rsplit("\n", 1)
-            if through >= least and " " in phrase:
-                found.append((lang, phrase, 2, through))
+            if through >= least:
+                fold()
+                lang, phrase = node.rsplit("\n", 1)
+                if " " in phrase:
+                    found.append((lang, phrase, 2, through))
+                found.extend((lang, f"{phrase} {f}", 3, n) for f, n in edges.items() if n >= least)
+            edges.clear()
+            waiting.clear()
 
         def word_ends():
             lang, phrase = word.rsplit("\n", 1)
@@ -119,35 +142,31 @@ def weighted_graph(docs: DataFrame, least: int = LEAST) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(lang), pa.array(phrase), pa.array(words, pa.int32()), pa.array(a, pa.int64())], names=["lang", "phrase", "words", "a"])
 
         for batch in batches:
-            for here, following, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for here, n, lines in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if here != node:
                     if node is not None:
-                        edge_ends()
                         node_ends()
-                    at = here.rfind("\n")
-                    space = here.find(" ", at + 1)
+                    space = here.find(" ", here.rfind("\n") + 1)
                     first = here if space < 0 else here[:space]
                     if first != word:
                         if word is not None:
                             word_ends()
                         word, of_word = first, 0
-                    node, follower, edge, through = here, following, 0, 0
-                elif following != follower:
-                    edge_ends()
-                    follower, edge = following, 0
-                edge += n
+                    node, through = here, 0
                 through += n
                 of_word += n
+                waiting.append(lines)
+                if len(waiting) >= FOLDED:
+                    fold()
             if len(found) > 20_000:
                 yield rows()
         if node is not None:
-            edge_ends()
             node_ends()
             word_ends()
         if found:
             yield rows()
 
-    dealt = edge_counts(docs).repartition("node").sortWithinPartitions("node", "next")
+    dealt = edge_counts(docs).repartition("node").sortWithinPartitions("node")
     return dealt.mapInArrow(flow, "lang string, phrase string, words int, a long")
 
 
