@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -37,13 +38,13 @@ def build_session(app: str = "probegrid", master: str | None = None, partitions:
 def work_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below ``spark.checkpoint.dir``.
 
-    Only a local session may fall back to a temporary folder: on a cluster
-    the executors would not share it.
+    Only a session in one local process may fall back to a temporary folder: on a
+    cluster, also one of local processes, the executors would not share it.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return f"{shared.rstrip('/')}/probegrid/{purpose}-{uuid.uuid4().hex}"
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
     return tempfile.mkdtemp(prefix=f"probegrid-{purpose}-")
 
