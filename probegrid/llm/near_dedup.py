@@ -43,7 +43,7 @@ SLACK = 0.72
 #: Members of a list that are dealt to one task, about.
 SPLIT = 1000
 #: Turns of drawn partners end when one leaves more than this share of the components outside.
-LAGGING = 0.95
+LAGGING = 0.85
 #: Partners of a member in one turn, and the lists they are drawn from.
 DRAWN, LISTS = 16, 4
 #: Words a worker remembers the hash of, at most.
