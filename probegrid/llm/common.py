@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from probegrid.session import stored
 
-__all__ = ["DOC_KEY", "documents_of", "keyed", "release", "same_key", "sorted_flags", "stored", "strings", "table"]
+__all__ = ["DOC_KEY", "documents_of", "keyed", "release", "same_key", "sorted_flags", "stored", "strings", "table", "unused"]
 
 #: Names a document row even where doc_id repeats or is null: equal keys mean an equal id and an equal text.
 DOC_KEY = ["_id", "_h"]
@@ -44,6 +44,14 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """``name``, with as many underscores in front as it takes to differ from every column of ``docs``."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -174,8 +174,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW, block_w
 def drop_contaminated(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` in which no window occurs, with their columns as they are."""
     bad = find_leaks(docs, items, size).where(F.size("starts") > 0).select(F.col("_id").alias("_bad_id"), F.col("_h").alias("_bad_h")).distinct()
-    rows = docs.withColumn("_row_h", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    return rows.join(bad, rows.doc_id.cast("long").eqNullSafe(bad._bad_id) & (rows._row_h == bad._bad_h), "left_anti").select(*docs.columns)
+    text = F.coalesce(docs.text.cast("string"), F.lit(""))
+    return docs.join(bad, docs.doc_id.cast("long").eqNullSafe(bad._bad_id) & (F.xxhash64(text) == bad._bad_h), "left_anti")
 
 
 def items_digest(ids: list[int]) -> str:

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from probegrid.llm.common import DOC_KEY, keyed, sorted_flags, stored
+from probegrid.llm.common import DOC_KEY, keyed, sorted_flags, stored, unused
 
 BLOCK_BYTES = 16384
 #: Bytes of a block that take part in its range key.
@@ -135,7 +135,8 @@ def drop_exact_duplicates(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> Da
     """The rows of ``docs`` that stay, with their columns as they are."""
     fate = exact_duplicates(docs, block_bytes).where("kept").select(
         F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"))
-    rows = docs.withColumn("_row_sha", F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256))
-    same = rows.doc_id.cast("long").eqNullSafe(fate._kept_id) & (rows._row_sha == fate._kept_sha)
-    one = Window.partitionBy("doc_id", "_row_sha").orderBy(F.lit(1))
-    return rows.withColumn("_row_copy", F.row_number().over(one)).where("_row_copy = 1").join(fate, same, "left_semi").select(*docs.columns)
+    sha, copy = unused(docs, "_row_sha"), unused(docs, "_row_copy")
+    rows = docs.withColumn(sha, F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256))
+    same = rows.doc_id.cast("long").eqNullSafe(fate._kept_id) & (rows[sha] == fate._kept_sha)
+    one = Window.partitionBy("doc_id", sha).orderBy(F.lit(1))
+    return rows.withColumn(copy, F.row_number().over(one)).where(F.col(copy) == 1).join(fate, same, "left_semi").select(*docs.columns)

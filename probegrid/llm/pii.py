@@ -7,9 +7,11 @@ shape, digits, check sums) and of its neighbours, and chooses boundaries and
 types of all spans of a region at once by dynamic programming over segments of
 at most ``MAX_TOKENS`` tokens. Base spans stay; what overlaps one is not added.
 
-It is fitted by maximum likelihood on sentences made here from a seed. Regions
-are the tokens around digits and at-signs; elsewhere no candidate exists and the
-best labelling is empty, so leaving the rest out changes nothing.
+It is fitted by maximum likelihood on sentences made here from a seed. A region is
+a line that holds a digit or an at-sign. No candidate crosses the end of a line, and
+without these signs there is none, so leaving the other lines out changes nothing.
+Features see the tokens of the line. Lines of any length are decoded whole: spans
+are scored some thousand tokens at a time, and only those that can win are kept.
 
 Scale: each text is handled where it is read, in time linear in its length.
 """
@@ -32,7 +34,7 @@ from probegrid.llm.common import documents_of
 KINDS = ["email", "ip", "card", "phone", "secret"]
 MAX_TOKENS = 14
 FEATURES = 1 << 12
-SENTENCES = 400
+SENTENCES = 700
 EPOCHS = 5
 #: A span is added if its score exceeds that of leaving its tokens out by this much.
 MARGIN = 3.0
@@ -83,8 +85,8 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 _TOKEN = re.compile(r"\w+|[^\w\s]")
 _ANCHOR = re.compile(r"[0-9@]")
-#: Words around an anchor that belong to its region, and the characters looked at for each.
-_AROUND, _REACH = 3, 90
+#: Tokens whose candidate spans are scored at a time.
+SCORED = 2000
 
 
 class Slots(dict):
@@ -98,29 +100,13 @@ class Slots(dict):
 
 
 def regions(text: str) -> Iterator[list[tuple[int, int]]]:
-    """Token spans of each region; anchors whose surroundings meet share one.
-
-    Surroundings are bounded, so the time is linear in the text however it is spaced.
-    """
-    current: list[tuple[int, int]] = []
-    reach, at = 0, 0
+    """Token spans of each line with a digit or an at-sign; no candidate crosses the end of a line."""
+    at = 0
     while m := _ANCHOR.search(text, at):
-        start, end = m.start(), m.end()
-        for _ in range(_AROUND):
-            low = max(0, start - _REACH)
-            start = max(text.rfind(" ", low, max(low, start - 1)), text.rfind("\n", low, max(low, start - 1)), low)
-            high = min(len(text), end + _REACH)
-            blank = text.find(" ", end + 1, high)
-            end = blank if blank >= 0 else high
-        if current and (start > reach or len(current) > 4000):
-            yield current
-            current = []
-        current += [t.span() for t in _TOKEN.finditer(text, max(start, reach), end)]
-        reach = max(reach, end)
-        # the next anchor that is not well inside this region
-        at = max(m.end(), end - _REACH)
-    if current:
-        yield current
+        start = text.rfind("\n", at, m.start()) + 1 or at
+        end = text.find("\n", m.end())
+        at = len(text) if end < 0 else end
+        yield [t.span() for t in _TOKEN.finditer(text, start, at)]
 
 
 def _shape(span: str) -> str:
@@ -132,10 +118,15 @@ def _shape(span: str) -> str:
     return "".join(out)
 
 
-def candidates(text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """(first, last) of token runs that may be an entity: with a digit or an at-sign, letters or digits at the end, no gap of white space over one character."""
+def candidates(text: str, tokens: list[tuple[int, int]], begin: int = 0, stop: int | None = None) -> list[tuple[int, int]]:
+    """(first, last) of token runs that may be an entity, for first in [begin, stop).
+
+    They hold a digit or an at-sign, end with a letter or digit, and have no gap but
+    single blanks (plain or no-break): tabs and line ends part cells and records.
+    """
     out = []
-    for i, (a, _) in enumerate(tokens):
+    for i in range(begin, len(tokens) if stop is None else min(stop, len(tokens))):
+        a = tokens[i][0]
         if not (text[a].isalnum() or text[a] in "+("):
             continue
         letters, digits, groups, signs = 0, 0, 1, 0
@@ -143,7 +134,7 @@ def candidates(text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int]
             s, e = tokens[j]
             if j > i:
                 gap = s - tokens[j - 1][1]
-                if gap > 1 or gap == 1 and (text[s - 1] == "\n" or letters and not signs):
+                if gap > 1 or gap == 1 and (text[s - 1] not in " \xa0" or letters and not signs):
                     break
                 groups += gap
             word = text[s:e]
@@ -185,22 +176,24 @@ class Field:
     def __init__(self, weights: np.ndarray | None = None):
         self.weights = np.zeros((FEATURES, len(KINDS)), dtype=np.float32) if weights is None else weights
 
-    def segments(self, text: str, tokens: list[tuple[int, int]], slots: Slots) -> tuple[list[tuple[int, int]], list[list[int]], np.ndarray]:
-        runs = candidates(text, tokens)
+    def segments(self, text: str, tokens: list[tuple[int, int]], slots: Slots, begin: int = 0, stop: int | None = None) -> tuple[list[tuple[int, int]], list[list[int]], np.ndarray]:
+        runs = candidates(text, tokens, begin, stop)
         features = [span_features(text, tokens, i, j, slots) for i, j in runs]
         scores = np.array([self.weights[f].sum(axis=0) for f in features]).reshape(len(runs), len(KINDS))
         return runs, features, scores
 
     def decode(self, text: str, tokens: list[tuple[int, int]], slots: Slots | None = None) -> list[tuple[int, int, str]]:
         """The best labelling: (start, end, kind) of its spans."""
-        runs, _, scores = self.segments(text, tokens, Slots() if slots is None else slots)
+        slots = Slots() if slots is None else slots
         best = [0.0] * (len(tokens) + 1)
         back: list[tuple[int, int] | None] = [None] * (len(tokens) + 1)
         ending: dict[int, list[tuple[int, int, float]]] = {}
-        for (i, j), s in zip(runs, scores, strict=True):
-            k = int(s.argmax())
-            if s[k] > MARGIN:
-                ending.setdefault(j, []).append((i, k, float(s[k]) - MARGIN))
+        for begin in range(0, len(tokens), SCORED):
+            runs, _, scores = self.segments(text, tokens, slots, begin, begin + SCORED)
+            top = scores.argmax(axis=1) if len(runs) else []
+            for (i, j), k, s in zip(runs, top, scores, strict=True):
+                if s[k] > MARGIN:
+                    ending.setdefault(j, []).append((i, int(k), float(s[k]) - MARGIN))
         for j in range(len(tokens)):
             best[j + 1] = best[j]
             for i, k, s in ending.get(j, ()):
@@ -252,6 +245,19 @@ def _number(r: random.Random, n: int) -> str:
     return "".join(str(r.randrange(10)) for _ in range(n))
 
 
+def _secret(r: random.Random) -> str:
+    """A key as hexadecimal digits, in base 64, or letters and digits behind a prefix."""
+    lower, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    signs, n, prefix = r.choice([
+        (digits + "abcdef", r.choice([32, 40, 64]), ""), (digits + "abcdef", r.choice([32, 40, 64]), ""),
+        (digits + lower + lower.upper() + "+/", r.choice([32, 40, 44, 64]), ""),
+        (digits + lower + lower.upper(), r.choice([24, 32, 36]), r.choice(["sk_live_", "ghp_", "xoxb-", "key-", "pat_"])),
+        (digits + lower.upper(), 16, r.choice(["AKIA", "ASIA"])),
+    ])
+    body = "".join(r.choice(signs) for _ in range(n - 2))
+    return f"{prefix}{r.choice(signs[10:16])}{body}{r.choice(digits)}"
+
+
 def _word(r: random.Random) -> str:
     return "".join(r.choice(["the", "on", "er", "an", "ti", "re", "ou", "en", "sch", "le", "ado", "ich", "mo", "ka"]) for _ in range(r.randint(1, 4)))
 
@@ -273,22 +279,23 @@ def sentence(r: random.Random) -> tuple[str, list[tuple[int, int, str]]]:
             value, lead = _card(r), r.choice(["", "", "card "])
         elif kind == "phone":
             a, b, c = _number(r, 3), _number(r, 3), _number(r, 4)
-            value = r.choice([f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"+{r.randint(20, 99)} {a} {b} {c}"])
+            value = r.choice([f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"({a})-{b}-{c}", f"{a}-{b}-{c}", f"+{r.randint(20, 99)} {a} {b} {c}"])
             lead = r.choice(["", "", "phone ", "call "])
         elif kind == "secret":
-            n = r.choice([32, 40, 40, 64])
-            value = "".join(r.choice("0123456789abcdef") for _ in range(n))
-            lead = r.choice(['token = "', 'token = "', "key: ", "secret="])
+            value = _secret(r)
+            lead = r.choice(['token = "', 'token = "', "key: ", "secret=", 'key: "', '"', ""])
         else:
             value = r.choice([
                 _number(r, r.randint(1, 13)), f"{r.randint(1900, 2030)}-{r.randint(1, 12):02}-{r.randint(1, 28):02}", f"{r.randint(1, 99)}.{_number(r, 2)}", f"{r.randint(1, 9)}.{r.randint(0, 20)}.{r.randint(0, 9)}",
                 f"{r.randint(1, 12)}:{_number(r, 2)}", f"{_word(r)}{_number(r, 2)}", f"@{_word(r)}", f"{_number(r, 2)}/{_number(r, 2)}/{_number(r, 4)}", f"{_number(r, 1)},{_number(r, 3)}", f"{r.randint(1, 400)}-{r.randint(400, 900)}",
                 f"{_number(r, 2)} {_number(r, 3)}", f"v{_number(r, 1)}.{_number(r, 1)}", _number(r, 20), f"#{_number(r, 5)}", f"{_word(r)} {_number(r, 4)} {_word(r)}",
+                f"{_word(r)}_{_word(r)}_{_number(r, 2)}", f"{_word(r).title()}{_word(r).title()}{_number(r, 2)}", f"{_word(r)}/{_number(r, 4)}/{_word(r)}_{_word(r)}", f"{_word(r)}-{_number(r, 1)}.{_number(r, 1)}.{_number(r, 1)}.zip",
+                f"{_word(r)}{_word(r)}{_word(r)}{_number(r, 3)}", f"{_word(r)[:3]}{_number(r, 2)}",
             ])
         text += lead
         if kind != "none":
             spans.append((len(text), len(text) + len(value), kind))
-        text += value + ('"' if lead.endswith('"') else "") + r.choice([" ", ". ", ", ", ") ", "\n", " | "])
+        text += value + ('"' if lead.endswith('"') else "") + r.choice([" ", ". ", ", ", ") ", "\n", " | ", "\t"])
     return text + _word(r), spans
 
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from probegrid.llm.common import documents_of, strings
+from probegrid.llm.common import documents_of, stored, strings, unused
 
 CATEGORIES = ["abusive", "severe", "toxic"]
 SAMPLE_ROWS = 4000
@@ -121,7 +121,9 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, te
     known = labels.select(F.col("doc_id").cast("long").alias("_l"), F.col("toxic").cast("int").alias("toxic")).where("toxic is not null and _l is not null")
     chosen = known.orderBy(F.xxhash64("_l"), "_l", "toxic").limit(sample_rows)
     plain = documents_of(docs)
-    sample = plain.join(chosen, plain.doc_id == chosen._l).select("doc_id", "toxic", "text")
+    # a labelled id may stand in many rows: the bound holds for what was found, too
+    found = plain.join(chosen, plain.doc_id == chosen._l).select("doc_id", "toxic", "text")
+    sample = stored(found.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic", F.xxhash64("text")).limit(sample_rows), "labelled-sample")
 
     def presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = (Counter(), Counter())
@@ -194,4 +196,5 @@ def classify(docs: DataFrame, labelled: DataFrame, labels: DataFrame, threshold:
 def drop_toxic(docs: DataFrame, labelled: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that the chain does not reject, with their columns as they are."""
     chain = train(labelled, labels)
-    return docs.withColumn("_p_row", probabilities(F.col("text"), chain)).where(F.col("_p_row.toxic") < threshold).select(*docs.columns)
+    p = unused(docs, "_p_row")
+    return docs.withColumn(p, probabilities(F.col("text"), chain)).where(F.col(p)["toxic"] < threshold).select(*docs.columns)

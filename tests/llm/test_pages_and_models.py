@@ -135,6 +135,16 @@ def test_toxicity_held_out(spark):
     assert toxicity.drop_toxic(odd, docs, labels).columns == odd.columns
 
 
+def test_toxicity_sample_is_bounded_where_ids_repeat(spark):
+    """Rows of one labelled id beyond the bound do not reach the driver; a column of the helper's name stays as it is."""
+    rows = [(i // 40, f"{'vile' if i % 2 else 'kind'} words {i % 7}") for i in range(400)]
+    docs = spark.createDataFrame([(*r, "p") for r in rows], "doc_id long, text string, _p_row string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(10)], "doc_id long, toxic int")
+    assert toxicity.train(docs, labels, sample_rows=50, terms=20).weights
+    got = toxicity.drop_toxic(docs, docs, labels)
+    assert got.columns == docs.columns and {r._p_row for r in got.collect()} <= {"p"}
+
+
 def test_out_of_fold_chain():
     rng = np.random.default_rng(2)
     x = rng.random((300, 6))

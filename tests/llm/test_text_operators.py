@@ -10,6 +10,7 @@ import zlib
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from probegrid.llm import decontamination, exact_dedup, licenses, near_dedup, packing, pii, suffix_dedup
 from probegrid.llm.queries import LLM_ORACLE, tokenizer_path
@@ -390,6 +391,59 @@ def test_field_on_held_out_sentences_and_long_runs(spark):
     assert len(got) == 4 and all(x.spans == "" and x.base_sha256 == hashlib.sha256(b"").hexdigest() for x in got if x.doc_id != 1)
 
 
+def test_field_reads_whole_lines_and_cells(monkeypatch):
+    field = pii.train()
+    key = "9f8a0b7c6d5e4f3a2b1c" * 2
+    for pad in range(0, 300, 7):
+        text = "a" * pad + ';token="' + key + '";' + "b" * 300
+        assert f"secret:{pad + 8}:{pad + 48}" in pii.joined(pii.find_spans(text, field)[1])
+    assert pii.find_spans("\t".join(["abc12"] * 30), field)[1] == []
+    assert pii.find_spans("a\t(555)-123-4567\tb", field)[1] == [(2, 16, "phone")]
+    line = " x, ".join([f"mail b.c{i}@site{i}.org now" if i % 2 else f'key: "{key}"' for i in range(400)])
+    want = [s for tokens in pii.regions(line) for s in field.decode(line, tokens)]
+    assert len(want) > 300
+    monkeypatch.setattr(pii, "SCORED", 3)
+    assert [s for tokens in pii.regions(line) for s in field.decode(line, tokens)] == want
+
+
+def test_field_on_documents(sf_dir):
+    """Where the base patterns find data in the given documents, the field, which is fitted on made sentences, does so too."""
+    field = pii.train()
+    known = found = more = 0
+    for (text,) in duckdb.sql(f"select text from '{sf_dir}/documents.parquet' where text is not null").fetchall():
+        base = set(pii.base_spans(text))
+        spans = {s for tokens in pii.regions(text) for s in field.decode(text, tokens)}
+        known, found = known + len(base), found + len(base & spans)
+        # those apart from base spans should be secrets behind their name
+        more += sum(k != "secret" or "token" not in text[max(0, a - 12):a] for a, b, k in spans if all(b <= x or y <= a for x, y, _ in base))
+    assert known and found >= 0.95 * known and more <= 0.05 * known
+
+
+def test_personal_data_of_the_table_by_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    order = {k: i for i, k in enumerate(pii.KINDS)}
+    rows = pii.find_pii(docs).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        spans = sorted(plain_spans(texts[r.doc_id]), key=lambda s: (s[0], order[s[2]]))
+        kinds = [k for _, _, k in spans]
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [kinds.count(k) for k in pii.KINDS[:4]]
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, b, k in spans).encode()).hexdigest()
+
+
+def test_helper_columns_do_not_clash(spark):
+    rows = [(1, "a b c d e f", 7, "x", "y"), (2, "a b c d e f", 8, "x", "y"), (3, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _row_copy int, _row_sha string, _bad_id string").withColumn("_ROW_H", F.lit(5)).withColumn("_kept_id", F.lit("k"))
+    items = spark.createDataFrame([(1, "q w e r t y")], "item_id long, text string")
+    kept = exact_dedup.drop_exact_duplicates(docs)
+    assert kept.columns == docs.columns
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([(*rows[1], 5, "k"), (*rows[2], 5, "k")], key=str)
+    for same in (decontamination.drop_contaminated(docs, items), near_dedup.drop_near_duplicates(kept)):
+        assert same.columns == docs.columns
+    assert sorted(map(str, decontamination.drop_contaminated(docs, items).collect())) == sorted(map(str, docs.collect()))
+
+
 @pytest.mark.parametrize("run", [
     exact_dedup.exact_duplicates, near_dedup.near_duplicates, suffix_dedup.remove_repeats, licenses.license_scan, pii.find_pii,
     lambda df: packing.pack(df, tokenizer_path()), lambda df: decontamination.decontaminate(df, df.withColumnRenamed("doc_id", "item_id")),
