@@ -3,7 +3,7 @@
 Boxes of any size share one index of square cells in levels, each level four times
 as wide as the one below. A box stands at the lowest level whose cells are at
 least as wide as its longer side, so it touches four cells at most, a country as
-well as a street. A record is looked up once at each level that holds a box.
+well as a street (beyond the widest level, which no map reaches, 81). A record is looked up once at each level that holds a box.
 """
 
 from __future__ import annotations
@@ -11,10 +11,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LEVELS = range(-10, 6)
+#: From about a millionth of a degree to the widest cell a double can hold.
+LEVELS = range(-10, 512)
 WIDTH_STEP = 4.0
-#: Beyond this no coordinate in degrees can lie.
-FARTHEST = 1000.0
+ENDLESS = float("inf")
 
 
 def parse_boxes(boxes: DataFrame) -> DataFrame:
@@ -22,7 +22,7 @@ def parse_boxes(boxes: DataFrame) -> DataFrame:
     part = F.split("bbox", ",")
     names = ["min_lon", "min_lat", "max_lon", "max_lat"]
     number = [F.trim(F.get(part, F.lit(i))).try_cast("double") for i in range(4)]
-    return boxes.select("name", *[F.when(F.abs(x) <= FARTHEST, x).alias(n) for x, n in zip(number, names, strict=True)], (F.size(part) == 4).alias("complete"))
+    return boxes.select("name", *[F.when(F.abs(x) < ENDLESS, x).alias(n) for x, n in zip(number, names, strict=True)], (F.size(part) == 4).alias("complete"))
 
 
 def _usable():
@@ -63,7 +63,7 @@ def _met(points: DataFrame, boxes: DataFrame, levels: list[int] | None, how: str
     at = [F.struct(F.lit(n).alias("level"), F.floor(lon / WIDTH_STEP ** n).alias("cell_x"), F.floor(lat / WIDTH_STEP ** n).alias("cell_y"))
           for n in (levels if levels is not None else _levels(cells))]
     # a position no box can contain is looked up nowhere, and kept where rows without a box are wanted
-    known = (F.abs(lon) <= FARTHEST) & (F.abs(lat) <= FARTHEST)
+    known = (F.abs(lon) < ENDLESS) & (F.abs(lat) < ENDLESS)
     nowhere = F.array().cast("array<struct<level:int,cell_x:bigint,cell_y:bigint>>")
     probes = F.when(known, F.array(*at) if at else nowhere).otherwise(nowhere)
     probed = points.select("*", F.explode_outer(probes).alias("_probe")).select(*[f"`{c}`" for c in points.columns], "_probe.*")

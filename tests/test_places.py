@@ -50,6 +50,17 @@ def test_no_box_makes_many_cells(places):
     assert {r.name for r in spatial.unusable_boxes(b).collect()} == {n for n, _ in bad}
 
 
+def test_four_numbers_in_order_are_usable_wherever_they_lie(spark):
+    boxes = [("street", "1109,1,1109.0001,1.5"), ("far", "1e300,0,1e300,1"), ("huge", "-1e308,-1e308,1e308,1e308"), ("low", "-5000,-2000,-4000,-1000"), ("tiny", "2e19,2e19,2e19,2e19")]
+    points = [(1, 1109.00005, 1.25), (2, 1e300, 0.5), (3, -4500.0, -1500.0), (4, 2e19, 2e19), (5, 1109.0002, 1.25), (6, 7e18, -7e18)]
+    b, p = spark.createDataFrame([*boxes, ("bad", "2,1,1,2")], "name string, bbox string"), spark.createDataFrame(points, POINTS)
+    assert [r.name for r in spatial.unusable_boxes(b).collect()] == ["bad"]
+    assert {(r.id, r.name) for r in spatial.points_in_boxes(p, b).collect()} == brute(points, boxes)
+    cells = {r.name: r["count"] for r in spatial.box_cells(b).groupBy("name").count().collect()}
+    # only a box wider than the widest cell, 4 ** 511, touches more than four
+    assert cells.pop("huge") <= 81 and max(cells.values()) <= 4
+
+
 def test_blocks_by_position(places):
     points, boxes, _, p, b = places
     pairs = brute(points, boxes)
