@@ -51,8 +51,10 @@ def segment_geometry(flows: DataFrame, shapes: DataFrame) -> DataFrame:
     """Flow rows with their shape points in order.
 
     Shapes refer to the flow's ``bbox_uuid``. A group is the geometry of one
-    road in one document, so the collected path is bounded by that document.
+    road in one document, so the collected path is bounded by that document. Both
+    sides grow alike and neither is ever broadcast: where they come out of documents,
+    Spark knows their sizes only from the texts, far too small.
     """
     path = F.array_sort(F.collect_list(F.struct("sequence_order", "latitude", "longitude")))
     paths = shapes.groupBy(F.col("flow_uuid").alias("bbox_uuid")).agg(path.alias("path"))
-    return flows.join(paths, "bbox_uuid", "left")
+    return flows.join(paths.hint("merge"), "bbox_uuid", "left")

@@ -172,9 +172,15 @@ def speed_profile(cleaned: DataFrame, config: DataFrame) -> DataFrame:
 
 
 def functional_class_compare(flows: DataFrame, shapes: DataFrame) -> DataFrame:
-    """Speed and jam factor by functional class; a flow counts once per class it has."""
-    classes = shapes.select(F.col("flow_uuid").alias("bbox_uuid"), "functional_class").distinct()
-    return flows.join(classes, "bbox_uuid").groupBy("functional_class").agg(
+    """Speed and jam factor by functional class; a flow counts once per class it has.
+
+    The classes of a flow, bounded by its document, are one row until flows meet them.
+    Both sides grow alike and neither is ever broadcast (see ``lineage.segment_geometry``).
+    """
+    # in a struct, as a set leaves plain nulls out
+    found = shapes.groupBy(F.col("flow_uuid").alias("bbox_uuid")).agg(F.collect_set(F.struct("functional_class")).alias("classes"))
+    classes = flows.join(found.hint("merge"), "bbox_uuid").select("speed_kmh", "jam_factor", F.explode("classes.functional_class").alias("functional_class"))
+    return classes.groupBy("functional_class").agg(
         F.count("*").alias("flow_count"),
         F.avg("speed_kmh").alias("mean_speed"),
         F.avg("jam_factor").alias("mean_jam_factor"),

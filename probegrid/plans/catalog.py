@@ -272,8 +272,16 @@ def ingest_rejects(spark, d):
     )
 
 
+def _segment_tables(spark, d) -> payloads.Ingested:
+    """Tables of the segment documents for queries that read several: parsed once, and stored with the texts of rejects only."""
+    def settle(parsed):
+        text = F.when(F.col("reject_reason").isNotNull(), F.col("js"))
+        return stored(parsed.withColumn("js", text), "segment-documents")
+    return payloads.parse_segment_payloads(fx.segment_payload(spark, d), settle=settle)
+
+
 def segment_geometry(spark, d):
-    t = payloads.parse_segment_payloads(fx.segment_payload(spark, d))
+    t = _segment_tables(spark, d)
     path = F.col("path")
     return lineage.segment_geometry(t.flows, t.shapes).select(
         "uuid",
@@ -285,7 +293,7 @@ def segment_geometry(spark, d):
 
 
 def functional_class_compare(spark, d):
-    t = payloads.parse_segment_payloads(fx.segment_payload(spark, d))
+    t = _segment_tables(spark, d)
     return patterns.functional_class_compare(t.flows, t.shapes)
 
 

@@ -5,6 +5,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from probegrid.operators import checks, consistency, grid, lineage, patterns, profiles, spatial
+from probegrid.plans import catalog
 from probegrid.sources.tables import default_point_config
 
 T0 = dt.datetime(2024, 1, 1)
@@ -129,6 +130,20 @@ def test_geometry_keeps_flows_without_shapes(spark):
     assert [p.sequence_order for p in rows["f1"]] == [1, 2] and rows["f2"] is None
 
 
+@pytest.mark.parametrize("query", [catalog.segment_geometry, catalog.functional_class_compare])
+def test_flows_meet_shapes_without_a_broadcast(spark, sf_dir, query):
+    """Sizes known from the texts alone are far too small; documents are parsed before, once."""
+    plan = query(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan and "from_json" not in plan
+
+
+def test_a_flow_counts_once_per_class_also_for_an_unknown_one(spark):
+    flows = spark.createDataFrame([("k1", 10.0, 1.0), ("k1", 20.0, 3.0), ("k2", 30.0, 2.0), ("k3", 99.0, 9.0)], "bbox_uuid string, speed_kmh double, jam_factor double")
+    shapes = spark.createDataFrame([("k1", 1), ("k1", 1), ("k1", None), ("k1", None), ("k2", 1), ("gone", 5)], "flow_uuid string, functional_class int")
+    got = {tuple(r) for r in patterns.functional_class_compare(flows, shapes).collect()}
+    assert got == {(1, 3, 20.0, 2.0, 3.0), (None, 2, 15.0, 2.0, 3.0)}
+
+
 def test_hotspots_and_checks(spark):
     df = cleaned(spark, [("P01", i, 100) for i in range(5)] + [("P02", i, i) for i in range(20)] + [("P03", 0, -5)])
     top = patterns.hotspots(df, k=2).collect()
