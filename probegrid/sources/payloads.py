@@ -49,7 +49,8 @@ def _double(c: Column) -> Column:
 
 def _unread(c: Column, read=_whole) -> Column:
     """True for a number that is there and cannot be stored."""
-    return F.coalesce(F.trim(c) != "", F.lit(False)) & F.coalesce(read(c).isNull() | F.isnan(read(c).cast("double")), F.lit(True))
+    # most numbers are fine: they are read once, and only the others are looked at again
+    return F.nanvl(read(c).cast("double"), F.lit(None).cast("double")).isNull() & F.coalesce(F.trim(c) != "", F.lit(False))
 
 
 def _parsed(df: DataFrame, payload: str, schema: str) -> DataFrame:

@@ -2,6 +2,7 @@ import datetime as dt
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from probegrid.operators import operations
 from probegrid.sources import payloads, tables
@@ -118,3 +119,11 @@ def test_dimensions(spark, tmp_path):
     with pytest.raises(ValueError, match="lacks columns"):
         tables.read_dimension(spark, str(tmp_path / "cfg.parquet"), MONITOR_BOX, "boxes")
     assert tables.default_point_config(spark).where("block_id = '3'").count() == 14
+
+
+def test_numbers_that_cannot_be_stored(spark):
+    texts = ["12", " 12.7 ", "", "  ", None, "x", "NaN", "99999999999", "-Infinity", "1e400"]
+    rows = spark.createDataFrame([(t,) for t in texts], "c string").select(
+        payloads._unread(F.col("c")).alias("whole"), payloads._unread(F.col("c"), payloads._double).alias("double")).collect()
+    assert [t for t, r in zip(texts, rows, strict=True) if r.whole] == ["x", "NaN", "99999999999", "-Infinity", "1e400"]
+    assert [t for t, r in zip(texts, rows, strict=True) if r.double] == ["x", "NaN"]
