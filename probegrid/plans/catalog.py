@@ -559,7 +559,7 @@ def _ingested(landed, ingest, parse, name: str):
     """Three micro-batches of documents into three tables, of which one is read back."""
     def query(spark, d):
         folder = work_folder(spark, "ingest")
-        documents = ingest(spark, landed(spark, d), maxFilesPerTrigger="1")
+        documents = ingest(spark, landed(spark, d), maxFilesPerTrigger=str(fx.files_per_share(spark)))
         batches.start_ingest(documents, parse, f"{folder}/tables", f"{folder}/checkpoint").awaitTermination()
         return batches.read_ingested(spark, f"{folder}/tables", name, getattr(parse(documents), name).schema)
     return query

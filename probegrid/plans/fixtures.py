@@ -9,6 +9,7 @@ reach the Parquet reader.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -320,17 +321,29 @@ def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.unionByName(spark.readStream.schema(schema).parquet(folder))
 
 
-def landed_point_payloads(spark: SparkSession, sf_dir: str) -> str:
-    """Folder with the point documents as a collector would drop them: JSON lines in at least three files."""
-    folder = f"{work_folder(spark, 'landing')}/point"
-    point_payload(spark, sf_dir).repartition(3).write.option("timestampNTZFormat", ENVELOPE_TIME).json(folder)
+#: Shares that the landed files are read in, a micro-batch each.
+SHARES = 3
+
+
+def files_per_share(spark: SparkSession) -> int:
+    """Landed files of a share, so that there is a file for every core that writes them."""
+    return math.ceil(spark.sparkContext.defaultParallelism / SHARES)
+
+
+def _landed(documents: DataFrame, name: str) -> str:
+    spark = documents.sparkSession
+    folder = f"{work_folder(spark, 'landing')}/{name}"
+    documents.repartition(SHARES * files_per_share(spark)).write.option("timestampNTZFormat", ENVELOPE_TIME).json(folder)
     return folder
 
 
+def landed_point_payloads(spark: SparkSession, sf_dir: str) -> str:
+    """Folder with the point documents as a collector would drop them: JSON lines in ``SHARES * files_per_share`` files."""
+    return _landed(point_payload(spark, sf_dir), "point")
+
+
 def landed_segment_payloads(spark: SparkSession, sf_dir: str) -> str:
-    folder = f"{work_folder(spark, 'landing')}/segment"
-    segment_payload(spark, sf_dir).repartition(3).write.option("timestampNTZFormat", ENVELOPE_TIME).json(folder)
-    return folder
+    return _landed(segment_payload(spark, sf_dir), "segment")
 
 
 def events_in_runs(spark: SparkSession, sf_dir: str, order: tuple[int, ...], start: Callable[[DataFrame], StreamingQuery], closing: bool = False) -> None:

@@ -1,10 +1,12 @@
 """Tables fed by micro-batches are right after every batch, whatever the order and however often a batch runs."""
 
 import datetime as dt
+import pathlib
 
 import pytest
 
 from probegrid.operators import quality
+from probegrid.plans import fixtures
 from probegrid.sources import payloads
 from probegrid.streaming import alerts, batches, feeds
 from probegrid.streaming.runner import start_append
@@ -156,3 +158,14 @@ def test_stale_beats_and_ticks(spark, tmp_path):
 def test_closing_spans(spans, now, want):
     assert alerts.close_spans(spans, False, now, 10) == want
     assert alerts.merged([(30, 31), (0, 5), (15, 16), (4, 9)], 6) == [(0, 16), (30, 31)]
+
+
+def test_landed_documents_come_in_three_batches_of_many_files(spark, sf_dir, tmp_path):
+    """A file for every core, so that landing is not the work of three tasks."""
+    folder, out = fixtures.landed_segment_payloads(spark, sf_dir), str(tmp_path / "out")
+    want = fixtures.segment_payload(spark, sf_dir).count()
+    assert len(list(pathlib.Path(folder).glob("*.json"))) >= spark.sparkContext.defaultParallelism > fixtures.SHARES
+    documents = feeds.segment_documents(spark, folder, maxFilesPerTrigger=str(fixtures.files_per_share(spark)))
+    assert spark.read.json(folder).count() == want
+    batches.start_ingest(documents, payloads.parse_segment_payloads, out, str(tmp_path / "cp")).awaitTermination()
+    assert batches.read_commits(spark, out).count() == fixtures.SHARES
