@@ -46,6 +46,8 @@ SPLIT = 1000
 LAGGING = 0.85
 #: Partners of a member in one turn, and the lists they are drawn from.
 DRAWN, LISTS = 16, 4
+#: Bits that the shingles of a set are folded onto, to bound how many two sets do not share.
+MARKS = 512
 #: Words a worker remembers the hash of, at most.
 MEMO = 500_000
 
@@ -205,8 +207,28 @@ def _verified(passed: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFra
     return sure.union(_reaching(unsure, _shingle_sets(docs, classes, wanted)))
 
 
+def _marked(full: DataFrame) -> DataFrame:
+    """``k, marks``: for each of ``MARKS`` bits whether an odd number of the member's shingles falls on it, as longs."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = (np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in batch.column(1))
+            odd = [np.bincount((s & np.uint64(MARKS - 1)).astype(np.int64), minlength=MARKS) & 1 for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), _offsets([np.packbits(x.astype(np.uint8)).view(np.uint64) for x in odd])], names=["k", "marks"])
+
+    return full.mapInArrow(mark, "k long, marks array<long>")
+
+
+def _may_reach(n: Column, n_b: Column, marks: Column, marks_b: Column) -> Column:
+    """False only for pairs below the threshold: a bit in which the marks differ takes a shingle that only one of the sets has."""
+    differ = F.lit(0)
+    for i in range(MARKS // 64):
+        differ = differ + F.bit_count(marks[i].bitwiseXOR(marks_b[i]))
+    return differ <= n + n_b - 2 * _needed(n, n_b)
+
+
 def _prefixes(full: DataFrame, sizes: DataFrame) -> DataFrame:
-    """``s, k, n, left``: members (k, n) under the shingles that a partner above the threshold may be found by.
+    """``s, k, n, marks, left``: members (k, n) under the shingles that a partner above the threshold may be found by.
 
     Shingles come from the rarest on, and each member stands under as many as its
     smallest partner can force it to share. ``left`` counts the member's shingles from
@@ -223,10 +245,10 @@ def _prefixes(full: DataFrame, sizes: DataFrame) -> DataFrame:
     counts = each.groupBy(F.col("s").alias("_s")).agg(F.count("*").alias("df"))
     # only shingles that two members share can link them; the others stand in front of them
     shared = each.join(counts.where("df > 1"), F.col("s") == F.col("_s")).groupBy("k").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("shared"))
-    known = shared.join(sizes.select(F.col("k").alias("_k"), "n"), F.col("k") == F.col("_k"))
+    known = shared.join(sizes.join(_marked(full), "k").select(F.col("k").alias("_k"), "n", "marks"), F.col("k") == F.col("_k"))
     room = F.greatest(F.lit(0), F.col("n") - F.ceil(F.col("n") * THRESHOLD / 100) + 1 - (F.col("n") - F.size("shared"))).cast("int")
-    posted = known.select("k", "n", (F.col("n") - F.size("shared")).alias("front"), F.posexplode(F.slice("shared", F.lit(1), room)).alias("at", "p"))
-    return stored(posted.select(F.col("p.s").alias("s"), "k", "n", (F.col("n") - F.col("front") - F.col("at")).alias("left")), "prefixes")
+    posted = known.select("k", "n", "marks", (F.col("n") - F.size("shared")).alias("front"), F.posexplode(F.slice("shared", F.lit(1), room)).alias("at", "p"))
+    return stored(posted.select(F.col("p.s").alias("s"), "k", "n", "marks", (F.col("n") - F.col("front") - F.col("at")).alias("left")), "prefixes")
 
 
 def _with_state(posted: DataFrame, state: DataFrame) -> DataFrame:
@@ -248,20 +270,21 @@ def _partners(posted: DataFrame, state: DataFrame, turn: int) -> DataFrame:
     """
     placed = _with_state(posted, state)
     part = F.pmod(F.xxhash64("k", F.lit(turn)), F.lit(DRAWN)).alias("part")
-    drawn = placed.groupBy(F.col("s").alias("_s"), part).agg(F.max(F.struct(F.xxhash64("k", "s", F.lit(turn)).alias("h"), "k", "n", "label")).alias("p"))
-    drawn = drawn.select("_s", F.col("p.k").alias("with"), F.col("p.n").alias("n_b"), F.col("p.label").alias("label_b"))
+    drawn = placed.groupBy(F.col("s").alias("_s"), part).agg(F.max(F.struct(F.xxhash64("k", "s", F.lit(turn)).alias("h"), "k", "n", "label", "marks")).alias("p"))
+    drawn = drawn.select("_s", F.col("p.k").alias("with"), F.col("p.n").alias("n_b"), F.col("p.label").alias("label_b"), F.col("p.marks").alias("marks_b"))
     # a member has as many rows here as its prefix has shingles
     nth = F.row_number().over(Window.partitionBy("k").orderBy(F.xxhash64("s", F.lit(turn)), "s"))
     probes = placed.where("rest").withColumn("nth", nth).where(F.col("nth") <= LISTS)
-    met = probes.join(drawn, (F.col("s") == F.col("_s")) & (F.col("label") != F.col("label_b")) & _sizes_fit(F.col("n"), F.col("n_b"))).select("k", "with").distinct()
+    near = _sizes_fit(F.col("n"), F.col("n_b")) & _may_reach(F.col("n"), F.col("n_b"), F.col("marks"), F.col("marks_b"))
+    met = probes.join(drawn, (F.col("s") == F.col("_s")) & (F.col("label") != F.col("label_b")) & near).select("k", "with").distinct()
     few = F.row_number().over(Window.partitionBy("k").orderBy(F.xxhash64("with", F.lit(turn)), "with"))
     return _ordered(met.withColumn("nth", few).where(F.col("nth") <= DRAWN), "k", "with")
 
 
 def _crossing(posted: DataFrame, state: DataFrame) -> DataFrame:
-    """``a, b``: all pairs of a member outside and one of another component that the prefix filter leaves.
+    """``a, b``: all pairs of a member outside and one of another component that the prefix filter and the marks leave.
 
-    Partners of about one size share a bucket, so that the number to share is exact for them.
+    Neither drops a pair above the threshold. Partners of about one size share a bucket, so that the number to share is exact for them.
     """
     posted = _with_state(posted, state)
     step = float(np.log(1.05))
@@ -270,9 +293,9 @@ def _crossing(posted: DataFrame, state: DataFrame) -> DataFrame:
     probes = posted.where("rest").withColumn("bucket", F.explode(targets))
     smallest = F.greatest(F.ceil(F.col("n") * THRESHOLD / 100), F.floor(F.exp(F.col("bucket") * step)))
     probes = probes.where(F.col("left") >= _needed(F.col("n"), smallest))
-    other = posted.select(F.col("s").alias("_s"), bucket.alias("_bucket"), *[F.col(x).alias(f"{x}_b") for x in ("k", "n", "label", "left")])
+    other = posted.select(F.col("s").alias("_s"), bucket.alias("_bucket"), *[F.col(x).alias(f"{x}_b") for x in ("k", "n", "label", "left", "marks")])
     met = probes.join(other, (F.col("s") == F.col("_s")) & (F.col("bucket") == F.col("_bucket")) & (F.col("label") != F.col("label_b")) & _sizes_fit(F.col("n"), F.col("n_b"))
-                      & (F.least("left", "left_b") >= _needed(F.col("n"), F.col("n_b"))))
+                      & (F.least("left", "left_b") >= _needed(F.col("n"), F.col("n_b"))) & _may_reach(F.col("n"), F.col("n_b"), F.col("marks"), F.col("marks_b")))
     return _ordered(met, "k", "k_b")
 
 
