@@ -16,153 +16,194 @@ from __future__ import annotations
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from probegrid.llm.common import release, stored, strings
+from probegrid.llm.common import changes, release, sorted_flags, stored, strings
 
 LEAST = 10
 TOP = 2000
 #: A candidate goes when a longer one has this share of its occurrences, in hundredths.
 COVERED = 50
-#: Distinct sequences a task counts before it hands them on: about 100 MB.
-COUNTED = 400_000
+#: Words a task counts at once, at most: about 150 MB. Three numbers of words must fit into 63 bits.
+COUNTED = 1_000_000
+#: Bytes of text that are taken for a word.
+WORD_BYTES = 6
 #: Rows of one node whose edges are held before they are summed.
 FOLDED = 1000
 #: Edges in one row of a compacted path, at most; longer paths go over several rows.
 SEGMENT = 4096
+_GRAPH = ["lang", "phrase", "words", "a"]
 #: Lower case, and all piece separators as one.
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9)
 
 
+def _spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The bytes between each start and end, as a binary column."""
+    lengths = ends - starts
+    offsets = np.concatenate([[0], np.cumsum(lengths)])
+    at = np.repeat(starts - offsets[:-1], lengths) + np.arange(offsets[-1])
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data[at])])
+
+
+def _counted(words: pa.Array, line: np.ndarray, here: int, head: bytes) -> pa.RecordBatch:
+    """Rows of ``edge_counts`` for the sequences that the first ``here`` words start; ``line`` numbers the piece of each word.
+
+    A sequence is one integer of three digits, the numbers of its words (0 for none),
+    so that sorted integers bring equal sequences, and those of a node, together.
+    """
+    words = words.dictionary_encode()
+    known, ids = words.dictionary, words.indices.to_numpy().astype(np.int64)
+    base = len(known) + 1
+    following = np.zeros((2, len(ids)), dtype=np.int64)
+    for k in (1, 2):
+        following[k - 1, :len(ids) - k] = np.where(line[k:] == line[:len(line) - k], ids[k:] + 1, 0)
+    keys = np.sort((ids[:here] * base + following[0, :here]) * base + following[1, :here])
+    edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    n = np.diff(np.append(edge, len(keys)))
+    node, third = np.divmod(keys[edge], base)
+    first = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+    one, two = np.divmod(node[first], base)
+    # third words by number, those with a count after all others
+    often = np.flatnonzero((n > 1) & (third > 0))
+    texts = pa.concat_arrays([known, pc.binary_join_element_wise(known.take(pa.array(third[often] - 1)), pa.array(n[often]).cast(pa.string()).cast(pa.binary()), b"\t")])
+    third[often] = len(known) + 1 + np.arange(len(often))
+    listed = np.concatenate([[0], np.cumsum(third > 0)])[np.append(first, len(third))]
+    followers = pc.binary_join(pa.ListArray.from_arrays(pa.array(listed.astype(np.int32)), texts.take(pa.array(third[third > 0] - 1))), b"\n")
+    seconds = pa.concat_arrays([pa.array([b""], pa.binary()), pc.binary_join_element_wise(b" ", known, b"")])
+    names = pc.binary_join_element_wise(pc.binary_join_element_wise(head, known, b"").take(pa.array(one)), seconds.take(pa.array(two)), b"")
+    return pa.RecordBatch.from_arrays([names.cast(pa.string()), pa.array(np.add.reduceat(n, first)), followers.cast(pa.string())], names=["node", "through", "followers"])
+
+
 def edge_counts(docs: DataFrame) -> DataFrame:
     """``node, through, followers``: what tasks have counted of the edges of each node, with its flow.
 
     ``node`` is the language, a line feed (no word holds one) and one or two words.
     ``followers`` lists the third words, a line each, with a tab (no word holds one
     either) and the count where it is not one. A node that ends a piece adds to its
-    flow only. Every word of a text starts exactly one counted sequence. A task hands
-    on what it has when ``COUNTED`` sequences are known, so a node may come in
-    several rows.
+    flow only. Every word of a text starts exactly one counted sequence. A task counts
+    about ``COUNTED`` words of a language at a time, so a node may come in several rows.
     """
 
-    def rows(counted: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
-        for lang, of in counted.items():
-            head = lang.encode() + b"\n"
-            nodes: dict[tuple, list] = {}
-            for k, n in of.items():
-                node = k[:2]
-                row = nodes.get(node)
-                if row is None:
-                    row = nodes[node] = [0]
-                row[0] += n
-                if len(k) > 2:
-                    row.append(k[2] if n == 1 else b"%b\t%d" % (k[2], n))
-            of.clear()
-            keys = list(nodes)
-            for at in range(0, len(keys), 50_000):
-                part = keys[at:at + 50_000]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([head + b" ".join(k) for k in part], pa.binary()).cast(pa.string()),
-                    pa.array([nodes[k][0] for k in part], pa.int64()),
-                    pa.array([b"\n".join(nodes[k][1:]) for k in part], pa.binary()).cast(pa.string()),
-                ], names=["node", "through", "followers"])
+    def rows(lang: str, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
+        data = np.frombuffer(b"\n".join(texts).translate(_FOLD), dtype=np.uint8)
+        inside = np.concatenate([[False], (data != 32) & (data != 9) & (data != 10), [False]])
+        starts, ends = np.flatnonzero(inside[1:] & ~inside[:-1]), np.flatnonzero(inside[:-1] & ~inside[1:])
+        line = np.searchsorted(np.flatnonzero(data == 10), starts)
+        # a single text may be longer than a task should count at once; the last words of a part look two words ahead
+        for at in range(0, len(starts), COUNTED):
+            part = slice(at, at + COUNTED + 2)
+            counted = _counted(_spans(data, starts[part], ends[part]), line[part], min(COUNTED, len(starts) - at), lang.encode() + b"\n")
+            for k in range(0, counted.num_rows, 50_000):
+                yield counted.slice(k, 50_000)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counted: dict[str, Counter] = defaultdict(Counter)
-        waiting = 0
+        waiting: dict[str, list[bytes]] = defaultdict(list)
+        size = 0
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), strings(batch.column(1)), strict=True):
-                of = counted[lang]
-                waiting -= len(of)
-                for piece in text.translate(_FOLD).split(b"\n"):
-                    words = piece.split()
-                    if not words:
-                        continue
-                    of.update(zip(words, words[1:], words[2:]))
-                    of[tuple(words[-2:])] += 1
-                    if len(words) > 1:
-                        of[(words[-1],)] += 1
-                    if len(of) > COUNTED:
-                        # a single text may be longer than a task should remember
-                        yield from rows({lang: of})
-                        of.clear()
-                waiting += len(of)
-                if waiting > COUNTED:
-                    yield from rows(counted)
-                    counted.clear()
-                    waiting = 0
-        yield from rows(counted)
+                waiting[lang].append(text)
+                size += len(text)
+                if size > COUNTED * WORD_BYTES:
+                    for of in waiting.items():
+                        yield from rows(*of)
+                    waiting.clear()
+                    size = 0
+        for of in waiting.items():
+            yield from rows(*of)
 
     plain = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return plain.mapInArrow(count, "node string, through long, followers string")
 
 
+def _word_flows(nodes: pa.Array, through: np.ndarray) -> pa.RecordBatch:
+    """A row for each run of nodes with the same first word: its language, the word and the flow of the run."""
+    nodes = pa.concat_arrays([nodes.cast(pa.binary())])
+    offsets = np.frombuffer(nodes.buffers()[1], dtype=np.int32)[nodes.offset:nodes.offset + len(nodes) + 1].astype(np.int64)
+    data = np.frombuffer(nodes.buffers()[2], dtype=np.uint8)[:offsets[-1]]
+    starts, ends = offsets[:-1], offsets[1:]
+    # the last line feed ends the language; a blank after it ends the first word
+    feeds, blanks = np.flatnonzero(data == 10), np.flatnonzero(data == 32)
+    feed = feeds[np.searchsorted(feeds, ends) - 1]
+    blank = np.append(blanks, -1)[np.searchsorted(blanks, ends) - 1]
+    ends = np.where(blank > feed, blank, ends)
+    first = np.concatenate([[0], np.flatnonzero(changes([_spans(data, starts, ends)])) + 1])
+    langs, words = _spans(data, starts[first], feed[first]), _spans(data, feed[first] + 1, ends[first])
+    return pa.RecordBatch.from_arrays([langs.cast(pa.string()), words.cast(pa.string()), pa.array(np.ones(len(first), np.int32)), pa.array(np.add.reduceat(through, first))], names=_GRAPH)
+
+
 def weighted_graph(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """``lang, phrase, words, a``: edges (three words) and nodes (two) that reach ``least``, and flows of single words in parts.
 
     All rows of a node go to one task and come one after the other, so its flow and
-    its edges are summed as they pass; what is rare is never written. Edges are looked
-    at only where the node's own flow can hold a frequent one, a bounded number of
-    rows at a time. The parts of a word's flow are to be added up.
+    its edges are summed as they pass; what is rare is never written. Flows are summed
+    by columns. Edges are looked at only where the node's own flow can hold a frequent
+    one; a node that goes on in the next batch has its rows folded a bounded number at
+    a time. The parts of a word's flow are to be added up.
     """
 
     def flow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[tuple[str, str, int, int]] = []
         edges: Counter = Counter()
         waiting: list[str] = []
-        node = word = None
-        through = of_word = 0
+        node, so_far = None, 0
 
         def fold():
             for lines in waiting:
-                for line in lines.split("\n") if lines else ():
+                if "\t" not in lines:
+                    if lines:
+                        edges.update(lines.split("\n"))
+                    continue
+                for line in lines.split("\n"):
                     follower, _, n = line.partition("\t")
                     edges[follower] += int(n or 1)
             waiting.clear()
 
-        def node_ends():
-            if through >= least:
+        def node_ends(name: str, n: int):
+            if n >= least:
                 fold()
-                lang, phrase = node.rsplit("\n", 1)
+                lang, phrase = name.rsplit("\n", 1)
                 if " " in phrase:
-                    found.append((lang, phrase, 2, through))
+                    found.append((lang, phrase, 2, n))
                 found.extend((lang, f"{phrase} {f}", 3, n) for f, n in edges.items() if n >= least)
             edges.clear()
             waiting.clear()
 
-        def word_ends():
-            lang, phrase = word.rsplit("\n", 1)
-            found.append((lang, phrase, 1, of_word))
-
         def rows() -> pa.RecordBatch:
-            lang, phrase, words, a = zip(*found, strict=True)
+            columns = [list(c) for c in zip(*found, strict=True)]
             found.clear()
-            return pa.RecordBatch.from_arrays([pa.array(lang), pa.array(phrase), pa.array(words, pa.int32()), pa.array(a, pa.int64())], names=["lang", "phrase", "words", "a"])
-
-        for batch in batches:
-            for here, n, lines in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if here != node:
-                    if node is not None:
-                        node_ends()
-                    space = here.find(" ", here.rfind("\n") + 1)
-                    first = here if space < 0 else here[:space]
-                    if first != word:
-                        if word is not None:
-                            word_ends()
-                        word, of_word = first, 0
-                    node, through = here, 0
-                through += n
-                of_word += n
-                waiting.append(lines)
-                if len(waiting) >= FOLDED:
-                    fold()
+            return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.string(), pa.string(), pa.int32(), pa.int64()), strict=True)], names=_GRAPH)
+
+        for batch, new, _ in sorted_flags(batches, ["node"]):
+            names, through, lines = batch.column(0), batch.column(1).to_numpy(), batch.column(2)
+            yield _word_flows(names, through)
+            starts = np.flatnonzero(new)
+            before = starts[0] if len(starts) else len(new)
+            so_far += int(through[:before].sum())
+            waiting += lines.slice(0, before).to_pylist()
+            if len(starts):
+                if node is not None:
+                    node_ends(node, so_far)
+                sums = np.add.reduceat(through, starts)
+                often = np.flatnonzero(sums[:-1] >= least)
+                sizes = np.diff(starts)[often]
+                inside = np.repeat(starts[often] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+                of, at = lines.take(pa.array(inside)).to_pylist(), 0
+                for name, n, size in zip(names.take(pa.array(starts[often])).to_pylist(), sums[often].tolist(), sizes.tolist(), strict=True):
+                    waiting += of[at:at + size]
+                    node_ends(name, n)
+                    at += size
+                node, so_far = names[int(starts[-1])].as_py(), int(sums[-1])
+                waiting += lines.slice(int(starts[-1])).to_pylist()
+            if len(waiting) >= FOLDED:
+                fold()
             if len(found) > 20_000:
                 yield rows()
         if node is not None:
-            node_ends()
-            word_ends()
+            node_ends(node, so_far)
         if found:
             yield rows()
 
