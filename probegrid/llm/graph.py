@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from probegrid.llm.common import stored
 
+#: Edges that a task reduces at first, about.
+EDGES = 200_000
+
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(node, smallest node that this task's edges reach), for all nodes but those smallest ones."""
@@ -49,15 +52,18 @@ def _round(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """``node, label``: the smallest node that each node of an edge reaches. Edges are two columns of long.
 
-    Every task first reduces its own edges to a forest, then star steps join the
-    forests until nothing changes. Each step is written to the shared folder.
+    A task reduces ``EDGES`` edges to a forest; up to so many need one task and no more.
+    Else star steps join the forests of the tasks until nothing changes. Each step is
+    written to the shared folder.
     """
     a, b = edges.columns
-    plain = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    now, before = stored(plain.mapInArrow(_forest, "u long, v long"), "components"), None
-    while True:
+    plain = stored(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")), "edges")
+    tasks = -(-plain.count() // EDGES)
+    now, before = stored(plain.coalesce(max(1, tasks)).mapInArrow(_forest, "u long, v long"), "components"), None
+    while tasks > 1:
         seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if seen == before or not seen.n:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("label"))
+            break
         before = seen
         now = stored(_round(now).mapInArrow(_forest, "u long, v long").distinct(), "components")
+    return now.select(F.col("u").alias("node"), F.col("v").alias("label"))

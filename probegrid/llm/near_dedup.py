@@ -49,7 +49,9 @@ DRAWN, LISTS = 16, 4
 #: Bits that the shingles of a set are folded onto, to bound how many two sets do not share.
 MARKS = 512
 #: Words a worker remembers the hash of, at most.
-MEMO = 500_000
+MEMO = 200_000
+#: Bits of the bitmap of wanted texts: for each, at most, and in one row of it (a value of Spark's bitmap functions).
+KEY_BITS, BITMAP_BITS, PAGE = 16, 1 << 27, 1 << 15
 
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
@@ -169,7 +171,7 @@ def _shingle_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> Dat
 
     Each set is read from one text of its class. The keys are stored before the
     join, so that Spark knows their size: it broadcasts them or, beyond its
-    threshold, shuffles texts by key.
+    threshold, shuffles by key the texts that a bitmap of the keys leaves.
     """
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,11 +180,26 @@ def _shingle_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> Dat
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t, memo).tobytes() for t in strings(batch.column(1))], pa.binary())], names=["k", "shingles"])
 
     keys = stored(classes.select("k", "c", "ch").join(wanted.distinct(), "k", "left_semi"), "wanted-classes")
-    texts = keyed(docs).join(keys, (F.col("_id") == F.col("c")) & (F.col("_h") == F.col("ch"))).select("k", "text")
+    texts = _marked_texts(keyed(docs), keys).join(keys, (F.col("_id") == F.col("c")) & (F.col("_h") == F.col("ch"))).select("k", "text")
     # a row may stand there twice with one id and text
     return stored(texts.mapInArrow(sets, "k long, shingles binary").dropDuplicates(["k"]), "shingle-sets")
 
 
+def _marked_texts(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of ``texts`` whose place in a bitmap is taken by a key: all that have a key, and about one in ``KEY_BITS`` others.
+
+    The bitmap, two bytes a key and ``BITMAP_BITS`` at most, is broadcast where the keys themselves would not be.
+    """
+    bits = min(BITMAP_BITS, max(1, keys.count()) * KEY_BITS)
+    place = F.pmod(F.xxhash64("_id", "_h"), F.lit(bits))
+    taken = keys.select(F.col("c").alias("_id"), F.col("ch").alias("_h")).select(place.alias("at"))
+    pages = taken.groupBy(F.shiftright("at", 15).alias("_page")).agg(F.bitmap_construct_agg(F.col("at").bitwiseAND(F.lit(PAGE - 1))).alias("_taken"))
+    within = F.col("_at").bitwiseAND(F.lit(PAGE - 1)).cast("int")
+    byte = F.conv(F.hex(F.substring("_taken", F.shiftright(within, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    near = texts.withColumn("_at", place).join(F.broadcast(pages), F.shiftright("_at", 15) == F.col("_page"))
+    return near.where(F.getbit(byte, within.bitwiseAND(F.lit(7))) == 1).select(*texts.columns)
+
+
 def _reaching(pairs: DataFrame, full: DataFrame) -> DataFrame:
     """``a, b`` of the pairs whose full shingle sets reach the threshold."""
 
